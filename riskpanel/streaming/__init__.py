@@ -1,0 +1 @@
+"""Nothing to stream: every operator in scope reads bounded, run-scoped tables."""
