@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,14 @@ def as_rows(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return df.select(F.explode(F.array(*structs)).alias("_row")).select("_row.*")
 
 
+def fixed_rows(spark: SparkSession, columns: dict[str, str], rows: Sequence[tuple]) -> DataFrame:
+    """A small frame of constants with the given column types, made in the JVM."""
+    structs = [
+        F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, columns.items())]) for row in rows
+    ]
+    return as_rows(spark.range(1), structs)
+
+
 def count_where(condition: Column) -> Column:
     """Rows for which ``condition`` is true; false and NULL both count as no."""
     return F.count_if(condition)

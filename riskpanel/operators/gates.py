@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel.definitions import AMOUNT_TOLERANCE, MINIMUM_SIGNALS, MINIMUM_TESTS, REQUIRED_CHECKS
-from riskpanel.functions.frames import count_where
+from riskpanel.functions.frames import count_where, fixed_rows
 
 c = F.col
 
@@ -61,15 +61,16 @@ RULES = (
 
 
 def rule_table(spark: SparkSession, gates: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
-    return spark.createDataFrame(
-        [r for r in RULES if r[0] in gates],
-        "gate int, check_id string, metric string, comparison string, bound double, other_metric string",
-    )
+    columns = {
+        "gate": "int", "check_id": "string", "metric": "string",
+        "comparison": "string", "bound": "double", "other_metric": "string",
+    }
+    return fixed_rows(spark, columns, [r for r in RULES if r[0] in gates])
 
 
 def required_checks(spark: SparkSession) -> DataFrame:
     rows = [(gate, check) for gate, checks in REQUIRED_CHECKS.items() for check in checks]
-    return spark.createDataFrame(rows, "gate int, check_id string")
+    return fixed_rows(spark, {"gate": "int", "check_id": "string"}, rows)
 
 
 def metric_evidence(*one_row: DataFrame) -> DataFrame:
@@ -86,14 +87,15 @@ def metric_evidence(*one_row: DataFrame) -> DataFrame:
 def apply_rules(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     """Evaluate every rule; absent or NULL evidence is a fail.
 
-    Both sides are small by construction: rules are a fixed list and evidence
-    has one row per metric. A metric given twice fails its rules.
+    Evidence has one row per metric name, so it fits one map value, computed
+    once for all rules. A metric given twice fails its rules.
     """
     per_metric = evidence.groupBy("metric").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    single = per_metric.withColumn("value", F.when(c("n") == 1, c("value"))).drop("n")
-    other = single.select(c("metric").alias("other_metric"), c("value").alias("other_value"))
-    joined = rules.join(single, "metric", "left").join(other, "other_metric", "left")
-    limit = F.when(c("other_metric").isNull(), c("bound").cast("decimal(38,4)")).otherwise(c("other_value"))
+    entries = F.collect_list(F.struct("metric", F.when(c("n") == 1, c("value")).alias("value")))
+    joined = rules.withColumn("_known", per_metric.agg(F.map_from_entries(entries)).scalar())
+    joined = joined.withColumn("value", F.try_element_at("_known", c("metric")))
+    other = F.try_element_at("_known", c("other_metric"))
+    limit = F.when(c("other_metric").isNull(), c("bound").cast("decimal(38,4)")).otherwise(other)
     holds = (
         F.when(c("comparison") == "eq", c("value") == limit)
         .when(c("comparison") == "ge", c("value") >= limit)

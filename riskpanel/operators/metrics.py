@@ -164,7 +164,8 @@ def segments(pred: DataFrame, population: DataFrame, fields: tuple[str, ...] = S
     Rows are reduced to combinations of all fields (a few thousand at most)
     before those are laid out per field.
     """
-    joined = pred.join(population.select("borrower_id", *fields), "borrower_id")
+    scored = pred.select("model", "borrower_id", Y, P)
+    joined = scored.join(population.select("borrower_id", *fields), "borrower_id")
     profile = joined.groupBy("model", *fields).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(Y).alias("defaults"),

@@ -7,12 +7,13 @@ fields, and coefficients. All are bounded by the feature list, not by rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,10 @@ from riskpanel.definitions import (
     STATIC_NUMERIC,
 )
 from riskpanel.functions.expressions import logit, sigmoid
-from riskpanel.functions.frames import as_rows, count_where, exact_medians
+from riskpanel.functions.frames import as_rows, count_where, exact_medians, fixed_rows
 from riskpanel.operators.population import prepare_features
 from riskpanel.operators.split import rank_split, require_split
+from riskpanel.session import cut_lineage
 
 c = F.col
 OUTCOME = "next_month_default"
@@ -134,8 +136,8 @@ class OneHot:
     """Fitted category lists; a category unseen in train becomes all zeros."""
 
     fields: tuple[str, ...]
-    indexer: PipelineModel | None
-    encoder: object | None
+    indexer: StringIndexerModel | None
+    encoder: OneHotEncoderModel | None
 
     def apply(self, df: DataFrame) -> DataFrame:
         if not self.fields:
@@ -200,8 +202,13 @@ def fit_preprocessing(train: DataFrame, numeric: Iterable[str], categorical: Ite
 # --- fits ----------------------------------------------------------------------
 def fit_logistic(train: DataFrame, label: str, penalty: float = 1.0, features: str = "features") -> LogisticRegressionModel:
     """L2 logistic fit with strength ``1 / (2 * penalty)`` on the summed loss and a
-    free intercept; MLlib averages the loss, so the strength is divided by n."""
-    rows = train.count()
+    free intercept; MLlib averages the loss, so the strength is divided by n.
+
+    Labels and vectors are checkpointed first: every iteration is a job, and
+    each then starts from stored rows instead of the whole preparation.
+    """
+    stored = cut_lineage(train.select(c(label).cast("double").alias(label), features))
+    rows = stored.count()
     estimator = LogisticRegression(
         featuresCol=features,
         labelCol=label,
@@ -212,7 +219,7 @@ def fit_logistic(train: DataFrame, label: str, penalty: float = 1.0, features: s
         maxIter=2000,
         tol=1e-12,
     )
-    return estimator.fit(train.select(c(label).cast("double").alias(label), features))
+    return estimator.fit(stored)
 
 
 def score(df: DataFrame, model: LogisticRegressionModel) -> DataFrame:
@@ -251,12 +258,13 @@ def check_platt(pred: DataFrame, slope: float, intercept: float, tolerance: floa
 
 def calibration_diagnostic(pred: DataFrame) -> DataFrame:
     """Slope and intercept of actual on logit(predicted) per model; nothing is refit from it."""
-    spark = pred.sparkSession
     rows = []
-    for m in MODELS:
-        fitted = fit_platt(pred.where(c("model") == m), "predicted_pd", "actual_default")
-        rows.append((m, fitted.intercept, fitted.slope))
-    return spark.createDataFrame(rows, "model string, calibration_intercept double, calibration_slope double")
+    with kept(pred.select("model", "predicted_pd", "actual_default")) as stored:
+        for m in MODELS:
+            fitted = fit_platt(stored.where(c("model") == m), "predicted_pd", "actual_default")
+            rows.append((m, fitted.intercept, fitted.slope))
+    columns = {"model": "string", "calibration_intercept": "double", "calibration_slope": "double"}
+    return fixed_rows(pred.sparkSession, columns, rows)
 
 
 @dataclass(frozen=True)
@@ -284,35 +292,43 @@ def coefficients(model: FittedModel) -> DataFrame:
     spark = SparkSession.active()
     rows = list(zip(model.preprocessing.names(), [float(v) for v in model.logistic.coefficients]))
     ordered = sorted(rows, key=lambda r: (-abs(r[1]), r[0]))
-    return spark.createDataFrame(
-        [(model.name, i, n, v) for i, (n, v) in enumerate(ordered, start=1)],
-        "model string, position int, transformed_feature string, coefficient double",
-    )
+    columns = {"model": "string", "position": "int", "transformed_feature": "string", "coefficient": "double"}
+    return fixed_rows(spark, columns, [(model.name, i, n, v) for i, (n, v) in enumerate(ordered, start=1)])
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep ``df`` for the passes of a fit, spilling to disk.
+
+    Blocks lost with an executor are computed again. A frame that its caller
+    keeps already is left as it is.
+    """
+    held = df.storageLevel.useMemory or df.storageLevel.useDisk
+    stored = df if held else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield stored
+    finally:
+        if not held:
+            stored.unpersist()
 
 
 def fit_one(frame: DataFrame, name: str) -> FittedModel:
     """Fit one model on the train rows and calibrate it on the calibration rows."""
     numeric, categorical = FEATURES[name]
     require_no_leakage((*numeric, *categorical))
-    train = frame.where("split = 'train'")
-    pre = fit_preprocessing(train, numeric, categorical)
-    logistic = fit_logistic(pre.apply(train), OUTCOME)
-    calibration = score(pre.apply(frame.where("split = 'calibration'")), logistic)
-    return FittedModel(name, pre, logistic, fit_platt(calibration, "raw_pd", OUTCOME))
+    with kept(frame) as stored:
+        train = stored.where("split = 'train'")
+        pre = fit_preprocessing(train, numeric, categorical)
+        logistic = fit_logistic(pre.apply(train), OUTCOME)
+        calibration = score(pre.apply(stored.where("split = 'calibration'")), logistic)
+        return FittedModel(name, pre, logistic, fit_platt(calibration, "raw_pd", OUTCOME))
 
 
 def fit_three(frame: DataFrame) -> list[FittedModel]:
-    """Static, behavioural and combined model over one prepared frame.
-
-    The frame is kept for the many passes of the three fits; kept blocks that
-    are lost with an executor are computed again.
-    """
-    kept = frame.persist()
-    try:
-        require_split(kept)
-        return [fit_one(kept, name) for name in MODELS]
-    finally:
-        kept.unpersist()
+    """Static, behavioural and combined model over one prepared frame."""
+    with kept(frame) as stored:
+        require_split(stored)
+        return [fit_one(stored, name) for name in MODELS]
 
 
 def predictions(models: list[FittedModel], frame: DataFrame, split: str = "test") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.definitions import DEFAULT, DIRECTION_BUCKETS, EXPECTED_SIGNS, SIGNALS, PanelParams
 from riskpanel.functions.expressions import band_order, percent_text, signal_buckets
-from riskpanel.functions.frames import as_rows, count_where, ratio, single_row
+from riskpanel.functions.frames import as_rows, count_where, fixed_rows, ratio, single_row
 
 c = F.col
 
@@ -159,8 +159,7 @@ def association(summary: DataFrame) -> DataFrame:
 
 def missing_signals(summary: DataFrame, names: Sequence[str] = SIGNALS) -> DataFrame:
     """Defined signals without an outcome row."""
-    spark = summary.sparkSession
-    defined = spark.createDataFrame([(n,) for n in names], "signal_name string")
+    defined = fixed_rows(summary.sparkSession, {"signal_name": "string"}, [(n,) for n in names])
     return defined.join(summary.select("signal_name").distinct(), "signal_name", "left_anti")
 
 

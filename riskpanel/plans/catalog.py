@@ -19,7 +19,7 @@ from riskpanel.definitions import SIGNALS
 from riskpanel.operators import gates, ingest, lineage, metrics, model, outcomes, panel, population, quality, reconcile
 from riskpanel.operators import signals as sig
 from riskpanel.operators import split
-from riskpanel.functions.frames import exact_medians
+from riskpanel.functions.frames import exact_medians, fixed_rows
 from riskpanel.plans import oracle_tables as O
 from riskpanel.plans.workspace import Workspace
 from riskpanel.sources import adapter, tables
@@ -691,7 +691,7 @@ add("h09_one_hot", _one_hot)
 
 def _logistic(w: Workspace) -> DataFrame:
     """Penalised gradient of the fitted combined model at its solution: near 0 everywhere."""
-    train = _train(w).persist()
+    train = _train(w).persist()  # read by every pass of the fit and by the check
     pre = model.fit_preprocessing(train, *model.FEATURES["combined"])
     ready = pre.apply(train)
     fitted = model.fit_logistic(ready, model.OUTCOME)
@@ -699,8 +699,10 @@ def _logistic(w: Workspace) -> DataFrame:
         (c("raw_pd") - c(model.OUTCOME)).alias("e"), F.posexplode(model.vector_to_array("features")).alias("position", "x")
     )
     gradient = residual.groupBy("position").agg(F.sum(c("e") * c("x")).alias("g"))
-    names = w.spark.createDataFrame(
-        [(i, n, float(v)) for i, (n, v) in enumerate(zip(pre.names(), fitted.coefficients))], "position int, feature string, coefficient double"
+    names = fixed_rows(
+        w.spark,
+        {"position": "int", "feature": "string", "coefficient": "double"},
+        [(i, n, float(v)) for i, (n, v) in enumerate(zip(pre.names(), fitted.coefficients))],
     )
     return gradient.join(names, "position").select("feature", "coefficient", (c("g") + c("coefficient")).alias("gradient"))
 
@@ -718,7 +720,7 @@ add("h11_score", lambda w: model.predictions([_fitted(w, "static")], w.frame).se
 def _platt(w: Workspace) -> DataFrame:
     calibration = w.scored.where("split = 'calibration'")
     fitted = model.fit_platt(calibration, "p_combined", "next_month_default")
-    return w.spark.createDataFrame([(fitted.slope, fitted.intercept)], "slope double, intercept double")
+    return fixed_rows(w.spark, {"slope": "double", "intercept": "double"}, [(fitted.slope, fitted.intercept)])
 
 
 add("h12_fit_platt", _platt)
@@ -1025,16 +1027,19 @@ add(
     lambda w: _named(w, lineage.impact(w.edges, w.nodes.where("node_type = 'Source'"))),
     "SELECT canonical_name, CAST(CASE substr(canonical_name, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 'c' THEN 2 ELSE 3 END AS BIGINT) AS depth FROM node",
 )
+_STEPS = "e1.edge_type = 'computed_from' AND e2.edge_type = 'validated_by' AND e3.edge_type = 'computed_from'"
 add(
     "j10_missing_paths",
     lambda w: lineage.missing_paths(
-        _paths(w),
+        lineage.lineage_paths(w.damaged_edges, w.nodes, w.nodes.where("node_type = 'Result'")),
         w.nodes.where("node_type = 'Table'").select(c("canonical_name").alias("feature")),
         2,
         ("^o[0-9]+$", "^c[0-9]+$", "^n[0-9]+$", "^r[0-9]+$"),
         ("computed_from", "validated_by", "computed_from"),
     ),
-    "SELECT 'c' || c_custkey AS feature FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT canonical_name AS feature FROM node WHERE node_type = 'Table' AND canonical_name NOT IN ("
+    "SELECT e1.to_name FROM named_edge_d e1 JOIN named_edge_d e2 ON e2.from_name = e1.to_name JOIN named_edge_d e3 ON e3.from_name = e2.to_name "
+    f"WHERE {_STEPS} AND e1.graph_scope = 'data_lineage' AND e2.graph_scope = 'data_lineage' AND e3.graph_scope = 'data_lineage')",
 )
 add(
     "j11_expected_graph_diff",
@@ -1095,12 +1100,12 @@ add(
 for _g in range(1, 6):
     add(
         f"k{_g:02d}_gate{_g}",
-        lambda w, g=_g: gates.gate(w.gate_evidence, g),
+        lambda w, g=_g: gates.gate(w.gate_evidence(g), g),
         f"SELECT * FROM ruled WHERE gate = {_g}",
     )
 add(
     "k06_gate_rollup",
-    lambda w: gates.gate_rollup(gates.check_results(gates.apply_rules(w.gate_evidence, gates.rule_table(w.spark)))),
+    lambda w: gates.gate_rollup(w.gate_checks()),
     "SELECT gate, required, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS duplicated, bad AS not_passed, CASE WHEN bad = 0 THEN 'pass' ELSE 'fail' END AS own_status, "
     "CASE WHEN sum(bad) OVER (ORDER BY gate) = 0 THEN 'pass' ELSE 'fail' END AS status FROM ("
     "SELECT gate, count(*) AS required, count(*) FILTER (WHERE status <> 'pass') AS bad FROM checks GROUP BY gate) x",

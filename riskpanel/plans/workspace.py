@@ -6,7 +6,7 @@ has something to find. Nothing is sampled or cut down.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -330,55 +330,79 @@ class Workspace:
             F.count_if(c("signal_name").isin("risk_points", "risk_band", "next_month_default")).alias("leakage_violations"),
         )
 
-    @cached_property
-    def gate_evidence(self) -> DataFrame:
-        """``(metric, value)`` for the rules of all gates, from this run's tables.
+    def gate_parts(self, gate: int) -> list[DataFrame]:
+        """One-row aggregates that hold the metrics of one gate.
 
         No time-ordered validation and no sensitivity run exist for one
-        snapshot, so gate 4 is blocked, as it must be.
+        snapshot, and no limitations or claims are recorded for it, so gates 4
+        and 5 stay closed, as they must.
         """
-        enforced = self.tests.where(c("test_id").isin(*ENFORCED_TESTS))
-        suite = gates.suite_checks(enforced).select("executed_tests", "failed_tests")
-        faults = outcomes.rate_consistency(self.summary, self.bands).agg(
-            F.sum(c("bad_size") + c("bad_defaults") + c("bad_rate") + c("duplicate_buckets") + c("blank_buckets")).alias(
-                "invalid_summaries"
+        if gate == 1:
+            columns = ("registered_sources", "sha256_valid", "source_rows", "source_columns", "raw_rows", "unlogged_rejects")
+            return [self._gap.select(*columns)]
+        if gate == 2:
+            enforced = self.tests.where(c("test_id").isin(*ENFORCED_TESTS))
+            rows = self.totals.select(
+                "raw_rows", "borrower_rows", "panel_rows", "expected_panel_rows", "bill_difference", "payment_difference"
             )
-        )
-        per_signal = self.summary.groupBy("signal_name").agg(
-            F.sum("default_count").alias("d"), F.count(F.lit(1)).alias("n")
-        )
-        summary_counts = per_signal.agg(
-            F.sum("n").alias("summary_rows"),
-            F.count(F.lit(1)).alias("signals_with_summary"),
-            F.count(F.lit(1)).alias("reproducible_signals"),
-            F.when(F.min("d") == F.max("d"), F.max("d")).alias("signal_default_total"),
-        )
-        band_counts = self.bands.agg(
-            F.count(F.lit(1)).alias("band_rows"), F.sum("default_count").alias("band_default_total")
-        )
-        version = self.signals.agg(
-            F.lit(len(SIGNALS)).cast("bigint").alias("signals"),
-            F.when(F.min(F.trim("definition_version")) != "", 1).otherwise(0).cast("bigint").alias("version_present"),
-            F.count_if(c("risk_band").isNull()).alias("missing_labels"),
-        )
-        bins = metrics.calibration_bins(self.pred).agg(
-            F.when(F.count_distinct("model") == 3, 1).otherwise(0).cast("bigint").alias("calibration_completed")
-        )
+            return [
+                rows,
+                self.integrity,
+                population.core_counts(self.borrowers, self.panel).select("periods"),
+                gates.suite_checks(enforced).select("executed_tests", "failed_tests"),
+            ]
+        if gate == 3:
+            faults = outcomes.rate_consistency(self.summary, self.bands).agg(
+                F.sum(
+                    c("bad_size") + c("bad_defaults") + c("bad_rate") + c("duplicate_buckets") + c("blank_buckets")
+                ).alias("invalid_summaries")
+            )
+            per_signal = self.summary.groupBy("signal_name").agg(
+                F.sum("default_count").alias("d"), F.count(F.lit(1)).alias("n")
+            )
+            summary_counts = per_signal.agg(
+                F.sum("n").alias("summary_rows"),
+                F.count(F.lit(1)).alias("signals_with_summary"),
+                F.count(F.lit(1)).alias("reproducible_signals"),
+                F.when(F.min("d") == F.max("d"), F.max("d")).alias("signal_default_total"),
+            )
+            band_counts = self.bands.agg(
+                F.count(F.lit(1)).alias("band_rows"), F.sum("default_count").alias("band_default_total")
+            )
+            version = self.signals.agg(
+                F.lit(len(SIGNALS)).cast("bigint").alias("signals"),
+                F.when(F.min(F.trim("definition_version")) != "", 1).otherwise(0).cast("bigint").alias("version_present"),
+            )
+            return [faults, summary_counts, band_counts, version, self.review]
+        if gate == 4:
+            def complete(df: DataFrame, column: str, wanted: int, name: str) -> DataFrame:
+                reached = F.when(F.count_distinct(column) == wanted, 1).otherwise(0).cast("bigint")
+                return df.agg(reached.alias(name))
+
+            return [
+                complete(metrics.calibration_bins(self.pred), "model", 3, "calibration_completed"),
+                complete(metrics.segments(self.pred, self.population), "segment_field", 5, "segment_stability_completed"),
+                self.signals.agg(F.count_if(c("risk_band").isNull()).alias("missing_labels")),
+            ]
         identity = gates.shared_identity(
             {"borrower": self.borrowers, "panel": self.panel, "signals": self.signals}, ("pipeline_run_id",)
         ).agg(F.count_distinct(c("low")).alias("distinct_run_ids"))
         ties = outcomes.population_tie_out(self.summary, self.bands, self.borrowers).agg(
             F.count_if(~c("ties_out")).alias("mismatches")
         )
-        segments = metrics.segments(self.pred, self.population).agg(
-            F.when(F.count_distinct("segment_field") == 5, 1).otherwise(0).cast("bigint").alias("segment_stability_completed")
-        )
-        gap = self.totals.select(
-            "*", F.greatest(c("source_rows") - c("raw_rows"), F.lit(0)).alias("unlogged_rejects")
-        )
-        core = population.core_counts(self.borrowers, self.panel).select("periods")
-        return gates.metric_evidence(
-            gap, self.integrity, core, suite, faults, summary_counts, band_counts, version, self.review, bins, segments,
-            identity, ties,
+        return [identity, ties]
+
+    @cached_property
+    def _gap(self) -> DataFrame:
+        return self.totals.withColumn(
+            "unlogged_rejects", F.greatest(c("source_rows") - c("raw_rows"), F.lit(0).cast("bigint"))
         )
 
+    def gate_evidence(self, gate: int) -> DataFrame:
+        """``(metric, value)`` for the rules of one gate, from this run's tables."""
+        return gates.metric_evidence(*self.gate_parts(gate))
+
+    def gate_checks(self) -> DataFrame:
+        """Status per check over all gates."""
+        parts = [gates.gate(self.gate_evidence(g), g) for g in (1, 2, 3, 4, 5)]
+        return gates.check_results(reduce(DataFrame.unionByName, parts))
