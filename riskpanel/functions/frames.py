@@ -136,18 +136,53 @@ def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> D
     )
 
 
+HOT_SHARE = 1e-4
+HOT_FLOOR = 100_000
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows, and more than ``floor`` rows.
+
+    At most ``1 / share`` keys can do so, whatever the data, which is what
+    makes this frame safe to broadcast.
+    """
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    limit = F.greatest(F.lit(floor), df.agg(F.count(F.lit(1))).scalar() * F.lit(share))
+    return counts.where(F.col("_n") > limit).select(*on, F.lit(True).alias("_hot"))
+
+
+def salt_many(many: DataFrame, hot: DataFrame, on: Sequence[str], spread: Column, salts: int) -> DataFrame:
+    """Add ``_salt``: 0 for most keys, spread over ``salts`` parts for hot ones."""
+    marked = many.join(F.broadcast(hot), list(on), "left")
+    part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    return marked.withColumn("_salt", F.when(F.col("_hot"), part).otherwise(F.lit(0))).drop("_hot")
+
+
+def salt_few(few: DataFrame, hot: DataFrame, on: Sequence[str], salts: int) -> DataFrame:
+    """Add ``_salt``: one row for most keys, one per part for hot ones."""
+    marked = few.join(F.broadcast(hot), list(on), "left")
+    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
+    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+
+
 def salted_join(
-    many: DataFrame, few: DataFrame, on: Sequence[str], spread: Column, salts: int = 16, how: str = "inner"
+    many: DataFrame,
+    few: DataFrame,
+    on: Sequence[str],
+    spread: Column,
+    salts: int = 32,
+    share: float = HOT_SHARE,
+    floor: int = HOT_FLOOR,
 ) -> DataFrame:
-    """Join ``many`` to ``few`` with every key of ``many`` cut into ``salts`` parts.
+    """Inner join in which hot keys of ``many`` are cut into ``salts`` parts.
 
-    For keys of ``many`` that may hold a large share of all rows: the rows of
-    one key go to ``salts`` tasks, chosen by a hash of ``spread``; each row of
-    ``few`` is sent to all of them.
+    The rows of a hot key go to different tasks by a hash of ``spread``, and
+    only the matching rows of ``few`` are repeated. All other keys join as usual.
     """
-    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(many, on, share, floor)
+    left = salt_many(many, hot, on, spread, salts)
+    right = salt_few(few, hot, on, salts)
+    return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
 def require(df: DataFrame, conditions: dict[str, str]) -> None:

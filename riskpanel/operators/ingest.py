@@ -70,8 +70,8 @@ def parsed(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 def reject_duplicates(df: DataFrame, key: str, row_no: str = "row_no") -> DataFrame:
     """Later rows of a repeated id; the first row of each id is not listed.
 
-    Only repeated ids take part in the join, and it is salted: one id may be
-    repeated in a large share of all rows.
+    Only repeated ids take part in the join, and hot ids are salted: one id may
+    be repeated in a large share of all rows.
     """
     repeated = (
         df.groupBy(key).agg(F.min(row_no).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")

@@ -7,16 +7,16 @@ fields, and coefficients. All are bounded by the feature list, not by rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from riskpanel.definitions import (
     BEHAVIORAL_NUMERIC,
@@ -30,7 +30,7 @@ from riskpanel.functions.expressions import logit, sigmoid
 from riskpanel.functions.frames import as_rows, count_where, exact_medians, fixed_rows
 from riskpanel.operators.population import prepare_features
 from riskpanel.operators.split import rank_split, require_split
-from riskpanel.session import cut_lineage
+from riskpanel.session import cut_lineage, kept
 
 c = F.col
 OUTCOME = "next_month_default"
@@ -80,6 +80,9 @@ class Imputation:
     def columns(self) -> list[str]:
         return [*self.medians, *[f"missing_{f}" for f in self.flagged]]
 
+    def only(self, numeric: Iterable[str]) -> Imputation:
+        return Imputation({f: self.medians[f] for f in numeric}, tuple(f for f in numeric if f in self.flagged))
+
     def apply(self, df: DataFrame) -> DataFrame:
         filled = {f: F.coalesce(c(f).cast("double"), F.lit(m)) for f, m in self.medians.items()}
         flags = {f"missing_{f}": F.when(c(f).isNull(), 1.0).otherwise(0.0) for f in self.flagged}
@@ -119,6 +122,9 @@ class Standardisation:
 
     moments: dict[str, tuple[float, float]]
 
+    def only(self, columns: Iterable[str]) -> Standardisation:
+        return Standardisation({x: self.moments[x] for x in columns})
+
     def apply(self, df: DataFrame) -> DataFrame:
         return df.withColumns(
             {x: (c(x).cast("double") - F.lit(mean)) / F.lit(sd if sd > 0 else 1.0) for x, (mean, sd) in self.moments.items()}
@@ -135,21 +141,23 @@ def standardise(train: DataFrame, columns: Iterable[str]) -> Standardisation:
 class OneHot:
     """Fitted category lists; a category unseen in train becomes all zeros."""
 
-    fields: tuple[str, ...]
-    indexer: StringIndexerModel | None
-    encoder: OneHotEncoderModel | None
+    fitted: dict[str, tuple[StringIndexerModel, OneHotEncoderModel]]
+
+    @property
+    def fields(self) -> tuple[str, ...]:
+        return tuple(self.fitted)
+
+    def only(self, fields: Iterable[str]) -> OneHot:
+        return OneHot({f: self.fitted[f] for f in fields})
 
     def apply(self, df: DataFrame) -> DataFrame:
-        if not self.fields:
-            return df
-        text = df.withColumns({f"_text_{f}": c(f).cast("string") for f in self.fields})
-        coded = self.encoder.transform(self.indexer.transform(text))
-        return coded.drop(*[f"_text_{f}" for f in self.fields], *[f"_index_{f}" for f in self.fields])
+        for f, (indexer, encoder) in self.fitted.items():
+            text = df.withColumn(f"_text_{f}", c(f).cast("string"))
+            df = encoder.transform(indexer.transform(text)).drop(f"_text_{f}", f"_index_{f}")
+        return df
 
     def names(self) -> list[str]:
-        if not self.fields:
-            return []
-        return [f"{f}_{v}" for f, labels in zip(self.fields, self.indexer.labelsArray) for v in labels]
+        return [f"{f}_{v}" for f, (indexer, _) in self.fitted.items() for v in indexer.labelsArray[0]]
 
 
 def one_hot(train: DataFrame, fields: Iterable[str]) -> OneHot:
@@ -158,20 +166,15 @@ def one_hot(train: DataFrame, fields: Iterable[str]) -> OneHot:
     The indexer keeps an extra slot for unseen categories and the encoder drops
     that slot only.
     """
-    fields = tuple(fields)
-    if not fields:
-        return OneHot((), None, None)
-    text = train.select(*[c(f).cast("string").alias(f"_text_{f}") for f in fields])
-    indexer = StringIndexer(
-        inputCols=[f"_text_{f}" for f in fields],
-        outputCols=[f"_index_{f}" for f in fields],
-        handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    ).fit(text)
-    encoder = OneHotEncoder(
-        inputCols=[f"_index_{f}" for f in fields], outputCols=[f"hot_{f}" for f in fields], dropLast=True
-    ).fit(indexer.transform(text))
-    return OneHot(fields, indexer, encoder)
+    fitted = {}
+    for f in fields:
+        text = train.select(c(f).cast("string").alias(f"_text_{f}"))
+        indexer = StringIndexer(
+            inputCol=f"_text_{f}", outputCol=f"_index_{f}", handleInvalid="keep", stringOrderType="alphabetAsc"
+        ).fit(text)
+        encoder = OneHotEncoder(inputCol=f"_index_{f}", outputCol=f"hot_{f}", dropLast=True).fit(indexer.transform(text))
+        fitted[f] = (indexer, encoder)
+    return OneHot(fitted)
 
 
 @dataclass(frozen=True)
@@ -188,9 +191,21 @@ class Preprocessing:
     def names(self) -> list[str]:
         return [*self.imputation.columns(), *self.categories.names()]
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Imputed, standardised and coded columns."""
+        return self.categories.apply(self.scale.apply(self.imputation.apply(df)))
+
+    def assemble(self, prepared: DataFrame) -> DataFrame:
+        """Add the feature vector to prepared columns."""
+        return VectorAssembler(inputCols=self.vector_inputs(), outputCol="features").transform(prepared)
+
     def apply(self, df: DataFrame) -> DataFrame:
-        ready = self.categories.apply(self.scale.apply(self.imputation.apply(df)))
-        return VectorAssembler(inputCols=self.vector_inputs(), outputCol="features").transform(ready)
+        return self.assemble(self.prepare(df))
+
+    def only(self, numeric: Iterable[str], categorical: Iterable[str]) -> Preprocessing:
+        """The part for some of the features; every fitted number stays the same."""
+        imputation = self.imputation.only(numeric)
+        return Preprocessing(imputation, self.scale.only(imputation.columns()), self.categories.only(categorical))
 
 
 def fit_preprocessing(train: DataFrame, numeric: Iterable[str], categorical: Iterable[str]) -> Preprocessing:
@@ -296,39 +311,43 @@ def coefficients(model: FittedModel) -> DataFrame:
     return fixed_rows(spark, columns, [(model.name, i, n, v) for i, (n, v) in enumerate(ordered, start=1)])
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep ``df`` for the passes of a fit, spilling to disk.
+def _fit(name: str, pre: Preprocessing, prepared: DataFrame) -> FittedModel:
+    """Fit on the train rows of a prepared frame, calibrate on its calibration rows."""
+    ready = pre.assemble(prepared).select("split", OUTCOME, "features")
+    logistic = fit_logistic(ready.where("split = 'train'"), OUTCOME)
+    calibration = score(ready.where("split = 'calibration'"), logistic)
+    return FittedModel(name, pre, logistic, fit_platt(calibration, "raw_pd", OUTCOME))
+
 
-    Blocks lost with an executor are computed again. A frame that its caller
-    keeps already is left as it is.
+def fit_models(frame: DataFrame, names: Iterable[str] = MODELS) -> list[FittedModel]:
+    """Fit several models over one prepared frame.
+
+    All models learn from the same train rows, so medians, moments and
+    categories are fitted once over all features. The fits themselves are
+    independent series of small jobs and are submitted side by side.
     """
-    held = df.storageLevel.useMemory or df.storageLevel.useDisk
-    stored = df if held else df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield stored
-    finally:
-        if not held:
-            stored.unpersist()
+    names = list(names)
+    numeric = list(dict.fromkeys(f for n in names for f in FEATURES[n][0]))
+    categorical = list(dict.fromkeys(f for n in names for f in FEATURES[n][1]))
+    require_no_leakage((*numeric, *categorical))
+    columns = dict.fromkeys(("split", OUTCOME, *numeric, *categorical))
+    with kept(frame) as stored:
+        require_split(stored)
+        pre = fit_preprocessing(stored.where("split = 'train'"), numeric, categorical)
+        with kept(pre.prepare(stored.where("split <> 'test'").select(*columns))) as prepared:
+            fit = inheritable_thread_target(frame.sparkSession)(lambda n: _fit(n, pre.only(*FEATURES[n]), prepared))
+            with ThreadPoolExecutor(len(names)) as pool:
+                return list(pool.map(fit, names))
 
 
 def fit_one(frame: DataFrame, name: str) -> FittedModel:
     """Fit one model on the train rows and calibrate it on the calibration rows."""
-    numeric, categorical = FEATURES[name]
-    require_no_leakage((*numeric, *categorical))
-    with kept(frame) as stored:
-        train = stored.where("split = 'train'")
-        pre = fit_preprocessing(train, numeric, categorical)
-        logistic = fit_logistic(pre.apply(train), OUTCOME)
-        calibration = score(pre.apply(stored.where("split = 'calibration'")), logistic)
-        return FittedModel(name, pre, logistic, fit_platt(calibration, "raw_pd", OUTCOME))
+    return fit_models(frame, [name])[0]
 
 
 def fit_three(frame: DataFrame) -> list[FittedModel]:
     """Static, behavioural and combined model over one prepared frame."""
-    with kept(frame) as stored:
-        require_split(stored)
-        return [fit_one(stored, name) for name in MODELS]
+    return fit_models(frame, MODELS)
 
 
 def predictions(models: list[FittedModel], frame: DataFrame, split: str = "test") -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +48,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="riskpanel-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep ``df`` for several passes over it, spilling to disk.
+
+    Blocks lost with an executor are computed again. A frame that its caller
+    keeps already is left as it is.
+    """
+    held = df.storageLevel.useMemory or df.storageLevel.useDisk
+    stored = df if held else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield stored
+    finally:
+        if not held:
+            stored.unpersist()
