@@ -146,8 +146,12 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor:
     At most ``1 / share`` keys can do so, whatever the data, which is what
     makes this frame safe to broadcast.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(F.lit(floor), df.agg(F.count(F.lit(1))).scalar() * F.lit(share))
+    return hot_of_counts(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, share, floor)
+
+
+def hot_of_counts(counts: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+    """:func:`hot_keys` where the rows per key (``_n``) are at hand already."""
+    limit = F.greatest(F.lit(floor), counts.agg(F.sum("_n")).scalar() * F.lit(share))
     return counts.where(F.col("_n") > limit).select(*on, F.lit(True).alias("_hot"))
 
 
@@ -171,15 +175,14 @@ def salted_join(
     on: Sequence[str],
     spread: Column,
     salts: int = 32,
-    share: float = HOT_SHARE,
-    floor: int = HOT_FLOOR,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join in which hot keys of ``many`` are cut into ``salts`` parts.
 
     The rows of a hot key go to different tasks by a hash of ``spread``, and
     only the matching rows of ``few`` are repeated. All other keys join as usual.
     """
-    hot = hot_keys(many, on, share, floor)
+    hot = hot_keys(many, on) if hot is None else hot
     left = salt_many(many, hot, on, spread, salts)
     right = salt_few(few, hot, on, salts)
     return left.join(right, [*on, "_salt"]).drop("_salt")

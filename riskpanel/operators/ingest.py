@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.definitions import INT32_MAX, INT32_MIN
-from riskpanel.functions.frames import GuardError, count_where, ordered_running_sum, require, salted_join
+from riskpanel.functions.frames import (
+    HOT_FLOOR, HOT_SHARE, GuardError, count_where, hot_of_counts, ordered_running_sum, require, salted_join,
+)
 
 # Reject reasons and the text form of a number.
 MISSING = "missing value"
@@ -35,7 +37,7 @@ def reject_reason(cell: Column) -> Column:
     number = cell.try_cast("double")
     return (
         F.when(cell.isNull() | (cell == ""), MISSING)
-        .when(~cell.rlike(NUMBER) | number.isNull(), NON_NUMERIC)
+        .when(~cell.rlike(NUMBER), NON_NUMERIC)
         .when(number != F.floor(number).cast("double"), NON_INTEGRAL)
         .when((number < INT32_MIN) | (number > INT32_MAX), OUT_OF_RANGE)
     )
@@ -67,16 +69,18 @@ def parsed(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return clean.select(*keep, *[F.col(f).try_cast("double").cast("bigint").alias(f) for f in fields])
 
 
-def reject_duplicates(df: DataFrame, key: str, row_no: str = "row_no") -> DataFrame:
+def reject_duplicates(
+    df: DataFrame, key: str, row_no: str = "row_no", share: float = HOT_SHARE, floor: int = HOT_FLOOR
+) -> DataFrame:
     """Later rows of a repeated id; the first row of each id is not listed.
 
     Only repeated ids take part in the join, and hot ids are salted: one id may
     be repeated in a large share of all rows.
     """
-    repeated = (
-        df.groupBy(key).agg(F.min(row_no).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    )
-    later = salted_join(df, repeated, [key], F.col(row_no)).where(F.col(row_no) > F.col("_first"))
+    counts = df.groupBy(key).agg(F.min(row_no).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    repeated = counts.where("_n > 1").drop("_n")
+    hot = hot_of_counts(counts, [key], share, floor)
+    later = salted_join(df, repeated, [key], F.col(row_no), hot=hot).where(F.col(row_no) > F.col("_first"))
     return later.select(
         F.col(row_no).alias("row_no"),
         F.lit(1).cast("bigint").alias("col_no"),

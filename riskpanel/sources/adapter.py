@@ -69,18 +69,21 @@ def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     Damage depends on the values themselves: a few values of ``k`` blank the
     id, break the amount, put the user out of range or repeat an earlier id.
     """
-    k = F.get_json_object("props", "$.k")
-    ident = F.col("event_id").cast("string")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("row_no"),
-        F.when(k == "13", "").when(k == "23", (F.floor(F.col("event_id") / 2)).cast("string")).otherwise(ident).alias("id"),
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    k, event = F.col("k"), F.col("event_id")
+    row = F.struct(
+        event.alias("row_no"),
+        F.when(k == "13", "").when(k == "23", F.floor(event / 2).cast("string")).otherwise(event.cast("string")).alias("id"),
         F.when(k == "17", "9999999999").otherwise(F.col("user_id").cast("string")).alias("user"),
         F.when(k == "19", "n/a")
         .when(F.col("event_type") == "error", F.format_string("%.2f", F.col("value")))
         .otherwise(F.floor("value").cast("string"))
         .alias("amount"),
-        k.alias("k"),
+        k,
     )
+    # Laid out as rows so that later filters read the finished text and do not
+    # repeat the work that makes it.
+    return as_rows(events, [row])
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
