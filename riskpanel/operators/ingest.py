@@ -38,7 +38,7 @@ def reject_reason(cell: Column) -> Column:
     return (
         F.when(cell.isNull() | (cell == ""), MISSING)
         .when(~cell.rlike(NUMBER), NON_NUMERIC)
-        .when(number != F.floor(number).cast("double"), NON_INTEGRAL)
+        .when(number != F.rint(number), NON_INTEGRAL)
         .when((number < INT32_MIN) | (number > INT32_MAX), OUT_OF_RANGE)
     )
 

@@ -29,7 +29,6 @@ from riskpanel.functions.frames import as_rows, count_where, ordered_running_sum
 c = F.col
 Y, P = "actual_default", "predicted_pd"
 # Metric names, and the names of their pairwise differences.
-BASE_METRICS = ("sample_count", "default_count", "default_rate", "average_pd", "brier_score", "log_loss")
 ECE = "expected_calibration_error_10_bin"
 DELTA_METRICS = {
     "roc_auc": "roc_auc_difference",
@@ -83,30 +82,36 @@ def ordered_scores(pred: DataFrame) -> DataFrame:
     return ordered_running_sum(tied, [P], ["pos", "neg"], by=["model"])
 
 
-def rank_metrics(pred: DataFrame) -> DataFrame:
-    """ROC AUC and average precision per model.
+def _pair_terms() -> tuple[Column, Column]:
+    """Per distinct probability: twice the ordered pairs won, and the area step.
 
-    Pairs are summed as exact decimals (twice the pair count, so a tie is 1),
-    so the AUC does not depend on the order of addition. A model without both
-    classes gets NULL.
+    Pairs are exact decimals (a tie is 1, a win is 2), so the AUC does not
+    depend on the order of addition.
     """
     pairs = c("pos").cast("decimal(19,0)") * (2 * c("cum_neg") - c("neg")).cast("decimal(19,0)")
     true_above = c("total_pos") - c("cum_pos") + c("pos")
     false_above = c("total_neg") - c("cum_neg") + c("neg")
+    return pairs, ratio(c("pos"), c("total_pos")) * ratio(true_above, true_above + false_above)
+
+
+def _rank_values() -> tuple[Column, Column]:
+    """ROC AUC and average precision from the summed terms; NULL without both classes."""
     both = (c("total_pos") > 0) & (c("total_neg") > 0)
-    step = ratio(c("pos"), c("total_pos")) * ratio(true_above, true_above + false_above)
+    all_pairs = F.lit(2.0) * c("total_pos").cast("double") * c("total_neg").cast("double")
+    auc = F.when(both, F.try_divide(c("_pairs").cast("double"), all_pairs)).alias("roc_auc")
+    return auc, F.when(both, c("_area")).alias("pr_auc")
+
+
+def rank_metrics(pred: DataFrame) -> DataFrame:
+    """ROC AUC and average precision per model."""
+    pairs, step = _pair_terms()
     summed = ordered_scores(pred).groupBy("model").agg(
         F.sum(pairs).alias("_pairs"),
         F.sum(step).alias("_area"),
         F.max("total_pos").alias("total_pos"),
         F.max("total_neg").alias("total_neg"),
     )
-    all_pairs = F.lit(2.0) * c("total_pos").cast("double") * c("total_neg").cast("double")
-    return summed.select(
-        "model",
-        F.when(both, F.try_divide(c("_pairs").cast("double"), all_pairs)).alias("roc_auc"),
-        F.when(both, c("_area")).alias("pr_auc"),
-    )
+    return summed.select("model", *_rank_values())
 
 
 def roc_auc(pred: DataFrame) -> DataFrame:
@@ -143,19 +148,60 @@ def ece(pred: DataFrame, bins: int = CALIBRATION_BINS) -> DataFrame:
     )
 
 
-def metric_rows(*wide: DataFrame) -> DataFrame:
-    """Metric table ``(model, metric, value)`` from frames with a column per metric."""
-    parts = []
-    for df in wide:
-        names = [n for n in df.columns if n != "model"]
-        cells = [F.struct(F.lit(n).alias("metric"), c(n).cast("double").alias("value")) for n in names]
-        parts.append(df.select("model", F.explode(F.array(*cells)).alias("m")).select("model", "m.*"))
-    return reduce(DataFrame.unionByName, parts)
+def metric_rows(wide: DataFrame) -> DataFrame:
+    """Metric table ``(model, metric, value)`` from a column per metric."""
+    names = [n for n in wide.columns if n != "model"]
+    cells = [F.struct(F.lit(n).alias("metric"), c(n).cast("double").alias("value")) for n in names]
+    return wide.select("model", F.explode(F.array(*cells)).alias("m")).select("model", "m.*")
+
 
+def metric_table(pred: DataFrame, bins: int = CALIBRATION_BINS) -> DataFrame:
+    """All recomputed metrics of every model, except the fitted diagnostic.
 
-def metric_table(pred: DataFrame) -> DataFrame:
-    """All recomputed metrics of every model, except the fitted diagnostic."""
-    return metric_rows(base_metrics(pred), rank_metrics(pred), ece(pred))
+    One pass: rows become counts per distinct probability, from which every
+    metric follows; those are summed per calibration bin and then per model.
+    """
+    n = c("pos") + c("neg")
+    pairs, step = _pair_terms()
+    squared = c("pos") * F.pow(c(P) - 1, F.lit(2)) + c("neg") * F.pow(c(P), F.lit(2))
+    loss = -(
+        c("pos") * F.ln(clipped(c(P), PROBABILITY_EPSILON)) + c("neg") * F.ln(clipped(1 - c(P), PROBABILITY_EPSILON))
+    )
+    per_bin = ordered_scores(pred).groupBy(
+        "model", F.least(F.floor(c(P) * bins), F.lit(bins - 1).cast("bigint")).alias("_bin")
+    ).agg(
+        F.sum(n).alias("n"),
+        F.sum("pos").alias("d"),
+        F.sum(n * c(P)).alias("pd"),
+        F.sum(squared).alias("squared"),
+        F.sum(loss).alias("loss"),
+        F.sum(pairs).alias("_pairs"),
+        F.sum(step).alias("_area"),
+        F.max("total_pos").alias("total_pos"),
+        F.max("total_neg").alias("total_neg"),
+    )
+    per_model = per_bin.groupBy("model").agg(
+        F.sum("n").alias("sample_count"),
+        F.sum("d").alias("default_count"),
+        *[F.sum(x).alias(x) for x in ("pd", "squared", "loss", "_pairs", "_area")],
+        F.sum(F.abs(c("pd") - c("d"))).alias("_gap"),
+        F.max("total_pos").alias("total_pos"),
+        F.max("total_neg").alias("total_neg"),
+    )
+    rows = c("sample_count").cast("double")
+    return metric_rows(
+        per_model.select(
+            "model",
+            "sample_count",
+            "default_count",
+            ratio(c("default_count"), c("sample_count")).alias("default_rate"),
+            (c("pd") / rows).alias("average_pd"),
+            (c("squared") / rows).alias("brier_score"),
+            (c("loss") / rows).alias("log_loss"),
+            *_rank_values(),
+            (c("_gap") / rows).alias(ECE),
+        )
+    )
 
 
 def segments(pred: DataFrame, population: DataFrame, fields: tuple[str, ...] = SEGMENT_FIELDS) -> DataFrame:
