@@ -15,11 +15,6 @@ def period_end(offset: Column, anchor: str) -> Column:
     return F.last_day(F.add_months(F.lit(anchor).cast("date"), offset.cast("int")))
 
 
-def severity(status: Column) -> Column:
-    """Delinquency severity; non-positive codes carry none and are not read further."""
-    return F.greatest(status, F.lit(0))
-
-
 def longest_run(flags: Sequence[Column]) -> Column:
     """Longest run of true flags, in the order given; NULL breaks a run."""
     run: Column = F.lit(0)

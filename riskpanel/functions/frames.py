@@ -20,7 +20,7 @@ def single_row(*frames: DataFrame) -> DataFrame:
     one row per input; no join is needed to bring the numbers side by side.
     """
     merged = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
-    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+    return merged.agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in merged.columns])
 
 
 def as_rows(df: DataFrame, structs: Sequence[Column]) -> DataFrame:

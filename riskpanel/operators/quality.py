@@ -200,19 +200,14 @@ def quality_suite(t: Tables, p: PanelParams = DEFAULT, only: Iterable[str] | Non
     rows = as_rows(
         merged,
         [
-            F.struct(
-                F.lit(p.run_id).alias("pipeline_run_id"),
-                F.lit(r.test_id).alias("test_id"),
-                F.lit(r.name).alias("test_name"),
-                F.lit("data_quality").alias("test_type"),
-                F.lit(r.severity).alias("severity"),
-                F.expr(r.tested.format(periods=p.n_periods)).cast("bigint").alias("tested_rows"),
-                F.expr(r.failed.format(periods=p.n_periods)).cast("bigint").alias("failed_rows"),
-                F.lit(r.affected).alias("affected_object"),
+            F.expr(
+                f"named_struct('test_id', '{r.test_id}', 'test_name', '{r.name}', 'severity', '{r.severity}', "
+                f"'tested_rows', CAST({r.tested} AS BIGINT), "
+                f"'failed_rows', CAST({r.failed.format(periods=p.n_periods)} AS BIGINT), 'affected_object', '{r.affected}')"
             )
             for r in rules
         ],
-    )
+    ).select(F.lit(p.run_id).alias("pipeline_run_id"), F.lit("data_quality").alias("test_type"), "*")
     return grade(rows).select(*EVIDENCE)
 
 

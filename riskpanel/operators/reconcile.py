@@ -17,25 +17,23 @@ def _tag(offset: int) -> str:
 
 def wide_totals(raw: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
     """One row over the wide table: row count and a sum per amount column."""
-    return raw.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        *[F.sum(x.bill).alias(f"wide_bill_{_tag(x.offset)}") for x in p.periods],
-        *[F.sum(x.payment).alias(f"wide_payment_{_tag(x.offset)}") for x in p.periods],
-    )
+    sums = [f"sum({x.bill}) AS wide_bill_{_tag(x.offset)}" for x in p.periods]
+    sums += [f"sum({x.payment}) AS wide_payment_{_tag(x.offset)}" for x in p.periods]
+    return raw.agg(F.count(F.lit(1)).alias("raw_rows"), *[F.expr(x) for x in sums])
 
 
 def panel_totals(panel: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
     """One row over the panel: row count, totals and a sum per period and measure."""
     sums = []
     for x in p.periods:
-        here = F.col("month_offset") == x.offset
-        sums.append(F.sum(F.when(here, F.col("bill_amount_ntd"))).alias(f"long_bill_{_tag(x.offset)}"))
-        sums.append(F.sum(F.when(here, F.col("payment_amount_ntd"))).alias(f"long_payment_{_tag(x.offset)}"))
+        here = f"CASE WHEN month_offset = {x.offset} THEN"
+        sums.append(f"sum({here} bill_amount_ntd END) AS long_bill_{_tag(x.offset)}")
+        sums.append(f"sum({here} payment_amount_ntd END) AS long_payment_{_tag(x.offset)}")
     return panel.agg(
         F.count(F.lit(1)).alias("panel_rows"),
         F.sum("bill_amount_ntd").alias("long_bill"),
         F.sum("payment_amount_ntd").alias("long_payment"),
-        *sums,
+        *[F.expr(x) for x in sums],
     )
 
 

@@ -31,14 +31,14 @@ def history_from_panel(panel: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
     (run, customer, offset) is the panel's key, so each max reads one value.
     """
     measures = []
-    for offset in p.offsets:
-        here = F.col("month_offset") == offset
+    for o in p.offsets:
+        here = f"CASE WHEN month_offset = {o} THEN"
         measures += [
-            F.max(F.when(here, X.severity(F.col("repayment_status")))).alias(_name("severity", offset)),
-            F.max(F.when(here, F.col("bill_amount_ntd"))).alias(_name("bill", offset)),
-            F.max(F.when(here, F.col("payment_amount_ntd"))).alias(_name("payment", offset)),
+            f"max({here} greatest(repayment_status, 0) END) AS {_name('severity', o)}",
+            f"max({here} bill_amount_ntd END) AS {_name('bill', o)}",
+            f"max({here} payment_amount_ntd END) AS {_name('payment', o)}",
         ]
-    return panel.groupBy(*KEYS).agg(*measures)
+    return panel.groupBy(*KEYS).agg(*[F.expr(m) for m in measures])
 
 
 def history_from_wide(raw: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
@@ -47,9 +47,9 @@ def history_from_wide(raw: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
     measures = []
     for x in p.periods:
         measures += [
-            X.severity(F.col(x.status)).alias(_name("severity", x.offset)),
-            F.col(x.bill).alias(_name("bill", x.offset)),
-            F.col(x.payment).alias(_name("payment", x.offset)),
+            f"greatest({x.status}, 0) AS {_name('severity', x.offset)}",
+            f"{x.bill} AS {_name('bill', x.offset)}",
+            f"{x.payment} AS {_name('payment', x.offset)}",
         ]
     return raw.select(
         F.lit(p.run_id).alias("pipeline_run_id"),
@@ -57,7 +57,7 @@ def history_from_wide(raw: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
         F.lit(p.observation_date).cast("date").alias("observation_date"),
         F.col(p.wide_outcome).alias("next_month_default"),
         F.col(limit).alias("credit_limit_ntd"),
-        *measures,
+        *[F.expr(m) for m in measures],
     )
 
 

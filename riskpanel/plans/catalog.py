@@ -691,7 +691,7 @@ add("h09_one_hot", _one_hot)
 
 def _logistic(w: Workspace) -> DataFrame:
     """Penalised gradient of the fitted combined model at its solution: near 0 everywhere."""
-    train = _train(w).persist()  # read by every pass of the fit and by the check
+    train = w.stored_frame.where("split = 'train'")
     pre = model.fit_preprocessing(train, *model.FEATURES["combined"])
     ready = pre.apply(train)
     fitted = model.fit_logistic(ready, model.OUTCOME)
@@ -711,10 +711,10 @@ add("h10_fit_logistic", _logistic)
 
 
 def _fitted(w: Workspace, name: str = "combined") -> model.FittedModel:
-    return model.fit_one(w.frame, name)
+    return model.fit_one(w.stored_frame, name)
 
 
-add("h11_score", lambda w: model.predictions([_fitted(w, "static")], w.frame).select("model", "borrower_id", "raw_pd"))
+add("h11_score", lambda w: model.predictions([_fitted(w, "static")], w.stored_frame).select("model", "borrower_id", "raw_pd"))
 
 
 def _platt(w: Workspace) -> DataFrame:
@@ -749,9 +749,8 @@ add("h15_coefficients", lambda w: model.coefficients(_fitted(w, "behavioral")))
 
 
 def _three(w: Workspace) -> DataFrame:
-    frame = w.frame.persist()
-    fitted = model.fit_three(frame)
-    return metrics.metric_table(model.predictions(fitted, frame))
+    fitted = model.fit_three(w.stored_frame)
+    return metrics.metric_table(model.predictions(fitted, w.stored_frame))
 
 
 add("h16_fit_three", _three)

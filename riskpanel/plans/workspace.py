@@ -16,6 +16,7 @@ from riskpanel.functions.frames import single_row
 from riskpanel.operators import (
     gates, lineage, metrics, model, outcomes, panel, population, quality, reconcile, signals,
 )
+from riskpanel.session import cut_lineage
 from riskpanel.sources import adapter
 
 c = F.col
@@ -153,6 +154,11 @@ class Workspace:
     def frame(self) -> DataFrame:
         return model.model_frame(self.extract)
 
+    @cached_property
+    def stored_frame(self) -> DataFrame:
+        """The prepared frame, written once for the many passes of fits."""
+        return cut_lineage(self.frame)
+
     @cached_property
     def scored(self) -> DataFrame:
         """Prepared frame with three stand-in probabilities, made from codes,

@@ -27,39 +27,36 @@ def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders are summed per customer before the join, so a customer with very
     many orders costs one partial row per map task.
     """
-    offset, status, amount = F.col("period"), F.col("o_orderstatus"), F.col("amount")
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").selectExpr(
         "o_custkey",
         "o_orderstatus",
-        (F.year("o_orderdate") - LATEST_YEAR).alias("period"),
-        F.floor("o_totalprice").cast("bigint").alias("amount"),
+        f"year(o_orderdate) - {LATEST_YEAR} AS period",
+        "CAST(floor(o_totalprice) AS BIGINT) AS amount",
     )
     measures = []
     for p in WIDE_PERIODS:
-        here = offset == p.offset
         measures += [
-            F.count_if(here & (status == "P")).alias(p.status),
-            F.sum(F.when(here, amount)).alias(p.bill),
-            F.sum(F.when(here & (status == "F"), amount)).alias(p.payment),
+            f"count_if(period = {p.offset} AND o_orderstatus = 'P') AS {p.status}",
+            f"sum(CASE WHEN period = {p.offset} THEN amount END) AS {p.bill}",
+            f"sum(CASE WHEN period = {p.offset} AND o_orderstatus = 'F' THEN amount END) AS {p.payment}",
         ]
-    outcome = F.max(F.when((offset == 1) & (status == "P"), 1)).alias("outcome")
-    history = orders.groupBy("o_custkey").agg(*measures, outcome)
+    outcome = "max(CASE WHEN period = 1 AND o_orderstatus = 'P' THEN 1 END) AS outcome"
+    history = orders.groupBy("o_custkey").agg(*[F.expr(m) for m in (*measures, outcome)])
     joined = table(spark, sf_dir, "customer").join(history, F.col("c_custkey") == F.col("o_custkey"), "left")
-    zero = F.lit(0).cast("bigint")
-    return joined.select(
-        (F.col("c_custkey") + 1).alias("id"),
-        (F.floor(F.abs("c_acctbal") * 100).cast("bigint") + 10000).alias("limit_bal"),
-        (F.col("c_custkey") % 2 + 1).alias("sex"),
-        (F.col("c_nationkey") % 7).cast("bigint").alias("education"),
-        (F.col("c_nationkey") % 4).cast("bigint").alias("marriage"),
-        (F.col("c_custkey") % 60 + 21).alias("age"),
-        *[(F.coalesce(p.status, zero) - 1).alias(p.status) for p in WIDE_PERIODS],
-        *[F.coalesce(p.bill, zero).alias(p.bill) for p in WIDE_PERIODS],
-        *[F.coalesce(p.payment, zero).alias(p.payment) for p in WIDE_PERIODS],
-        F.coalesce(F.col("outcome").cast("bigint"), zero).alias("default_payment_next_month"),
-        F.lit(SOURCE_ID).alias("source_id"),
-        F.sha2(F.lit(SOURCE_ID).cast("binary"), 256).alias("source_file_sha256"),
-        (F.col("c_custkey") + 3).alias("source_row_number"),
+    return joined.selectExpr(
+        "c_custkey + 1 AS id",
+        "CAST(floor(abs(c_acctbal) * 100) AS BIGINT) + 10000 AS limit_bal",
+        "c_custkey % 2 + 1 AS sex",
+        "CAST(c_nationkey % 7 AS BIGINT) AS education",
+        "CAST(c_nationkey % 4 AS BIGINT) AS marriage",
+        "c_custkey % 60 + 21 AS age",
+        *[f"coalesce({p.status}, 0L) - 1 AS {p.status}" for p in WIDE_PERIODS],
+        *[f"coalesce({p.bill}, 0L) AS {p.bill}" for p in WIDE_PERIODS],
+        *[f"coalesce({p.payment}, 0L) AS {p.payment}" for p in WIDE_PERIODS],
+        "CAST(coalesce(outcome, 0) AS BIGINT) AS default_payment_next_month",
+        f"'{SOURCE_ID}' AS source_id",
+        f"sha2('{SOURCE_ID}', 256) AS source_file_sha256",
+        "c_custkey + 3 AS source_row_number",
     )
 
 
