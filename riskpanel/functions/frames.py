@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -46,22 +47,35 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
-def range_bucket(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """Buckets for a global order: about four per shuffle partition, at most 4096."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(4096, max(16, 4 * parts))
+
+
+def range_bucket(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Add ``_bucket``: the position of ``order`` among approximate quantile edges.
 
     Edges come from the data, so a score range that holds most of the rows is
-    cut finely. They hold ``buckets`` values per ``by`` group, and ``by`` is a
+    cut finely. A row is compared with every ``side``-th edge and then with the
+    edges of that stretch, ``2 * side`` comparisons for ``side ** 2`` buckets.
+
+    The edges hold one number per bucket and ``by`` group, and ``by`` is a
     fixed list (models, features), so the broadcast below is bounded by the
     parameters and does not grow with the rows.
     """
-    steps = ", ".join(repr(i / buckets) for i in range(1, buckets))
-    edges = F.expr(f"percentile_approx(`{order}`, array({steps}), 1000)").alias("_edges")
+    side = max(2, math.isqrt((buckets or default_buckets(df)) - 1) + 1)
+    steps = ", ".join(f"{i / side**2!r}D" for i in range(1, side**2))
+    edges = F.expr(f"percentile_approx(`{order}`, array({steps}), 10000)").alias("_edges")
     if by:
         keyed = df.join(F.broadcast(df.groupBy(*by).agg(edges)), list(by))
     else:
         keyed = df.withColumn("_edges", df.agg(edges).scalar())
-    below = F.size(F.filter("_edges", lambda edge: edge < F.col(order)))
-    return keyed.withColumn("_bucket", below).drop("_edges")
+    marks = ", ".join(f"_edges[{side * i - 1}]" for i in range(1, side))
+    stretch = keyed.withColumn("_stretch", F.expr(f"size(filter(array({marks}), e -> e < `{order}`))"))
+    fine = f"slice(_edges, _stretch * {side} + 1, {side - 1})"
+    bucket = F.expr(f"_stretch * {side} + size(filter({fine}, e -> e < `{order}`))")
+    return stretch.withColumn("_bucket", bucket).drop("_edges", "_stretch")
 
 
 def ordered_running_sum(
@@ -70,7 +84,7 @@ def ordered_running_sum(
     values: Sequence[str],
     by: Sequence[str] = (),
     bucket: Column | None = None,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Running sums in global order without moving all rows to one task.
 
@@ -110,7 +124,7 @@ def ordered_running_sum(
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int = 64) -> DataFrame:
+def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> DataFrame:
     """One row per column: ``(feature, median, n)``, exact, ignoring NULLs.
 
     Values are counted first, so equal values travel once; the middle position

@@ -44,8 +44,8 @@ def input_reconciliation(borrowers: DataFrame, signals: DataFrame) -> DataFrame:
         total("_s_only").alias("signal_without_borrower"),
         F.sum("_defaults").alias("observed_defaults"),
     )
-    joined = borrowers.join(signals.select("customer_id"), "customer_id", "left_semi")
-    values = joined.groupBy(*METADATA).agg(F.lit(1).alias("_"))
+    kinds = borrowers.select("customer_id", *METADATA).distinct()
+    values = kinds.join(right.select("customer_id"), "customer_id", "left_semi").select(*METADATA).distinct()
     metadata = values.agg(
         F.count_distinct("source_id").alias("source_id_count"),
         F.count_distinct("source_file_sha256").alias("source_hash_count"),

@@ -20,7 +20,7 @@ from riskpanel.definitions import (
 )
 from riskpanel.functions import expressions as X
 from riskpanel.functions.expressions import period_end
-from riskpanel.functions.frames import as_rows, count_where, ratio, require, single_row
+from riskpanel.functions.frames import as_rows, count_where, hot_of_counts, ratio, require, salted_join, single_row
 from riskpanel.operators.signals import KEYS, _over, earlier_max, history, recent_max
 
 c = F.col
@@ -144,14 +144,19 @@ def _panel_keys_pass(t: Tables, p: PanelParams) -> DataFrame:
 
 
 def _copies_pass(t: Tables, p: PanelParams) -> DataFrame:
+    """Raw rows beside their borrower. An id that raw repeats very often is
+    spread, from the same counts per id that the raw pass needs."""
     names = [name for _, name in p.attributes]
     raw = t.raw.select(
         c(p.wide_key).alias("customer_id"),
         F.struct(*[c(wide).alias(name) for wide, name in p.attributes]).alias("_raw"),
         c(p.wide_outcome).alias("_raw_outcome"),
+        c("source_row_number").alias("_spread"),
     )
     core = t.borrowers.select("customer_id", F.struct(*names).alias("_core"), "next_month_default")
-    return raw.join(core, "customer_id").agg(
+    per_id = t.raw.groupBy(c(p.wide_key).alias("customer_id")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_of_counts(per_id, ["customer_id"])
+    return salted_join(raw, core, ["customer_id"], c("_spread"), hot=hot).agg(
         count_where(~c("_raw").eqNullSafe(c("_core"))).alias("attribute_differences"),
         count_where(~c("_raw_outcome").eqNullSafe(c("next_month_default"))).alias("outcome_differences"),
     )

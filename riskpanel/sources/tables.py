@@ -54,7 +54,10 @@ def require_header(df: DataFrame, expected: list[str]) -> DataFrame:
 
 
 def fingerprint_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and length of every input file, one task per group of files."""
+    """SHA-256 and length of every input file, one task per group of files.
+
+    A file is one row here, and the reader refuses files of 2 GiB and more.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return files.select(
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
