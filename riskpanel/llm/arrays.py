@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are laid out as arrays at once; only one longer text exceeds it.
 CHUNK_BYTES = 1 << 20
@@ -110,7 +111,7 @@ def words(texts: pa.Array, kind: np.ndarray = BLANK_WORDS, lower: bool = False)
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold about `most` bytes of text."""
-    lengths = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0))
+    lengths = np.asarray(pc.binary_length(batch.column(text)).fill_null(0))
     total, begin = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > most:

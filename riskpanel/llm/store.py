@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -41,6 +42,9 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Delete tables that are no longer read, and let Spark clear the shuffle files behind them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
