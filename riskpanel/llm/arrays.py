@@ -69,6 +69,7 @@ class Words:
     """The words of a slice of texts. `bounds[i]:bounds[i+1]` are the words of text i."""
 
     data: np.ndarray  # bytes, lower-cased where asked for
+    raw: np.ndarray  # bytes as given
     offsets: np.ndarray  # byte offsets of the texts
     starts: np.ndarray
     ends: np.ndarray
@@ -96,17 +97,16 @@ def words(texts: pa.Array, kind: np.ndarray = BLANK_WORDS, lower: bool = False)
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], np.int64 if large else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
-    data = raw[offsets[0] : offsets[-1]]
+    raw = raw[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    if lower:
-        data = LOWER[data]
+    data = LOWER[raw] if lower else raw
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = kind[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
+    return Words(data, raw, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -50,14 +50,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bit_table(values: DataFrame, column: Column, n: int) -> np.ndarray:
+def bit_table(values: DataFrame, column: Column, n: int, least_bits: int = 15) -> np.ndarray:
     """A table of bits with the low bits of every 64-bit value set.
 
     About sixteen bits a value, 2**MOST_BITS at most. It only thins out rows in
     front of a join that decides: beyond that size it lets more rows through,
     and results stay the same.
     """
-    bits = min(MOST_BITS, max(15, math.ceil(math.log2(16 * max(n, 1)))))
+    bits = min(MOST_BITS, max(least_bits, math.ceil(math.log2(16 * max(n, 1)))))
     place = (column.bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("place")
     parts = (
         values.select(place)
