@@ -82,6 +82,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         return spans_hash(_BYTE_VALUES[self.data], self.starts, self.ends)
 
+    def beginnings(self, most: int) -> np.ndarray:
+        """Hashes of the first bytes of every word."""
+        return spans_hash(_BYTE_VALUES[self.data], self.starts, np.minimum(self.starts + most, self.ends))
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
