@@ -106,13 +106,28 @@ def thresholds(scratch: Scratch, rows: DataFrame, targets: DataFrame) -> DataFra
     return state.withColumnRenamed("prefix", "threshold")
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken."""
-    scratch = Scratch(spark, "mixing")
+def source_limits(scratch: Scratch, docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, source, size, hash) of docs, and (of, source_size, target, rounds, threshold) by source."""
     rows = scratch.store(docs.select("doc_id", "source", size_of_text().alias("size"), row_hash().alias("hash")), "rows")
     targets = scratch.store(source_targets(rows, weights, most), "targets")
-    limits = thresholds(scratch, rows, targets).withColumnRenamed("source", "of")
-    copies = (F.col("rounds") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
+    return rows, thresholds(scratch, rows, targets).withColumnRenamed("source", "of")
+
+
+def copies_of(hashed: str) -> Column:
+    return (F.col("rounds") + F.when(F.col(hashed) < F.col("threshold"), 1).otherwise(0)).cast("long")
+
+
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken."""
+    rows, limits = source_limits(Scratch(spark, "mixing"), docs, weights, most)
     return rows.join(limits, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies_of("hash").alias("copies"), (F.col("size") * copies_of("hash")).alias("taken")
     )
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs that the mix takes, with all their columns, and mix_copies, how often it takes each."""
+    _, limits = source_limits(Scratch(spark, "mixing"), docs, weights, most)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mixed_row"), docs["source"].alias("mixed_source"), row_hash().alias("mixed_hash"))
+    taken = whole.join(limits, F.col("mixed_source").eqNullSafe(F.col("of"))).withColumn("mixed_copies", copies_of("mixed_hash"))
+    return taken.where("mixed_copies > 0").select("mixed_row.*", F.col("mixed_copies").alias("mix_copies"))
