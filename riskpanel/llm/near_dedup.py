@@ -12,9 +12,12 @@ set are its sketch. Sketches of up to k shingles are the whole set.
     values is the hub; what can link with anyone over this list nearly always
     links with it. So each list is compared with its hub only, in proportion to
     its length.
-4.  Then only pairs of different components whose bounds still allow a link are
-    compared. Nothing is capped: the bounds are those of the overlap itself.
-5.  Candidates pass the estimate on the union sketch, with five standard
+4.  Documents that a list would still allow to link with another component are
+    listed again by their whole sets, where the bounds are exact, and compared with
+    the hubs of these lists.
+5.  Pairs of different components that the exact bounds of some list still allow
+    are compared last. Nothing is capped: the bounds are those of the overlap itself.
+6.  Candidates pass the estimate on the union sketch, with five standard
     deviations to spare, and are decided on the full sets.
 
 Rules: null and empty texts have no shingles and link with nothing; a text with
@@ -122,20 +125,22 @@ class NearDuplicates:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         return self.spark.sparkContext.broadcast(bit_table(ids, F.col("id"), ids.count()))
 
-    def _whole(self, n: Column) -> Column:
+    def _whole(self, n: Column, k: int | None) -> Column:
         """Is every linked union small enough for a sketch to hold it?"""
-        return 100 * n <= self.percent * self.k
+        return F.lit(True) if k is None else 100 * n <= self.percent * k
 
-    def _allowed(self, x: str, y: str) -> Column:
-        """Can two members of a list be linked? Sizes, and the bound on their overlap."""
-        n_x, n_y, need_x, need_y = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.need"), F.col(f"{y}.need")
+    def _reaches(self, x: str, y: str, k: int | None) -> Column:
+        """Can the overlap of two members of a list reach what a link needs?"""
+        n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
         rest = F.least(f"{x}.rest", f"{y}.rest")
-        both = self._whole(n_x) & self._whole(n_y)
-        return (
-            (100 * F.least(n_x, n_y) >= self.percent * F.greatest(n_x, n_y))
-            & (rest >= F.greatest(need_x, need_y))
-            & (~both | ((100 + self.percent) * rest >= self.percent * (n_x + n_y)))
-        )
+        both = self._whole(n_x, k) & self._whole(n_y, k)
+        enough = rest >= F.greatest(f"{x}.need", f"{y}.need")
+        return enough & (~both | ((100 + self.percent) * rest >= self.percent * (n_x + n_y)))
+
+    def _allowed(self, x: str, y: str, k: int | None) -> Column:
+        """Can two members of a list be linked? Their sizes, and the bound on their overlap."""
+        n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (100 * F.least(n_x, n_y) >= self.percent * F.greatest(n_x, n_y)) & self._reaches(x, y, k)
 
     def links_of(self, pairs: DataFrame, sketches: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that are linked: estimated on union sketches, decided on full sets."""
@@ -147,26 +152,36 @@ class NearDuplicates:
         right = some.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
         overlap = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), F.col("u")))
-        both = self._whole(F.col("n_a")) & self._whole(F.col("n_b"))
+        both = self._whole(F.col("n_a"), k) & self._whole(F.col("n_b"), k)
         # a few values of a whole set may share their leading bits, so one is spared
         likely = F.when(both, 100 * (overlap + 1) >= self.percent * F.size("u")).otherwise(overlap >= self.least_share * F.size("u"))
         near = scratch.store(pairs.join(left, "a").join(right, "b").withColumn("u", union).where(likely).select("a", "b").distinct(), f"{name}-likely")
-        sets = scratch.store(self.docs.mapInArrow(_full_sets(self.width, self._ids(near)), "id long, shingles array<long>"), f"{name}-sets")
-        full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("f_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("f_b")), "b")
+        return self.confirmed(near, name)
+
+    def sets_of(self, held, name: str) -> DataFrame:
+        """(id, shingles) of the texts whose id the bit table may hold."""
+        return self.scratch.store(self.docs.mapInArrow(_full_sets(self.width, held), "id long, shingles array<long>"), name)
+
+    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that are linked by their full sets."""
+        sets = self.sets_of(self._ids(pairs), f"{name}-sets")
+        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("f_a"))
+        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("f_b"))
         common = F.size(F.array_intersect("f_a", "f_b"))
         linked = (100 + self.percent) * common >= self.percent * (F.size("f_a") + F.size("f_b"))
-        links = scratch.store(full.where(linked).select("a", "b").distinct(), name)
-        scratch.drop(f"{name}-sketches", f"{name}-likely", f"{name}-sets")
+        links = self.scratch.store(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), name)
+        self.scratch.drop(f"{name}-sketches", f"{name}-likely", f"{name}-sets")
         return links
 
-    def members(self, sketches: DataFrame, groups: DataFrame) -> DataFrame:
+    def members(self, sketches: DataFrame, groups: DataFrame, k: int | None, name: str) -> DataFrame:
         """The inverted lists: (value, id, n, need, rest, excess)."""
         scratch = self.scratch
-        counts = scratch.store(sketches.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), "counts")
+        counts = scratch.store(sketches.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), f"{name}-counts")
         held = self.spark.sparkContext.broadcast(bit_table(counts, F.col("value"), counts.count()))
         entries = sketches.select("id", "n", "sketch").mapInArrow(_shared_values(held), "id long, n long, value long").join(counts, "value")
-        size = F.least("n", F.lit(self.k))
-        need = F.when(self._whole(F.col("n")), F.ceil(self.percent * F.col("n") / 100)).otherwise(F.ceil(self.least_share * size)).cast("long")
+        size = F.col("n") if k is None else F.least("n", F.lit(k))
+        whole_need = F.ceil(self.percent * F.col("n") / 100)
+        need = F.when(self._whole(F.col("n"), k), whole_need).otherwise(F.ceil(self.least_share * size)).cast("long")
         ordered = (
             entries.groupBy("id", "n")
             .agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
@@ -177,49 +192,61 @@ class NearDuplicates:
         )
         lists = ordered.select("id", "n", "need", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), F.col("first").cast("int"))).alias("at", "entry"))
         rest = (F.col("m") - F.col("at")).cast("long")
-        found = scratch.store(lists.select(F.col("entry.value").alias("value"), "id", "n", "need", rest.alias("rest"), (1 - rest / size).alias("excess")), "members")
-        scratch.drop("counts")
+        found = scratch.store(lists.select(F.col("entry.value").alias("value"), "id", "n", "need", rest.alias("rest"), (1 - rest / size).alias("excess")), f"{name}-members")
+        scratch.drop(f"{name}-counts")
         return found
 
-    def hub_pairs(self, members: DataFrame) -> DataFrame:
-        """(a, b) of each member that may link with the hub of its list."""
-        hub = F.min(F.struct("excess", "id", "n", "need", "rest")).alias("hub")
-        hubs = self.scratch.store(members.groupBy("value").agg(hub, F.count("*").alias("length")).where("length > 1").select("value", "hub.*"), "hubs")
-        joined = hubs.alias("x").join(members.alias("y"), "value").where((F.col("x.id") != F.col("y.id")) & self._allowed("x", "y"))
+    def labelled(self, members: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+        """members with the component that each belongs to so far."""
+        if labels is None:
+            return members.withColumn("label", F.col("id"))
+        return self.scratch.store(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), name)
+
+    def hub_pairs(self, members: DataFrame, k: int | None, name: str) -> DataFrame:
+        """(a, b) of each member that may link with the hub of its list and is of another component."""
+        hub = F.min(F.struct("excess", "id", "n", "need", "rest", "label")).alias("hub")
+        hubs = self.scratch.store(members.groupBy("value").agg(hub, F.count("*").alias("length")).where("length > 1").select("value", "hub.*"), f"{name}-hubs")
+        joined = hubs.alias("x").join(members.alias("y"), "value").where((F.col("x.label") != F.col("y.label")) & self._allowed("x", "y", k))
+        return self.scratch.store(self._pairs(joined), f"{name}-pairs")
+
+    def _pairs(self, joined: DataFrame) -> DataFrame:
         return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-    def open_pairs(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(a, b) from different components that a list still allows."""
-        named = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    def open_members(self, members: DataFrame, k: int | None, name: str) -> DataFrame:
+        """Members that may link with someone of another component over their list."""
+        scratch = self.scratch
         best = F.struct(F.max("rest").alias("rest"), F.min("n").alias("n"), F.min("need").alias("need"))
-        named = self.scratch.store(named, "named")
-        bests = named.groupBy("value").agg(best.alias("best"), F.count("*").alias("length")).where("length > 1").select("value", "best.*")
-        # no member of the list is a better partner than this bound
-        able = (F.least("x.rest", "y.rest") >= F.greatest("x.need", "y.need")) & (
-            ~self._whole(F.col("x.n")) | ((100 + self.percent) * F.least("x.rest", "y.rest") >= self.percent * (F.col("x.n") + F.col("y.n")))
-        )
-        left = self.scratch.store(named.alias("x").join(self.scratch.store(bests, "bests").alias("y"), "value").where(able).select("value", "x.id", "x.n", "x.need", "x.rest", "x.label"), "able")
-        mixed = self.scratch.store(left.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value"), "mixed")
-        left = self.scratch.store(left.join(mixed, "value"), "open")
-        pairs = left.alias("x").join(left.alias("y"), "value").where((F.col("x.label") < F.col("y.label")) & self._allowed("x", "y"))
-        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        # no member of a list is a better partner than this bound
+        bests = scratch.store(members.groupBy("value").agg(best.alias("best"), F.count("*").alias("length")).where("length > 1").select("value", "best.*"), f"{name}-bests")
+        able = members.alias("x").join(bests.alias("y"), "value").where(self._reaches("x", "y", k)).select("value", "x.id", "x.n", "x.need", "x.rest", "x.label")
+        able = scratch.store(able, f"{name}-able")
+        mixed = scratch.store(able.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value"), f"{name}-mixed")
+        return scratch.store(able.join(mixed, "value"), f"{name}-open")
 
     def groups(self) -> DataFrame:
         """Per row of docs: id, n_shingles, component."""
-        scratch = self.scratch
+        scratch, k = self.scratch, self.k
         sketches = scratch.store(
-            self.docs.mapInArrow(_sketches(self.width, self.k), "id long, n long, sign_a long, sign_b long, sketch array<long>"), "sketches"
+            self.docs.mapInArrow(_sketches(self.width, k), "id long, n long, sign_a long, sign_b long, sketch array<long>"), "sketches"
         )
-        alike = sketches.where("n > 0").groupBy("sign_a", "sign_b").agg(F.min("id").alias("stands"))
-        alike = scratch.store(alike, "alike")
-        members = self.members(sketches, alike)
-        hub_links = self.links_of(scratch.store(self.hub_pairs(members), "hub-pairs"), sketches, "hub-links")
-        labels = components(scratch, hub_links, "first")
-        more = self.links_of(scratch.store(self.open_pairs(members, labels), "open-pairs"), sketches, "more-links")
-        if not more.isEmpty():
-            labels = components(scratch, hub_links.union(more), "last")
+        alike = scratch.store(sketches.where("n > 0").groupBy("sign_a", "sign_b").agg(F.min("id").alias("stands")), "alike")
+        listed = self.members(sketches, alike, k, "first")
+        links = self.links_of(self.hub_pairs(self.labelled(listed, None, ""), k, "first"), sketches, "first-links")
         rows = scratch.store(sketches.select("id", "n", "sign_a", "sign_b"), "rows")
-        scratch.drop("sketches", "members", "hubs", "hub-pairs", "open-pairs", "named", "bests", "able", "mixed", "open", "hub-links", "more-links")
+        labels = components(scratch, links, "first-labels")
+        left = self.open_members(self.labelled(listed, labels, "first-labelled"), k, "first").select("id").distinct()
+        held = self.spark.sparkContext.broadcast(bit_table(left, F.col("id"), left.count()))
+        sets = self.sets_of(held, "open-sets").select("id", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
+        listed = self.members(sets, alike, None, "open")
+        named = self.labelled(listed, labels, "open-labelled")
+        links = links.union(self.confirmed(self.hub_pairs(named, None, "open"), "open-links"))
+        labels = components(scratch, links, "open-labels")
+        left = self.open_members(self.labelled(listed, labels, "last-labelled"), None, "last")
+        last = left.alias("x").join(left.alias("y"), "value").where((F.col("x.label") < F.col("y.label")) & self._allowed("x", "y", None))
+        links = links.union(self.confirmed(scratch.store(self._pairs(last), "last-pairs"), "last-links"))
+        labels = components(scratch, links, "last-labels")
+        steps = ("members", "labelled", "hubs", "pairs", "bests", "able", "mixed", "open", "links", "sets")
+        scratch.drop("sketches", *(f"{name}-{step}" for name in ("first", "open", "last") for step in steps))
         # a document stands for itself where it has no shingles
         named = alike.join(labels.withColumnRenamed("id", "stands"), "stands", "left").select("sign_a", "sign_b", F.coalesce("label", "stands").alias("component"))
         named = scratch.store(named, "components")
