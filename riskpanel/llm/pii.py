@@ -269,8 +269,11 @@ def find(spark: SparkSession, docs: DataFrame, near: int = NEAR_WORDS, least_doc
 
 def all_spans() -> F.Column:
     """Base spans, then removed and generalised terms, as kind:start:end joined by commas."""
-    of_kind = [F.transform(F.filter("term_spans", lambda t, k=k: t["kind"] == k), lambda t: F.concat_ws(":", t["kind"], t["start"], t["end"])) for k in TERM_KINDS]
-    added = F.coalesce(F.array_join(F.concat(*of_kind), ","), F.lit(""))
+
+    def of_kind(kind: str) -> F.Column:
+        return F.transform(F.filter("term_spans", lambda t: t["kind"] == kind), lambda t: F.concat_ws(":", t["kind"], t["start"], t["end"]))
+
+    added = F.coalesce(F.array_join(F.concat(*map(of_kind, TERM_KINDS)), ","), F.lit(""))
     return F.concat_ws(",", F.when(F.col("base_spans") != "", F.col("base_spans")), F.when(added != "", added))
 
 
