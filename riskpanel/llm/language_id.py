@@ -23,8 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from riskpanel.llm import arrays, samples
+from riskpanel.llm.store import bounded_batches
 
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
+#: Keys that wait before they are counted.
+HELD_KEYS = 1_000_000
 LONGEST = 4
 LEAST_COUNT = 2
 SMOOTH = 0.5
@@ -32,6 +35,28 @@ _CHAR = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = 1  # the code point that stands for both ends of a word
 
 
+class Counts:
+    """Counts of hashed keys by language, added up in parts so that only distinct keys are held."""
+
+    def __init__(self, languages: int):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros((0, languages), np.float32)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, language: np.ndarray) -> None:
+        self.waiting.append((keys, language.astype(np.int16)))
+        if sum(len(k) for k, _ in self.waiting) > HELD_KEYS:
+            self.settle()
+
+    def settle(self) -> None:
+        every = np.concatenate([self.keys, *(k for k, _ in self.waiting)])
+        keys, at = np.unique(every, return_inverse=True)
+        counts = np.zeros((len(keys), self.counts.shape[1]), np.float32)
+        counts[at[: len(self.keys)]] = self.counts
+        if self.waiting:
+            np.add.at(counts, (at[len(self.keys) :], np.concatenate([x for _, x in self.waiting])), 1)
+        self.keys, self.counts, self.waiting = keys, counts, []
+
+
 @dataclass
 class Table:
     """Log frequencies by language of hashed keys."""
@@ -40,14 +65,12 @@ class Table:
     logs: np.ndarray
 
     @classmethod
-    def fit(cls, keys: np.ndarray, language: np.ndarray, n: int, least: int) -> Table:
-        pairs, counts = np.unique(keys, return_inverse=True)
-        held = np.zeros((len(pairs), n))
-        np.add.at(held, (counts, language), 1)
-        total = held.sum(0)
-        kept = held.sum(1) >= least
-        logs = np.log(held[kept] + SMOOTH) - np.log(total + SMOOTH * max(len(pairs), 1))
-        return cls(pairs[kept], logs.astype(np.float32))
+    def of(cls, counted: Counts, least: int) -> Table:
+        counted.settle()
+        total = counted.counts.sum(0)
+        kept = counted.counts.sum(1) >= least
+        logs = np.log(counted.counts[kept] + SMOOTH) - np.log(total + SMOOTH * max(len(counted.keys), 1))
+        return cls(counted.keys[kept], logs.astype(np.float32))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, is it known) of each key."""
@@ -87,13 +110,14 @@ def _grams(points: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 class LanguageModel:
-    def __init__(self, table: pa.Table):
-        """Fit on (text, lang) rows."""
+    def __init__(self, table: pa.Table, spell: bool = True):
+        """Fit on (text, lang) rows; without `spell` only known words are learned."""
         langs = table.column("lang").to_pylist()
         self.languages = sorted(set(langs))
         number = {x: i for i, x in enumerate(self.languages)}
         of = np.array([number[x] for x in langs], np.int64)
-        words, word_lang, grams = [], [], {n: ([], []) for n in range(1, LONGEST + 1)}
+        n = len(self.languages)
+        words, grams = Counts(n), {k: Counts(n) for k in range(1, LONGEST + 1) if spell}
         begin = 0
         for batch in table.to_batches():
             for part in arrays.slices(batch):
@@ -101,20 +125,18 @@ class LanguageModel:
                 language = of[begin : begin + len(part)][found.text_of_word()]
                 begin += len(part)
                 hashes = found.hashes()
-                words.append(hashes)
-                word_lang.append(language)
-                # n-grams are learned from the distinct words of each language here
-                _, chosen = np.unique(np.stack([hashes, language.astype(np.uint64)], 1), axis=0, return_index=True) if len(hashes) else (0, np.zeros(0, np.int64))
+                words.add(hashes, language)
+                if not spell or not len(hashes):
+                    continue
+                # n-grams are learned from the distinct words of each language in this part
+                _, chosen = np.unique(np.stack([hashes, language.astype(np.uint64)], 1), axis=0, return_index=True)
                 points, first = _code_points(found, chosen)
                 spelled = np.repeat(language[chosen], np.diff(np.concatenate((first, [len(points)]))))
-                for n, (keys, labels) in grams.items():
-                    hashed, inside = _grams(points, first, n)
-                    keys.append(hashed[inside])
-                    labels.append(spelled[inside])
-        n = len(self.languages)
-        joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.words = Table.fit(joined(words, np.uint64), joined(word_lang, np.int64), n, LEAST_COUNT)
-        self.grams = {k: Table.fit(joined(keys, np.uint64), joined(labels, np.int64), n, LEAST_COUNT if k > 1 else 1) for k, (keys, labels) in grams.items()}
+                for k, counted in grams.items():
+                    hashed, inside = _grams(points, first, k)
+                    counted.add(hashed[inside], spelled[inside])
+        self.words = Table.of(words, LEAST_COUNT)
+        self.grams = {k: Table.of(counted, LEAST_COUNT if k > 1 else 1) for k, counted in grams.items()}
 
     def _spelled(self, found: arrays.Words, chosen: np.ndarray) -> np.ndarray:
         """Scores of unseen words by backing off."""
@@ -170,6 +192,7 @@ class LanguageModel:
 
 def identify(spark: SparkSession, docs: DataFrame, modulus: int = 3, remainder: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score."""
+    bounded_batches(spark)
     apart = samples.held_out(modulus, remainder)
     model = spark.sparkContext.broadcast(LanguageModel(samples.language_rows(docs, apart, per_language)))
 
