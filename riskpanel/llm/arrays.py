@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are laid out as arrays at once; only one longer text exceeds it.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

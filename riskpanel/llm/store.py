@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Bits of the largest bit table: 16 MiB, whatever the input.
 MOST_BITS = 27
+#: Rows and bytes of texts that a task holds as one Arrow batch.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold a bounded number of rows and bytes, unless the session asks for smaller ones."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Written tables of one run of an operator.
 
@@ -35,6 +47,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def store(self, frame: DataFrame, name: str) -> DataFrame:

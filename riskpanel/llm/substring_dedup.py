@@ -125,8 +125,24 @@ def _extended(window: int, anchor: int):
     return run
 
 
+def _untouched(table):
+    """(id, n_words, n_removed, kept_text) of the texts whose id the bit table excludes: nothing is removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_id(table, False)(batches):
+            for part in arrays.slices(batch):
+                found = arrays.words(part.column("text"))
+                kept = [b" ".join(found.raw[a:b].tobytes().split()) for a, b in zip(found.offsets[:-1], found.offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(found.counts), pa.array(np.zeros(len(part), np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
+                    ["id", "n_words", "n_removed", "kept_text"],
+                )
+
+    return run
+
+
 def _without(window: int):
-    """(id, text, n_words, n_removed, kept_text) after the removal of marked windows."""
+    """(id, n_words, n_removed, kept_text) after the removal of marked windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,29 +186,24 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     )
     places = scratch.store(places, "places")
     scratch.drop("shared")
-    around = _of_texts(spark, texts, places, "inner").mapInArrow(
-        _extended(window, width), "high long, low long, id long, text_hash long, at int, asked boolean"
-    )
+    joined, _ = _of_texts(spark, texts, places, "inner")
+    around = joined.mapInArrow(_extended(window, width), "high long, low long, id long, text_hash long, at int, asked boolean")
     around = scratch.store(around, "windows")
     scratch.drop("places")
     sources = scratch.store(around.where("not asked").groupBy("high", "low").agg(F.min("id").alias("source")), "sources")
     marked = around.where("asked").join(sources, ["high", "low"]).where(F.col("source") < F.col("id"))
     marked = scratch.store(marked.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts")), "marked")
     scratch.drop("windows", "sources")
-    cleaned = _of_texts(spark, texts, marked, "left").mapInArrow(_without(window), "id long, n_words long, n_removed long, kept_text string")
+    joined, held = _of_texts(spark, texts, marked, "left")
+    schema = "id long, n_words long, n_removed long, kept_text string"
+    cleaned = joined.mapInArrow(_without(window), schema).unionByName(texts.select("id", "text").mapInArrow(_untouched(held), schema))
     return cleaned.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
 
 
-def _of_texts(spark: SparkSession, texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """texts with the columns of found, by id and text. Texts whose id found cannot hold are not shuffled."""
-    table = spark.sparkContext.broadcast(bit_table(found, F.col("id"), found.count()))
-    schema = "id long, text string, text_hash long"
-    split = lambda inside: texts.mapInArrow(_by_id(table, inside), schema)
-    joined = split(True).join(found, ["id", "text_hash"], how)
-    if how == "inner":
-        return joined
-    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema if f.name not in ("id", "text_hash")]
-    return joined.unionByName(split(False).select("*", *extra))
+def _of_texts(spark: SparkSession, texts: DataFrame, found: DataFrame, how: str):
+    """The texts that found may concern, with its columns by id and text, and the bit table of its ids."""
+    held = spark.sparkContext.broadcast(bit_table(found, F.col("id"), found.count()))
+    return texts.mapInArrow(_by_id(held, True), "id long, text string, text_hash long").join(found, ["id", "text_hash"], how), held
 
 
 def _by_id(table, inside: bool):
