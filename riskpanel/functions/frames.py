@@ -47,10 +47,14 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def shuffle_parts(df: DataFrame) -> int:
+    """Shuffle partitions of the session, which are set by the size of the job."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def default_buckets(df: DataFrame) -> int:
-    """Buckets for a global order: about four per shuffle partition, at most 4096."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(4096, max(16, 4 * parts))
+    """Buckets for a global order: about four per shuffle partition, so that they grow with the job."""
+    return max(16, 4 * shuffle_parts(df))
 
 
 def range_bucket(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
@@ -66,7 +70,7 @@ def range_bucket(df: DataFrame, order: str, by: Sequence[str] = (), buckets: int
     """
     side = max(2, math.isqrt((buckets or default_buckets(df)) - 1) + 1)
     steps = ", ".join(f"{i / side**2!r}D" for i in range(1, side**2))
-    edges = F.expr(f"percentile_approx(`{order}`, array({steps}), 10000)").alias("_edges")
+    edges = F.expr(f"percentile_approx(`{order}`, array({steps}), {max(10000, 10 * side**2)})").alias("_edges")
     if by:
         keyed = df.join(F.broadcast(df.groupBy(*by).agg(edges)), list(by))
     else:
@@ -150,58 +154,64 @@ def exact_medians(df: DataFrame, columns: Sequence[str], buckets: int | None = N
     )
 
 
-HOT_SHARE = 1e-4
-HOT_FLOOR = 100_000
+def part_share(df: DataFrame) -> float:
+    """Share of all rows that one part of a key may hold: a quarter of an even shuffle partition."""
+    return 1 / (4 * shuffle_parts(df))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows, and more than ``floor`` rows.
+def hot_keys(df: DataFrame, on: Sequence[str], share: float | None = None) -> DataFrame:
+    """Keys that hold more than ``share`` of all rows, and ``_parts``, how many parts each is cut into.
 
-    At most ``1 / share`` keys can do so, whatever the data, which is what
-    makes this frame safe to broadcast.
+    A key gets as many parts as it holds shares, so no part is larger than one
+    share, whatever the size. At most ``1 / share`` keys can be hot, which is
+    what makes this frame safe to broadcast.
     """
-    return hot_of_counts(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, share, floor)
+    return hot_of_counts(df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, share)
 
 
-def hot_of_counts(counts: DataFrame, on: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+def hot_of_counts(counts: DataFrame, on: Sequence[str], share: float | None = None) -> DataFrame:
     """:func:`hot_keys` where the rows per key (``_n``) are at hand already."""
-    limit = F.greatest(F.lit(floor), counts.agg(F.sum("_n")).scalar() * F.lit(share))
-    return counts.where(F.col("_n") > limit).select(*on, F.lit(True).alias("_hot"))
+    part = counts.agg(F.sum("_n")).scalar() * F.lit(share or part_share(counts))
+    hot = counts.where(F.col("_n") > F.greatest(part, F.lit(1)))
+    return hot.select(*on, F.ceil(F.col("_n") / F.greatest(part, F.lit(1))).cast("int").alias("_parts"))
 
 
-def salt_many(many: DataFrame, hot: DataFrame, on: Sequence[str], spread: Column, salts: int) -> DataFrame:
-    """Add ``_salt``: 0 for most keys, spread over ``salts`` parts for hot ones."""
+def salt_many(many: DataFrame, hot: DataFrame, on: Sequence[str], spread: Column) -> DataFrame:
+    """Add ``_salt``: 0 for most keys, spread over the parts of the key for hot ones."""
     marked = many.join(F.broadcast(hot), list(on), "left")
-    part = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    return marked.withColumn("_salt", F.when(F.col("_hot"), part).otherwise(F.lit(0))).drop("_hot")
+    part = F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int")
+    return marked.withColumn("_salt", F.when(F.col("_parts").isNotNull(), part).otherwise(F.lit(0))).drop("_parts")
 
 
-def salt_few(few: DataFrame, hot: DataFrame, on: Sequence[str], salts: int) -> DataFrame:
+def salt_few(few: DataFrame, hot: DataFrame, on: Sequence[str]) -> DataFrame:
     """Add ``_salt``: one row for most keys, one per part for hot ones."""
     marked = few.join(F.broadcast(hot), list(on), "left")
-    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
-    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
+    last = F.coalesce(F.col("_parts") - 1, F.lit(0))
+    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
 
 
 def salted_join(
-    many: DataFrame,
-    few: DataFrame,
-    on: Sequence[str],
-    spread: Column,
-    salts: int = 32,
-    hot: DataFrame | None = None,
+    many: DataFrame, few: DataFrame, on: Sequence[str], spread: Column, hot: DataFrame | None = None
 ) -> DataFrame:
-    """Inner join in which hot keys of ``many`` are cut into ``salts`` parts.
+    """Inner join in which hot keys of ``many`` are cut into parts.
 
     The rows of a hot key go to different tasks by a hash of ``spread``, and
     only the matching rows of ``few`` are repeated. All other keys join as usual.
     """
     hot = hot_keys(many, on) if hot is None else hot
-    left = salt_many(many, hot, on, spread, salts)
-    right = salt_few(few, hot, on, salts)
+    left = salt_many(many, hot, on, spread)
+    right = salt_few(few, hot, on)
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def one_per_key(df: DataFrame, key: Sequence[str], fields: Sequence[str], side: str) -> DataFrame:
+    """One row per key: ``<side>_rows`` and the smallest and largest record as ``<side>_low`` and ``<side>_high``."""
+    record = F.struct(*fields)
+    return df.groupBy(*key).agg(
+        F.count(F.lit(1)).alias(f"{side}_rows"), F.min(record).alias(f"{side}_low"), F.max(record).alias(f"{side}_high")
+    )
+
+
 def require(df: DataFrame, conditions: dict[str, str]) -> None:
     """Raise :class:`GuardError` naming each condition the one-row frame breaks."""
     row = df.select(*[F.expr(f"coalesce({sql}, false)").alias(name) for name, sql in conditions.items()]).first()

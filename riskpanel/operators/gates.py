@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel.definitions import AMOUNT_TOLERANCE, MINIMUM_SIGNALS, MINIMUM_TESTS, REQUIRED_CHECKS
-from riskpanel.functions.frames import count_where, fixed_rows
+from riskpanel.functions.frames import count_where, fixed_rows, one_per_key
 
 c = F.col
 
@@ -193,10 +193,6 @@ def suite_checks(tests: DataFrame, minimum: int = MINIMUM_TESTS) -> DataFrame:
     return result.withColumn("enough_tests", c("executed_tests") >= minimum)
 
 
-def _cell(df: DataFrame, keys: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
-    return df.select(*keys, F.struct(*fields).alias(name))
-
-
 def compare_tables(
     left: DataFrame,
     right: DataFrame,
@@ -205,23 +201,32 @@ def compare_tables(
     floats: Sequence[str] = (),
     tolerance: float = 1e-15,
 ) -> DataFrame:
-    """Mismatches ``(keys, field, problem)``: rows on one side only, exact fields
-    that differ (NULL equals NULL), numbers further apart than the tolerance."""
+    """Mismatches ``(keys, field, problem)``: rows on one side only, keys that a
+    side repeats, exact fields that differ (NULL equals NULL), numbers further
+    apart than the tolerance.
+
+    Each side is reduced to one row per key before they meet, so a key that is
+    repeated gives one ``left_repeated`` or ``right_repeated`` and no product.
+    """
     fields = [*exact, *floats]
-    joined = _cell(left, keys, fields, "l").join(_cell(right, keys, fields, "r"), list(keys), "full_outer")
-    l_only, r_only = c("r").isNull(), c("l").isNull()
+    joined = one_per_key(left, keys, fields, "left").join(one_per_key(right, keys, fields, "right"), list(keys), "full_outer")
+    l_only, r_only = c("right_rows").isNull(), c("left_rows").isNull()
+    repeated = (c("left_rows") > 1) | (c("right_rows") > 1)
+
+    def problem(condition: Column, field: str, name: str) -> Column:
+        return F.when(condition, F.struct(F.lit(field).alias("field"), F.lit(name).alias("problem")))
 
     def apart(f: str) -> Column:
-        a, b = c(f"l.{f}"), c(f"r.{f}")
+        a, b = c(f"left_low.{f}"), c(f"right_low.{f}")
         return ~(a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= tolerance, F.lit(False)))
 
-    differs = {f: ~c(f"l.{f}").eqNullSafe(c(f"r.{f}")) for f in exact} | {f: apart(f) for f in floats}
+    differs = {f: ~c(f"left_low.{f}").eqNullSafe(c(f"right_low.{f}")) for f in exact} | {f: apart(f) for f in floats}
     problems = [
-        F.when(l_only, F.struct(F.lit("*").alias("field"), F.lit("left_only").alias("problem"))),
-        F.when(r_only, F.struct(F.lit("*").alias("field"), F.lit("right_only").alias("problem"))),
-    ] + [
-        F.when(~l_only & ~r_only & d, F.struct(F.lit(f).alias("field"), F.lit("differs").alias("problem")))
-        for f, d in differs.items()
+        problem(l_only, "*", "left_only"),
+        problem(r_only, "*", "right_only"),
+        problem(c("left_rows") > 1, "*", "left_repeated"),
+        problem(c("right_rows") > 1, "*", "right_repeated"),
+        *[problem(~l_only & ~r_only & ~repeated & d, f, "differs") for f, d in differs.items()],
     ]
     any_problem = reduce(lambda a, b: a | b, [p.isNotNull() for p in problems])
     listed = joined.where(any_problem).select(*keys, F.explode(F.array(*problems)).alias("p"))
@@ -231,11 +236,8 @@ def compare_tables(
 IDENTITY = ("pipeline_run_id", "definition_version", "source_file_sha256")
 
 
-def shared_identity(tables: dict[str, DataFrame], fields: Sequence[str] = IDENTITY) -> DataFrame:
-    """Per table and field: smallest and largest value, and whether all tables share one.
-
-    A table without the field, or with NULL in it, does not share it.
-    """
+def identity_ends(tables: dict[str, DataFrame], fields: Sequence[str] = IDENTITY) -> DataFrame:
+    """Per table and field: smallest and largest value, and whether every row has one."""
     parts = []
     for name, df in tables.items():
         held = [f for f in fields if f in df.columns]
@@ -256,7 +258,15 @@ def shared_identity(tables: dict[str, DataFrame], fields: Sequence[str] = IDENTI
             for f in fields
         ]
         parts.append(summed.select(F.explode(F.array(*cells)).alias("x")).select("x.*"))
-    every = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def shared_identity(tables: dict[str, DataFrame], fields: Sequence[str] = IDENTITY) -> DataFrame:
+    """Per table and field: smallest and largest value, and whether all tables share one.
+
+    A table without the field, or with NULL in it, does not share it.
+    """
+    every = identity_ends(tables, fields)
     overall = every.groupBy("field").agg(
         F.min("low").alias("_low"), F.max("high").alias("_high"), F.min("complete").alias("_complete")
     )
@@ -269,6 +279,50 @@ def shared_identity(tables: dict[str, DataFrame], fields: Sequence[str] = IDENTI
     )
 
 
+def run_identity(tables: dict[str, DataFrame], field: str = "pipeline_run_id") -> DataFrame:
+    """One row: ``distinct_run_ids`` over all tables, NULL where a table lacks one in some row.
+
+    Smallest and largest value of every table count, so tables that hold the
+    same two runs give two.
+    """
+    ends = identity_ends(tables, (field,)).select("complete", F.explode(F.array("low", "high")).alias("run"))
+    return ends.agg(F.when(F.min("complete"), F.count_distinct("run")).alias("distinct_run_ids"))
+
+
+def reproduced_signals(left: DataFrame, right: DataFrame, signals: Sequence[str], key: str = "customer_id") -> DataFrame:
+    """One row: ``reproducible_signals``, how many signals two computations agree on for every key."""
+    names = list(signals)
+    both = one_per_key(left, [key], names, "left").join(one_per_key(right, [key], names, "right"), key, "full_outer")
+    whole = (c("left_rows") == 1) & (c("right_rows") == 1)
+    apart = [
+        count_where(~(whole & c(f"left_low.{s}").eqNullSafe(c(f"right_low.{s}"))).eqNullSafe(F.lit(True))).alias(f"apart_{i}")
+        for i, s in enumerate(names)
+    ]
+    counts = both.agg(F.count(F.lit(1)).alias("keys"), *apart)
+    agreed = sum((F.when((c(f"apart_{i}") == 0) & (c("keys") > 0), 1).otherwise(0) for i in range(len(names))), F.lit(0))
+    return counts.select(agreed.cast("bigint").alias("reproducible_signals"))
+
+
+def signal_review(summary: DataFrame, inputs: dict[str, tuple[Sequence[str], Sequence[int]]], forbidden: Sequence[str]) -> DataFrame:
+    """One row: timing and leakage of the signals that have outcome rows.
+
+    ``inputs`` declares the columns and month offsets that each signal reads.
+    A signal without a declaration is not reviewed. Timing is broken by a month
+    after the observation (an offset above 0), leakage by a forbidden column.
+    """
+    spark = summary.sparkSession
+    columns = {"signal_name": "string", "late": "int", "leaks": "int"}
+    rows = [(n, int(max(offsets) > 0), int(bool(set(cols) & set(forbidden)))) for n, (cols, offsets) in inputs.items()]
+    declared = fixed_rows(spark, columns, rows)
+    seen = summary.select("signal_name").distinct().join(F.broadcast(declared), "signal_name", "left")
+    return seen.agg(
+        F.count("late").alias("timing_reviewed"),
+        F.count("leaks").alias("leakage_reviewed"),
+        F.coalesce(F.sum("late"), F.lit(0)).alias("timing_violations"),
+        F.coalesce(F.sum("leaks"), F.lit(0)).alias("leakage_violations"),
+    )
+
+
 def claim_cover(claims: DataFrame, required: DataFrame, identity: DataFrame) -> DataFrame:
     """One row: repeated, unneeded, mismatched, missing and unresolved claims.
 
@@ -294,10 +348,13 @@ def claim_cover(claims: DataFrame, required: DataFrame, identity: DataFrame) ->
 
 
 def compare_runs(previous: DataFrame, latest: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Changes between two runs: ``added``, ``removed`` or the changed fields by name."""
+    """Changes between two runs: ``added``, ``removed``, repeated keys, or the changed fields by name."""
     found = compare_tables(previous, latest, keys, exact=fields)
     change = (
-        F.when(c("problem") == "left_only", "removed").when(c("problem") == "right_only", "added").otherwise("changed")
+        F.when(c("problem") == "left_only", "removed")
+        .when(c("problem") == "right_only", "added")
+        .when(c("problem").endswith("_repeated"), c("problem"))
+        .otherwise("changed")
     )
     return found.select(*keys, change.alias("change"), F.when(c("field") != "*", c("field")).alias("field"))
 

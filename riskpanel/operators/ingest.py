@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.definitions import INT32_MAX, INT32_MIN
 from riskpanel.functions.frames import (
-    HOT_FLOOR, HOT_SHARE, GuardError, count_where, hot_of_counts, ordered_running_sum, require, salted_join,
+    GuardError, count_where, hot_of_counts, ordered_running_sum, require, salted_join,
 )
 
 # Reject reasons and the text form of a number.
@@ -28,17 +28,33 @@ def check_row_count(df: DataFrame, expected: int) -> None:
         raise GuardError(f"row count is {observed}, expected {expected}")
 
 
+def is_whole(number: Column) -> Column:
+    """Is the text of a number a whole one? Its digits are tested, not its value.
+
+    Digits after the point, without the zeros at their end, must not outnumber
+    the exponent; a negative exponent needs as many zeros before the point.
+    """
+    fraction = F.length(F.rtrim(F.regexp_extract(number, r"\.([0-9]*)", 1), F.lit("0")))
+    exponent = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?[0-9]+)", 1).try_cast("double"), F.lit(0.0))
+    zeros = F.length(F.regexp_extract(number, r"(0*)(\.0*)?[eE]", 1))
+    zero = number.rlike(r"^[^1-9eE]*([eE]|$)")
+    return zero | F.when(exponent >= 0, fraction <= exponent).otherwise((fraction == 0) & (zeros >= -exponent))
+
+
 def reject_reason(cell: Column) -> Column:
     """Why a text cell cannot become an int32 without loss; NULL when it can.
 
     A number is plain or scientific decimal notation, blanks around it allowed
-    (`' 7 '`, `'1e3'`). NaN, infinities and type suffixes are not numbers.
+    (`' 7 '`, `'1e3'`). NaN, infinities and type suffixes are not numbers. A
+    fraction too fine for a double is still a fraction, so
+    `'1.00000000000000001'` is rejected; what is whole is exact as a double up
+    to 2**53, far beyond the range that is tested last.
     """
     number = cell.try_cast("double")
     return (
         F.when(cell.isNull() | (cell == ""), MISSING)
         .when(~cell.rlike(NUMBER), NON_NUMERIC)
-        .when(number != F.rint(number), NON_INTEGRAL)
+        .when(~is_whole(cell), NON_INTEGRAL)
         .when((number < INT32_MIN) | (number > INT32_MAX), OUT_OF_RANGE)
     )
 
@@ -69,9 +85,7 @@ def parsed(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return clean.select(*keep, *[F.col(f).try_cast("double").cast("bigint").alias(f) for f in fields])
 
 
-def reject_duplicates(
-    df: DataFrame, key: str, row_no: str = "row_no", share: float = HOT_SHARE, floor: int = HOT_FLOOR
-) -> DataFrame:
+def reject_duplicates(df: DataFrame, key: str, row_no: str = "row_no", share: float | None = None) -> DataFrame:
     """Later rows of a repeated id; the first row of each id is not listed.
 
     Only repeated ids take part in the join, and hot ids are salted: one id may
@@ -79,7 +93,7 @@ def reject_duplicates(
     """
     counts = df.groupBy(key).agg(F.min(row_no).alias("_first"), F.count(F.lit(1)).alias("_n"))
     repeated = counts.where("_n > 1").drop("_n")
-    hot = hot_of_counts(counts, [key], share, floor)
+    hot = hot_of_counts(counts, [key], share)
     later = salted_join(df, repeated, [key], F.col(row_no), hot=hot).where(F.col(row_no) > F.col("_first"))
     return later.select(
         F.col(row_no).alias("row_no"),

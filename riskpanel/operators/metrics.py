@@ -414,6 +414,53 @@ def compare_deltas(reported: DataFrame, metrics: DataFrame, tolerance: float = M
     return joined.withColumn("status", _differs(c("reported"), c("recomputed"), tolerance))
 
 
+def comparison_issues(found: DataFrame, what: str) -> DataFrame:
+    """``(issue, rows)`` of a comparison: one issue per status other than ``match``, named after what was compared."""
+    issue = F.concat(F.lit(f"{what}_"), c("status")).alias("issue")
+    return found.where("status <> 'match'").groupBy(issue).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def single_class_issues(pred: DataFrame) -> DataFrame:
+    """``(issue, rows)``: models whose test rows hold one outcome only, so that no ranking metric exists."""
+    per_model = pred.groupBy("model").agg(F.min(Y).alias("low"), F.max(Y).alias("high"))
+    one = count_where(~(c("low") < c("high")).eqNullSafe(F.lit(True)))
+    return per_model.agg(one.cast("bigint").alias("rows")).select(F.lit("single_class_test").alias("issue"), "rows")
+
+
+def model_issues(
+    pred: DataFrame,
+    population: DataFrame,
+    expected_rows: int | Column,
+    expected_defaults: int | Column,
+    metrics: DataFrame,
+    segments: DataFrame,
+    deltas: DataFrame,
+) -> DataFrame:
+    """``(issue, rows)`` over everything that is checked about the models.
+
+    ``metrics``, ``segments`` and ``deltas`` are the comparisons of reported with
+    recomputed numbers. :func:`model_status` judges the result.
+    """
+    same = as_rows(
+        same_rows_across_models(pred),
+        [
+            F.struct(F.lit(f"{n}_across_models").alias("issue"), c(n).cast("bigint").alias("rows"))
+            for n in ("population_mismatch", "outcome_mismatch")
+        ],
+    )
+    parts = [
+        prediction_checks(pred, population).select("issue", "rows"),
+        population_checks(population, expected_rows, expected_defaults),
+        same,
+        single_class_issues(pred),
+        comparison_issues(metrics, "metric"),
+        comparison_issues(segments, "segment"),
+        comparison_issues(deltas, "difference"),
+    ]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.groupBy("issue").agg(F.sum("rows").alias("rows"))
+
+
 def model_status(issues: DataFrame) -> DataFrame:
     """One row: fail on any failure, blocked when only blockers exist, else pass.
 

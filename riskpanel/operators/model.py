@@ -27,9 +27,9 @@ from riskpanel.definitions import (
     STATIC_NUMERIC,
 )
 from riskpanel.functions.expressions import logit, sigmoid
-from riskpanel.functions.frames import as_rows, count_where, exact_medians, fixed_rows
-from riskpanel.operators.population import prepare_features
-from riskpanel.operators.split import rank_split, require_split
+from riskpanel.functions.frames import GuardError, as_rows, count_where, exact_medians, fixed_rows
+from riskpanel.operators.population import prepare_features, require_frame_contract
+from riskpanel.operators.split import rank_split, require_population, require_split
 from riskpanel.session import cut_lineage, kept
 
 c = F.col
@@ -51,7 +51,7 @@ def require_no_leakage(features: Iterable[str]) -> None:
 
 
 def model_frame(extract: DataFrame) -> DataFrame:
-    """Model extract with derived features and its split."""
+    """Model extract with derived features and its split; :func:`fit_models` tests what it needs."""
     return rank_split(prepare_features(extract))
 
 
@@ -214,6 +214,10 @@ def fit_preprocessing(train: DataFrame, numeric: Iterable[str], categorical: Ite
     return Preprocessing(imputation, standardise(filled, imputation.columns()), one_hot(train, categorical))
 
 
+#: A fit that needs as many iterations has failed and raises.
+MOST_ITERATIONS = 2000
+
+
 # --- fits ----------------------------------------------------------------------
 def fit_logistic(train: DataFrame, label: str, penalty: float = 1.0, features: str = "features") -> LogisticRegressionModel:
     """L2 logistic fit with strength ``1 / (2 * penalty)`` on the summed loss and a
@@ -231,10 +235,13 @@ def fit_logistic(train: DataFrame, label: str, penalty: float = 1.0, features: s
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=True,
-        maxIter=2000,
+        maxIter=MOST_ITERATIONS,
         tol=1e-12,
     )
-    return estimator.fit(stored)
+    model = estimator.fit(stored)
+    if model.summary.totalIterations >= MOST_ITERATIONS:
+        raise GuardError(f"the fit has not converged after {MOST_ITERATIONS} iterations")
+    return model
 
 
 def score(df: DataFrame, model: LogisticRegressionModel) -> DataFrame:
@@ -324,7 +331,9 @@ def fit_models(frame: DataFrame, names: Iterable[str] = MODELS) -> list[FittedMo
 
     All models learn from the same train rows, so medians, moments and
     categories are fitted once over all features. The fits themselves are
-    independent series of small jobs and are submitted side by side.
+    independent series of small jobs and are submitted side by side. Raises
+    unless the frame keeps its contract, ids are unique and every split holds
+    both classes.
     """
     names = list(names)
     numeric = list(dict.fromkeys(f for n in names for f in FEATURES[n][0]))
@@ -332,6 +341,8 @@ def fit_models(frame: DataFrame, names: Iterable[str] = MODELS) -> list[FittedMo
     require_no_leakage((*numeric, *categorical))
     columns = dict.fromkeys(("split", OUTCOME, *numeric, *categorical))
     with kept(frame) as stored:
+        require_frame_contract(stored)
+        require_population(stored)
         require_split(stored)
         pre = fit_preprocessing(stored.where("split = 'train'"), numeric, categorical)
         with kept(pre.prepare(stored.where("split <> 'test'").select(*columns))) as prepared:

@@ -99,6 +99,24 @@ def signal_expressions(p: PanelParams = DEFAULT) -> dict[str, Column]:
     }
 
 
+def signal_inputs(p: PanelParams = DEFAULT) -> dict[str, tuple[tuple[str, ...], tuple[int, ...]]]:
+    """Columns and month offsets that each signal reads."""
+    status, bill, paid = "repayment_status", "bill_amount_ntd", "payment_amount_ntd"
+
+    def months(low: int, high: int) -> tuple[int, ...]:
+        return tuple(o for o in p.offsets if low <= o <= high)
+
+    return {
+        "recent_max_delinquency": ((status,), months(*p.recent)),
+        "delinquent_months_6m": ((status,), p.offsets),
+        "delinquency_deterioration": ((status,), (*months(*p.recent), *months(*p.earlier))),
+        "latest_utilization_ratio": ((bill, "credit_limit_ntd"), (0,)),
+        "payment_coverage_ratio": ((paid, bill), (0, -1)),
+        "zero_payment_streak": ((paid,), p.offsets),
+        "recent_bill_growth": ((bill,), (0, -3)),
+    }
+
+
 def signals_of(hist: DataFrame, p: PanelParams = DEFAULT) -> DataFrame:
     """Signal mart: one row per borrower with signals, points and band."""
     values = hist.select(

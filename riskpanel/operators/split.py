@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.definitions import SPLIT_VERSION, SPLITS
-from riskpanel.functions.frames import count_where, ordered_running_sum, require
+from riskpanel.functions.frames import count_where, default_buckets, ordered_running_sum, require
 
 c = F.col
 
 
-@dataclass(frozen=True)
-class SplitSpec:
-    """Split fractions and the version text that seeds the digest."""
+#: The parts of a split in rank order. All but the last have a fixed share; the last takes the rest.
+SHARES = ((SPLITS[0], Fraction(6, 10)), (SPLITS[1], Fraction(2, 10)))
 
-    train: float = 0.6
-    calibration: float = 0.2
-    test: float = 0.2
-    version: str = SPLIT_VERSION
-    bucket_digits: int = 3
 
-    def __post_init__(self) -> None:
-        parts = (self.train, self.calibration, self.test)
-        if not all(0 < x < 1 for x in parts):
-            raise ValueError("split fractions must lie strictly between 0 and 1")
-        if not math.isclose(sum(parts), 1.0, rel_tol=0.0, abs_tol=1e-12):
-            raise ValueError("split fractions must sum to 1")
+def cuts(shares: Sequence[tuple[str, Fraction]] = SHARES) -> list[tuple[str, Fraction]]:
+    """The shares, once it is sure that each is positive and that a rest is left."""
+    taken = sum(share for _, share in shares)
+    if any(share <= 0 for _, share in shares) or taken >= 1:
+        raise ValueError(f"shares {[str(share) for _, share in shares]} must be positive and leave a rest")
+    return list(shares)
 
 
 def split_digest(key: Column, version: str = SPLIT_VERSION) -> Column:
@@ -40,32 +34,53 @@ def split_digest(key: Column, version: str = SPLIT_VERSION) -> Column:
     )
 
 
-def ranked(df: DataFrame, key: str = "customer_id", spec: SplitSpec = SplitSpec()) -> DataFrame:
+def ranked(df: DataFrame, key: str = "customer_id", version: str = SPLIT_VERSION) -> DataFrame:
     """Add ``digest``, the exact global ``split_rank`` (from 0) and ``population_size``.
 
     The leading digest digits are uniform, so they cut the ids into equal
-    ordered buckets; ``16 ** bucket_digits`` bucket counts fix each start.
+    ordered buckets, at least four per shuffle partition.
     """
-    hashed = df.withColumn("digest", split_digest(c(key), spec.version)).withColumn("_one", F.lit(1).cast("bigint"))
-    counted = ordered_running_sum(
-        hashed, ["digest", key], ["_one"], bucket=F.substring("digest", 1, spec.bucket_digits)
-    )
+    digits = 1
+    while 16**digits < default_buckets(df):
+        digits += 1
+    hashed = df.withColumn("digest", split_digest(c(key), version)).withColumn("_one", F.lit(1).cast("bigint"))
+    counted = ordered_running_sum(hashed, ["digest", key], ["_one"], bucket=F.substring("digest", 1, digits))
     return counted.select(
         *df.columns, "digest", (c("cum__one") - 1).alias("split_rank"), c("total__one").alias("population_size")
     )
 
 
-def cut(rank: Column, size: Column, spec: SplitSpec) -> Column:
-    """Split name of a rank: both cuts truncate separately."""
-    train_end = F.floor(size * F.lit(spec.train))
-    calibration_end = train_end + F.floor(size * F.lit(spec.calibration))
-    return F.when(rank < train_end, "train").when(rank < calibration_end, "calibration").otherwise("test")
+def cut(rank: Column, size: Column, shares: Sequence[tuple[str, Fraction]] = SHARES) -> Column:
+    """Name of the part that a rank falls into; every cut is rounded down by itself, in whole numbers."""
+    end, name = F.lit(0), F
+    for part, share in cuts(shares):
+        end = end + F.floor(size * share.numerator / share.denominator)
+        name = name.when(rank < end, part)
+    return name.otherwise(SPLITS[-1])
+
+
+def require_population(df: DataFrame, key: str = "customer_id", shares: Sequence[tuple[str, Fraction]] = SHARES) -> None:
+    """Raise unless every id has one row and every part gets some row."""
+    per_id = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("size"), count_where(c("n") > 1).alias("repeated_ids"))
+    parts = [F.floor(c("size") * share.numerator / share.denominator) for _, share in cuts(shares)]
+    rest = c("size") - sum(parts, F.lit(0))
+    require(
+        counts.select("repeated_ids", F.least(*parts, rest).alias("smallest_part")),
+        {"ids_are_unique": "repeated_ids = 0", "every_part_has_rows": "smallest_part > 0"},
+    )
+
 
+def rank_split(
+    df: DataFrame, key: str = "customer_id", version: str = SPLIT_VERSION, shares: Sequence[tuple[str, Fraction]] = SHARES
+) -> DataFrame:
+    """Add ``split`` to every row.
 
-def rank_split(df: DataFrame, key: str = "customer_id", spec: SplitSpec = SplitSpec()) -> DataFrame:
-    """Add ``split`` to every row; each id must be unique and positive."""
-    placed = ranked(df, key, spec)
-    return placed.select(*df.columns, cut(c("split_rank"), c("population_size"), spec).alias("split"))
+    Ids are positive (the digest raises otherwise) and unique;
+    :func:`require_population` tests that, and that no part stays empty.
+    """
+    placed = ranked(df, key, version)
+    return placed.select(*df.columns, cut(c("split_rank"), c("population_size"), shares).alias("split"))
 
 
 def split_check(df: DataFrame, outcome: str = "next_month_default") -> DataFrame:
@@ -105,9 +120,9 @@ def require_split(df: DataFrame, outcome: str = "next_month_default") -> None:
     require(totals, {"three_splits_with_both_classes": f"splits = {len(SPLITS)} AND good = {len(SPLITS)}"})
 
 
-def recompute_split(df: DataFrame, key: str = "customer_id", spec: SplitSpec = SplitSpec()) -> DataFrame:
+def recompute_split(df: DataFrame, key: str = "customer_id", version: str = SPLIT_VERSION) -> DataFrame:
     """Stored against recomputed split: rows and mismatches per stored split."""
-    again = rank_split(df.select(key, c("split").alias("_stored")), key, spec)
+    again = rank_split(df.select(key, c("split").alias("_stored")), key, version)
     return again.groupBy(c("_stored").alias("stored_split")).agg(
         F.count(F.lit(1)).alias("rows"), count_where(~c("_stored").eqNullSafe(c("split"))).alias("mismatches")
     )

@@ -9,6 +9,7 @@ order of addition.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,7 +146,7 @@ add(
     "a13_fingerprint_files",
     lambda w: tables.compare_fingerprints(
         tables.fingerprint_files(w.spark, w.sf_dir, "*.parquet"),
-        tables.fingerprint_files(w.spark, w.sf_dir, "[c-z]*.parquet").select("file_name", "file_sha256"),
+        tables.fingerprint_files(w.spark, w.sf_dir, "[c-z]*.parquet").select("file_path", "file_sha256"),
     ),
 )
 
@@ -619,7 +620,7 @@ add(
 add(
     "h02_rank_split",
     lambda w: split.ranked(w.borrowers.select("customer_id")).select(
-        "customer_id", "split_rank", split.cut(c("split_rank"), c("population_size"), split.SplitSpec()).alias("split")
+        "customer_id", "split_rank", split.cut(c("split_rank"), c("population_size")).alias("split")
     ),
     "SELECT customer_id, split_rank, split FROM split",
 )
@@ -899,6 +900,32 @@ add(
     "UNION ALL SELECT 'clean', 0, 0, 'pass', true UNION ALL SELECT 'blocked', 0, 1, 'blocked', false",
 )
 
+
+
+def _all_issues(w: Workspace) -> DataFrame:
+    """Issues over damaged predictions and reports: at least one of every kind of comparison."""
+    reported = metrics.compare_metrics(_reported(w), w.metrics)
+    deltas = metrics.model_deltas(w.metrics).withColumn(
+        "difference", F.when(c("metric") == "ece_difference", c("difference") + 0.001).otherwise(c("difference"))
+    )
+    one_class = w.pred.where("NOT (model = 'static' AND actual_default = 1)")
+    return metrics.model_issues(
+        one_class, w.population, w.borrowers.agg(F.count(F.lit(1))).scalar(), w.borrowers.agg(F.sum("next_month_default")).scalar(),
+        reported, _segment_comparison(w), metrics.compare_deltas(deltas, w.metrics),
+    ).where("rows > 0")
+
+
+add(
+    "i17_model_issues",
+    _all_issues,
+    "SELECT * FROM (WITH d AS (SELECT count(*) AS n FROM pred WHERE model = 'static' AND actual_default = 1), found AS ("
+    "SELECT 'missing_prediction' AS issue, n AS rows FROM d UNION ALL SELECT 'population_mismatch_across_models', n FROM d "
+    "UNION ALL SELECT 'single_class_test', 1 UNION ALL SELECT 'metric_mismatch', 1 UNION ALL SELECT 'metric_invalid_reported', 2 "
+    "UNION ALL SELECT 'segment_segment_not_reported', count(*) * 5 FROM seg WHERE segment_field = 'risk_band' AND segment_value = 'Low' "
+    "UNION ALL SELECT 'segment_mismatch', count(*) FROM seg WHERE segment_field = 'sex_code' "
+    "UNION ALL SELECT 'difference_mismatch', count(*) FROM deltas WHERE metric = 'ece_difference') SELECT * FROM found WHERE rows > 0) q",
+)
+
 # --- J: graph -----------------------------------------------------------------------------------
 _NODE_COLUMNS = "graph_scope, canonical_name, version, node_type, status, owner, path_or_object"
 
@@ -1071,27 +1098,38 @@ def _pipeline(w: Workspace) -> tuple[DataFrame, DataFrame]:
 add("j13_pipeline_nodes", lambda w: _pipeline(w)[0], "SELECT * FROM pipeline_node")
 add(
     "j13_pipeline_edges",
-    lambda w: _pipeline(w)[1].drop("valid_from"),
+    lambda w: dates_as_text(_pipeline(w)[1].drop("valid_to", "expected_sign", "lag_months"), "valid_from"),
     "SELECT * FROM pipeline_edge",
 )
 
 
+def _second_run(w: Workspace) -> DataFrame:
+    """What registering the nodes of a second run does beside those of the first."""
+    first, _ = _pipeline(w)
+    second, _ = lineage.pipeline_lineage(ingest.source_identity(w.raw), w.tests, w.summary, replace(w.p, run_id="RUN-002"))
+    return lineage.node_actions(second, first).select("canonical_name", "version", "action")
+
+
+add(
+    "j13_second_run",
+    _second_run,
+    "SELECT canonical_name, CASE WHEN version = 'RUN-001' THEN 'RUN-002' ELSE version END AS version, "
+    "CASE WHEN version = 'RUN-001' THEN 'insert' ELSE 'noop' END AS action FROM pipeline_node",
+)
+
+
 def _pipeline_missing(w: Workspace) -> DataFrame:
-    """Signals without the exact artifact-to-source path in the run's own graph."""
+    """Signals without a way back to the source in the run's own graph; one required name is no signal."""
     nodes, edges = _pipeline(w)
-    nodes = nodes.withColumn("node_id", c("canonical_name"))
-    edges = edges.select(c("from_name").alias("from_node_id"), c("to_name").alias("to_node_id"), "edge_type")
-    paths = lineage.lineage_paths(edges, nodes, nodes.where("node_type = 'Artifact'"))
-    required = w.signals.limit(1).select(
-        F.explode(F.array(*[F.lit(f"mart.signal.{s}") for s in (*SIGNALS, "risk_points")])).alias("feature")
-    )
-    return lineage.missing_paths(paths, required, 5, lineage.EXACT_PATH, lineage.EXACT_TYPES)
+    required = fixed_rows(w.spark, {"feature": "string"}, [(f"signals.{s}",) for s in (*SIGNALS, "risk_points")])
+    source = ingest.source_identity(w.raw).first().source_id
+    return lineage.signals_without_path(nodes, edges, required, source)
 
 
 add(
     "j10_pipeline_missing_paths",
     _pipeline_missing,
-    "SELECT 'mart.signal.risk_points' AS feature UNION ALL SELECT 'mart.signal.' || s FROM (VALUES "
+    "SELECT 'signals.risk_points' AS feature UNION ALL SELECT 'signals.' || s FROM (VALUES "
     + ", ".join(f"('{s}')" for s in SIGNALS) + ") v(s) WHERE s NOT IN (SELECT signal_name FROM summary)",
 )
 
@@ -1102,6 +1140,46 @@ for _g in range(1, 6):
         lambda w, g=_g: gates.gate(w.gate_evidence(g), g),
         f"SELECT * FROM ruled WHERE gate = {_g}",
     )
+
+
+def _two_runs(w: Workspace) -> DataFrame:
+    """Run ids of tables that each hold the same two runs, and of tables of which one lacks some."""
+    def twice(df: DataFrame) -> DataFrame:
+        return df.unionByName(df.withColumn("pipeline_run_id", F.lit("RUN-002")))
+
+    mixed = {"borrower": twice(w.borrowers), "panel": twice(w.panel)}
+    lacking = w.borrowers.withColumn("pipeline_run_id", F.when(c("customer_id") % 2 == 0, c("pipeline_run_id")))
+    parts = {"clean": {"borrower": w.borrowers, "panel": w.panel}, "mixed": mixed, "lacking": {"borrower": lacking, "panel": w.panel}}
+    found = [gates.gate(gates.metric_evidence(gates.run_identity(t)), 5).where("check_id = 'shared_run_id'").select(F.lit(n).alias("packet"), "observed", "status") for n, t in parts.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+add(
+    "k05_run_identity_damaged",
+    _two_runs,
+    "SELECT 'clean' AS packet, count(DISTINCT pipeline_run_id)::DOUBLE AS observed, 'pass' AS status FROM borrower "
+    "UNION ALL SELECT 'mixed', count(DISTINCT pipeline_run_id) + 1.0::DOUBLE, 'fail' FROM borrower UNION ALL SELECT 'lacking', NULL, 'fail'",
+)
+
+
+def _other_signals(w: Workspace) -> DataFrame:
+    """Signals that a second computation with one altered value agrees on, and a review of bad declarations."""
+    again = sig.signal_table_wide(w.raw, w.p).withColumn("recent_bill_growth", F.when(c("risk_points") > 3, F.lit(-9.0)).otherwise(c("recent_bill_growth")))
+    inputs = sig.signal_inputs(w.p) | {"zero_payment_streak": (("payment_amount_ntd",), (0, 1)), "recent_max_delinquency": (("next_month_default",), (0,))}
+    del inputs["recent_bill_growth"]
+    review = gates.signal_review(w.summary, inputs, ("next_month_default",))
+    return gates.metric_evidence(gates.reproduced_signals(w.signals, again, SIGNALS), review).select("metric", c("value").cast("double").alias("value"))
+
+
+add(
+    "k03_signal_review_damaged",
+    _other_signals,
+    "SELECT * FROM (WITH n AS (SELECT count(DISTINCT signal_name) - count(DISTINCT CASE WHEN signal_name = 'recent_bill_growth' THEN 1 END) AS seen FROM summary) "
+    "SELECT 'reproducible_signals' AS metric, (SELECT CASE WHEN count(*) > 0 THEN 6 ELSE 7 END FROM signals WHERE risk_points > 3)::DOUBLE AS value "
+    "UNION ALL SELECT 'timing_reviewed', seen::DOUBLE FROM n UNION ALL SELECT 'leakage_reviewed', seen::DOUBLE FROM n "
+    "UNION ALL SELECT 'timing_violations', count(DISTINCT signal_name)::DOUBLE FROM summary WHERE signal_name = 'zero_payment_streak' "
+    "UNION ALL SELECT 'leakage_violations', count(DISTINCT signal_name)::DOUBLE FROM summary WHERE signal_name = 'recent_max_delinquency') q",
+)
 add(
     "k06_gate_rollup",
     lambda w: gates.gate_rollup(w.gate_checks()),

@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import re
 
-from riskpanel.definitions import DIRECTION_BUCKETS, EXPECTED_SIGNS, SIGNALS, WIDE_PERIODS
-from riskpanel.operators.gates import RULES
-from riskpanel.operators.lineage import FEATURE_EDGES, FEATURE_NODE, PIPELINE_EDGES, PIPELINE_NODES
+from riskpanel.definitions import SIGNALS, WIDE_PERIODS
 
 SOURCE = "orders_by_customer"
 FIELDS = (
@@ -181,17 +179,34 @@ BLOCKS["tests"] = tests_sql("raw", "borrower", "panel", "rec")
 BLOCKS["tests_d"] = tests_sql("raw_d", "borrower_d", "panel_d", "rec_d")
 
 
-# --- behaviour, signals ------------------------------------------------------------
+# --- behaviour, signals: one row of lists per borrower, latest month first ----------
+def history_sql(panel: str) -> str:
+    def months(field: str) -> str:
+        return "[" + ", ".join(f"max({field}) FILTER (WHERE month_offset = {-k})" for k in range(6)) + "]"
+
+    return (
+        f"SELECT customer_id, {months('repayment_status')} AS status, {months('bill_amount_ntd')} AS bill, "
+        f"{months('payment_amount_ntd')} AS paid FROM {panel} GROUP BY customer_id"
+    )
+
+
+def _worst(months: str) -> str:
+    return f"list_max(list_transform(list_filter(status[{months}], lambda x: x IS NOT NULL), lambda x: CASE WHEN x > 0 THEN x ELSE 0 END))"
+
+
+_LATE = "CAST(len(list_filter(status, lambda x: x > 0)) AS BIGINT)"
+
+
+def _quotient(over: str, under: str) -> str:
+    return f"CASE WHEN {under} <> 0 THEN ({over})::DOUBLE / ({under})::DOUBLE END"
+
+
 def behaviour_sql(borrower: str, panel: str) -> str:
     return (
-        "SELECT b.customer_id, count(*) FILTER (WHERE payment_amount_ntd = 0) AS zero_payment_months, "
-        "count(*) FILTER (WHERE repayment_status > 0) AS delinquent_months, "
-        "max(greatest(repayment_status, 0)) FILTER (WHERE month_offset BETWEEN -2 AND 0) AS recent_max_status, "
-        "max(greatest(repayment_status, 0)) FILTER (WHERE month_offset BETWEEN -5 AND -3) AS earlier_max_status, "
-        "(max(bill_amount_ntd) FILTER (WHERE month_offset = 0))::DOUBLE / nullif(credit_limit_ntd, 0)::DOUBLE AS latest_utilization, "
-        "(max(payment_amount_ntd) FILTER (WHERE month_offset = 0))::DOUBLE / "
-        "nullif(max(bill_amount_ntd) FILTER (WHERE month_offset = -1), 0)::DOUBLE AS payment_coverage "
-        f"FROM {borrower} b JOIN {panel} a ON a.customer_id = b.customer_id GROUP BY b.customer_id, b.credit_limit_ntd"
+        "SELECT h.customer_id, CAST(len(list_filter(paid, lambda x: x = 0)) AS BIGINT) AS zero_payment_months, "
+        f"{_LATE} AS delinquent_months, {_worst('1:3')} AS recent_max_status, {_worst('4:6')} AS earlier_max_status, "
+        f"{_quotient('bill[1]', 'credit_limit_ntd')} AS latest_utilization, {_quotient('paid[1]', 'bill[2]')} AS payment_coverage "
+        f"FROM ({history_sql(panel)}) h JOIN {borrower} b ON b.customer_id = h.customer_id"
     )
 
 
@@ -213,30 +228,19 @@ BLOCKS["flags"] = (
         for i, n, w in _FLAGS
     ) + ") f"
 )
+# Runs of months without payment: the longest piece of z in a word of six letters.
 BLOCKS["zero_streak"] = (
-    "SELECT customer_id, CAST(max(n) AS BIGINT) AS zero_payment_streak FROM (SELECT customer_id, island, count(*) AS n FROM ("
-    "SELECT customer_id, month_offset - row_number() OVER (PARTITION BY customer_id ORDER BY month_offset) AS island "
-    "FROM panel WHERE payment_amount_ntd = 0) z GROUP BY customer_id, island) s GROUP BY customer_id"
-)
-BLOCKS["grouped"] = (
-    "SELECT b.customer_id, b.observation_date, b.next_month_default, b.credit_limit_ntd, "
-    "max(greatest(repayment_status, 0)) FILTER (WHERE month_offset BETWEEN -2 AND 0) AS recent_max_delinquency, "
-    "count(*) FILTER (WHERE repayment_status > 0) AS delinquent_months_6m, "
-    "max(greatest(repayment_status, 0)) FILTER (WHERE month_offset BETWEEN -2 AND 0) - "
-    "max(greatest(repayment_status, 0)) FILTER (WHERE month_offset BETWEEN -5 AND -3) AS delinquency_deterioration, "
-    "max(bill_amount_ntd) FILTER (WHERE month_offset = 0) AS latest_bill, "
-    "max(bill_amount_ntd) FILTER (WHERE month_offset = -1) AS prior_bill, "
-    "max(bill_amount_ntd) FILTER (WHERE month_offset = -3) AS older_bill, "
-    "max(payment_amount_ntd) FILTER (WHERE month_offset = 0) AS latest_payment "
-    "FROM borrower b JOIN panel a ON a.customer_id = b.customer_id GROUP BY ALL"
+    "SELECT customer_id, CAST(list_max(list_transform(string_split(word, '.'), lambda x: length(x))) AS BIGINT) AS zero_payment_streak FROM ("
+    "SELECT customer_id, array_to_string(list_transform(paid, lambda x: CASE WHEN x = 0 THEN 'z' ELSE '.' END), '') AS word "
+    f"FROM ({history_sql('panel')}) h) w WHERE contains(word, 'z')"
 )
 BLOCKS["features"] = (
-    "SELECT g.customer_id, observation_date, next_month_default, recent_max_delinquency, delinquent_months_6m, "
-    "delinquency_deterioration, latest_bill::DOUBLE / nullif(credit_limit_ntd, 0)::DOUBLE AS latest_utilization_ratio, "
-    "CASE WHEN prior_bill > 0 THEN latest_payment::DOUBLE / prior_bill::DOUBLE END AS payment_coverage_ratio, "
+    f"SELECT b.customer_id, b.observation_date, b.next_month_default, {_worst('1:3')} AS recent_max_delinquency, {_LATE} AS delinquent_months_6m, "
+    f"{_worst('1:3')} - {_worst('4:6')} AS delinquency_deterioration, {_quotient('bill[1]', 'credit_limit_ntd')} AS latest_utilization_ratio, "
+    "CASE WHEN bill[2] > 0 THEN paid[1]::DOUBLE / bill[2]::DOUBLE END AS payment_coverage_ratio, "
     "coalesce(z.zero_payment_streak, 0) AS zero_payment_streak, "
-    "CASE WHEN older_bill <> 0 THEN (latest_bill - older_bill)::DOUBLE / abs(older_bill)::DOUBLE END AS recent_bill_growth "
-    "FROM grouped g LEFT JOIN zero_streak z ON z.customer_id = g.customer_id"
+    f"{_quotient('bill[1] - bill[4]', 'abs(bill[4])')} AS recent_bill_growth "
+    f"FROM borrower b JOIN ({history_sql('panel')}) h ON h.customer_id = b.customer_id LEFT JOIN zero_streak z ON z.customer_id = b.customer_id"
 )
 BLOCKS["signals"] = (
     "SELECT 'RUN-001' AS pipeline_run_id, f.*, CASE WHEN risk_points <= 1 THEN 'Low' WHEN risk_points <= 3 THEN 'Medium' ELSE 'High' END "
@@ -303,14 +307,26 @@ def groups_sql(summary: str) -> str:
     )
 
 
+# Expected sign of each signal and the three buckets compared, lowest exposure first.
+_DIRECTIONS = {
+    "recent_max_delinquency": ("positive", "0", "1", "2+"),
+    "delinquent_months_6m": ("positive", "0", "1", "2+"),
+    "delinquency_deterioration": ("positive", "<=0", "1", "2+"),
+    "latest_utilization_ratio": ("positive", "<0.80", "0.80-<1.00", ">=1.00"),
+    "payment_coverage_ratio": ("negative", "<0.10", "0.10-<0.50", ">=0.50"),
+    "zero_payment_streak": ("positive", "0", "1", "2+"),
+    "recent_bill_growth": ("positive", "<=0", "0-<0.25", ">=0.25"),
+}
+
+
 def rate(summary: str, name: str, position: int) -> str:
-    bucket = DIRECTION_BUCKETS[name][position]
+    bucket = _DIRECTIONS[name][position + 1]
     return f"(SELECT max(observed_default_rate) FROM {summary} WHERE signal_name = '{name}' AND signal_bucket = '{bucket}')"
 
 
 def direction_sql(summary: str) -> str:
     rows = " UNION ALL ".join(
-        f"SELECT '{s}' AS signal_name, '{EXPECTED_SIGNS[s]}' AS expected_sign, {rate(summary, s, 0)} AS rate_low, "
+        f"SELECT '{s}' AS signal_name, '{_DIRECTIONS[s][0]}' AS expected_sign, {rate(summary, s, 0)} AS rate_low, "
         f"{rate(summary, s, 1)} AS rate_middle, {rate(summary, s, 2)} AS rate_high WHERE EXISTS (SELECT 1 FROM {summary} WHERE signal_name = '{s}')"
         for s in SIGNALS
     )
@@ -482,54 +498,73 @@ BLOCKS["edge_x"] = (
 )
 
 
-def _name(template: str) -> str:
-    text = template.replace("{run}", "RUN-001").replace("{source}", SOURCE)
-    return f"replace('{text}', '{{feature}}', feature)" if "{feature}" in text else f"'{text}'"
-
-
-def pipeline_node_sql() -> str:
-    def row(t: tuple[str, str, str], source: str) -> str:
-        kind, name, owner = t
-        version = f"sha256('{SOURCE}')" if kind == "Source" else "'0.1.0'"
-        status = (
-            "CASE WHEN (SELECT count(*) FROM tests WHERE status = 'fail') > 0 THEN 'failed' ELSE 'validated' END"
-            if kind in ("Test", "Result", "Artifact") else "'validated'"
-        )
-        return (
-            f"SELECT 'data_lineage' AS graph_scope, '{kind}' AS node_type, {_name(name)} AS canonical_name, {version} AS version, "
-            f"{status} AS status, '{owner}' AS owner, {_name(name)} AS path_or_object {source}"
-        )
-
-    feature = "FROM (SELECT DISTINCT signal_name AS feature FROM summary) f"
-    return " UNION ALL ".join([row(t, "") for t in PIPELINE_NODES] + [row(FEATURE_NODE, feature)])
-
-
-def pipeline_edge_sql() -> str:
-    def row(t: tuple[str, str, str], source: str) -> str:
-        return f"SELECT 'data_lineage' AS graph_scope, {_name(t[0])} AS from_name, '{t[1]}' AS edge_type, {_name(t[2])} AS to_name {source}"
-
-    feature = "FROM (SELECT DISTINCT signal_name AS feature FROM summary) f"
-    return " UNION ALL ".join([row(t, "") for t in PIPELINE_EDGES] + [row(t, feature) for t in FEATURE_EDGES])
-
-
-BLOCKS["pipeline_node"] = pipeline_node_sql()
-BLOCKS["pipeline_edge"] = pipeline_edge_sql()
+# The graph of one run, written out: type, name, version (D definition, R run, S source digest), owner, judged.
+_GRAPH_NODES = """
+    ('Source', 'orders_by_customer', 'S', 'ingest', false), ('Run', 'run', 'R', 'ingest', false),
+    ('Transformation', 'ingest.load_insert_only', 'D', 'ingest', false), ('Table', 'raw', 'R', 'ingest', false),
+    ('Transformation', 'panel.borrower', 'D', 'panel', false), ('Table', 'borrower', 'R', 'panel', false),
+    ('Transformation', 'panel.unpivot_periods', 'D', 'panel', false), ('Table', 'panel', 'R', 'panel', false),
+    ('Transformation', 'signals.signal_table', 'D', 'signals', false), ('Table', 'signals', 'R', 'signals', false),
+    ('Transformation', 'outcomes.signal_summary', 'D', 'outcomes', false), ('Table', 'outcomes', 'R', 'outcomes', false),
+    ('Test', 'quality.quality_suite', 'D', 'quality', true), ('Result', 'evidence', 'R', 'quality', true)
+"""
+# What each operator reads and writes.
+_GRAPH_READS = """
+    ('ingest.load_insert_only', 'orders_by_customer'), ('panel.borrower', 'raw'), ('panel.unpivot_periods', 'raw'),
+    ('signals.signal_table', 'borrower'), ('signals.signal_table', 'panel'), ('outcomes.signal_summary', 'borrower'),
+    ('outcomes.signal_summary', 'signals'), ('quality.quality_suite', 'raw'), ('quality.quality_suite', 'borrower'), ('quality.quality_suite', 'panel')
+"""
+_GRAPH_WRITES = """
+    ('ingest.load_insert_only', 'raw'), ('panel.borrower', 'borrower'), ('panel.unpivot_periods', 'panel'),
+    ('signals.signal_table', 'signals'), ('outcomes.signal_summary', 'outcomes'), ('quality.quality_suite', 'evidence')
+"""
+BLOCKS["pipeline_node"] = (
+    "SELECT 'data_lineage' AS graph_scope, node_type, name AS canonical_name, "
+    f"CASE v WHEN 'S' THEN sha256('{SOURCE}') WHEN 'R' THEN 'RUN-001' ELSE '0.1.0' END AS version, "
+    "CASE WHEN judged AND (SELECT count(*) FROM tests WHERE status = 'fail') > 0 THEN 'failed' ELSE 'validated' END AS status, owner, name AS path_or_object "
+    f"FROM (VALUES {_GRAPH_NODES}) t(node_type, name, v, owner, judged) UNION ALL "
+    "SELECT DISTINCT 'data_lineage', 'Feature', 'signals.' || signal_name, 'RUN-001', 'validated', 'signals', 'signals.' || signal_name FROM summary"
+)
+BLOCKS["pipeline_edge"] = (
+    f"WITH rd AS (SELECT * FROM (VALUES {_GRAPH_READS}) t(op, tab)), wr AS (SELECT * FROM (VALUES {_GRAPH_WRITES}) t(op, tab)), "
+    "sg AS (SELECT DISTINCT 'signals.' || signal_name AS name FROM summary), named AS ("
+    "SELECT tab AS a, 'transformed_by' AS kind, op AS b, op AS proof FROM rd UNION ALL SELECT op, 'supports', tab, op FROM wr "
+    "UNION ALL SELECT op, 'computed_from', tab, op FROM rd UNION ALL SELECT tab, 'computed_from', op, op FROM wr "
+    "UNION ALL SELECT tab, 'validated_by', op, op FROM rd WHERE op = 'quality.quality_suite' "
+    "UNION ALL SELECT 'run', 'supports', op, op FROM wr "
+    "UNION ALL SELECT 'signals.signal_table', 'supports', name, 'signals.signal_table' FROM sg "
+    "UNION ALL SELECT name, 'computed_from', 'signals.signal_table', 'signals.signal_table' FROM sg "
+    "UNION ALL SELECT name, 'reported_in', 'outcomes', 'outcomes.signal_summary' FROM sg), "
+    "ids AS (SELECT canonical_name, sha256('data_lineage|' || canonical_name || '|' || version) AS node_id FROM pipeline_node) "
+    "SELECT 'data_lineage' AS graph_scope, x.node_id AS from_node_id, y.node_id AS to_node_id, kind AS edge_type, '2005-09-30' AS valid_from, "
+    "proof AS evidence_reference, 'approved' AS status FROM named JOIN ids x ON x.canonical_name = a JOIN ids y ON y.canonical_name = b"
+)
 
 # --- cells, registry, ledger --------------------------------------------------------------------
 BLOCKS["cells"] = (
     "SELECT event_id AS row_no, CASE WHEN k = '13' THEN '' WHEN k = '23' THEN (event_id // 2)::VARCHAR ELSE event_id::VARCHAR END AS id, "
-    "CASE WHEN k = '17' THEN '9999999999' ELSE user_id::VARCHAR END AS \"user\", "
-    "CASE WHEN k = '19' THEN 'n/a' WHEN event_type = 'error' THEN printf('%.2f', value) ELSE CAST(floor(value) AS BIGINT)::VARCHAR END AS amount, k "
+    "CASE WHEN k = '17' THEN '9999999999' WHEN k = '29' THEN '2147483647.0000000001' WHEN k = '31' THEN ' ' || user_id || '.50e3 ' ELSE user_id::VARCHAR END AS \"user\", "
+    "CASE WHEN k = '19' THEN 'n/a' WHEN k = '37' THEN '1.00000000000000001' WHEN k = '41' THEN '+120e-1' WHEN k = '43' THEN '15e-1' WHEN event_type = 'error' THEN printf('%.2f', value) ELSE CAST(floor(value) AS BIGINT)::VARCHAR END AS amount, k "
     "FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events) e"
 )
 _NUM = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+def _exact(cell: str) -> str:
+    """The number as an exact decimal; the planted cells have 19 digits before and 18 after the point at most."""
+    mantissa = f"regexp_extract(trim({cell}), '^[^eE]*')"
+    power = f"coalesce(TRY_CAST(nullif(regexp_extract(lower(trim({cell})), 'e([+-]?[0-9]+)$', 1), '') AS INTEGER), 0)"
+    return (
+        f"CASE {power} WHEN 0 THEN TRY_CAST({mantissa} AS DECIMAL(38, 18)) WHEN 3 THEN CAST(TRY_CAST({mantissa} AS DECIMAL(14, 6)) * 1000 AS DECIMAL(38, 18)) "
+        f"WHEN -1 THEN CAST(TRY_CAST({mantissa} AS DECIMAL(14, 6)) * CAST(0.1 AS DECIMAL(2, 1)) AS DECIMAL(38, 18)) END"
+    )
+
+
 def _reason(cell: str) -> str:
-    number = f"TRY_CAST({cell} AS DOUBLE)"
+    number = _exact(cell)
     return (
-        f"CASE WHEN {cell} IS NULL OR {cell} = '' THEN 'missing value' WHEN NOT regexp_matches({cell}, '{_NUM}') OR {number} IS NULL THEN 'non-numeric' "
-        f"WHEN {number} <> floor({number}) THEN 'non-integral' WHEN {number} < -2147483648 OR {number} > 2147483647 THEN 'outside int32' END"
+        f"CASE WHEN {cell} IS NULL OR {cell} = '' THEN 'missing value' WHEN NOT regexp_matches({cell}, '{_NUM}') THEN 'non-numeric' "
+        f"WHEN regexp_matches(CAST({number} AS VARCHAR), '[.]0*[1-9]') THEN 'non-integral' WHEN {number} < -2147483648 OR {number} > 2147483647 THEN 'outside int32' END"
     )
 
 
@@ -538,8 +573,8 @@ BLOCKS["cell_rejects"] = " UNION ALL ".join(
     for i, (f, q) in enumerate((("id", "id"), ("user", '"user"'), ("amount", "amount")), 1)
 )
 BLOCKS["parsed"] = (
-    "SELECT row_no, k, CAST(TRY_CAST(id AS DOUBLE) AS BIGINT) AS id, CAST(TRY_CAST(\"user\" AS DOUBLE) AS BIGINT) AS \"user\", "
-    "CAST(TRY_CAST(amount AS DOUBLE) AS BIGINT) AS amount FROM cells WHERE row_no NOT IN (SELECT row_no FROM cell_rejects)"
+    "SELECT row_no, k, CAST(" + _exact("id") + " AS BIGINT) AS id, CAST(" + _exact('"user"') + " AS BIGINT) AS \"user\", "
+    "CAST(" + _exact("amount") + " AS BIGINT) AS amount FROM cells WHERE row_no NOT IN (SELECT row_no FROM cell_rejects)"
 )
 BLOCKS["numbered"] = "SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_no) AS copy FROM parsed"
 BLOCKS["registered"] = (
@@ -596,9 +631,54 @@ _EVIDENCE = {
     "WHERE n <> (SELECT count(*) FROM borrower) OR d <> (SELECT sum(next_month_default) FROM borrower))",
 }
 BLOCKS["evidence"] = " UNION ALL ".join(f"SELECT '{k}' AS metric, ({v})::DOUBLE AS value" for k, v in _EVIDENCE.items())
-BLOCKS["rules"] = "SELECT * FROM (VALUES " + ", ".join(
-    f"({g}, '{k}', '{m}', '{o}', {b}::DOUBLE, {'NULL' if x is None else repr(x)})" for g, k, m, o, b, x in RULES
-) + ") v(gate, check_id, metric, comparison, bound, other_metric)"
+# What each gate asks for, written out here so that a wrong rule cannot hide.
+_RULES = """
+    (1, 'source_registered', 'registered_sources', 'ge', 1.0, NULL),
+    (1, 'sha256_recorded', 'sha256_valid', 'eq', 1.0, NULL),
+    (1, 'source_shape_recorded', 'source_rows', 'gt', 0.0, NULL),
+    (1, 'source_shape_recorded', 'source_columns', 'gt', 0.0, NULL),
+    (1, 'raw_rows_reconciled', 'raw_rows', 'eq', 0.0, 'source_rows'),
+    (1, 'raw_rows_reconciled', 'unlogged_rejects', 'eq', 0.0, NULL),
+    (2, 'primary_key', 'duplicate_borrower_keys', 'eq', 0.0, NULL),
+    (2, 'primary_key', 'null_borrower_keys', 'eq', 0.0, NULL),
+    (2, 'primary_key', 'duplicate_panel_keys', 'eq', 0.0, NULL),
+    (2, 'foreign_key', 'orphan_panel_rows', 'eq', 0.0, NULL),
+    (2, 'wide_to_long_rows', 'borrower_rows', 'gt', 0.0, NULL),
+    (2, 'wide_to_long_rows', 'borrower_rows', 'eq', 0.0, 'raw_rows'),
+    (2, 'wide_to_long_rows', 'periods', 'eq', 6.0, NULL),
+    (2, 'wide_to_long_rows', 'panel_rows', 'eq', 0.0, 'expected_panel_rows'),
+    (2, 'bill_amounts', 'bill_difference', 'abs_le', 0.01, NULL),
+    (2, 'payment_amounts', 'payment_difference', 'abs_le', 0.01, NULL),
+    (2, 'code_domains', 'invalid_code_rows', 'eq', 0.0, NULL),
+    (2, 'code_domains', 'missing_history_rows', 'eq', 0.0, NULL),
+    (2, 'sql_test_suite', 'executed_tests', 'ge', 12.0, NULL),
+    (2, 'sql_test_suite', 'failed_tests', 'eq', 0.0, NULL),
+    (3, 'signal_count', 'signals', 'ge', 5.0, NULL),
+    (3, 'definition_version', 'version_present', 'eq', 1.0, NULL),
+    (3, 'observation_timing', 'timing_reviewed', 'eq', 0.0, 'signals'),
+    (3, 'observation_timing', 'timing_violations', 'eq', 0.0, NULL),
+    (3, 'leakage', 'leakage_reviewed', 'eq', 0.0, 'signals'),
+    (3, 'leakage', 'leakage_violations', 'eq', 0.0, NULL),
+    (3, 'outcome_summary', 'summary_rows', 'gt', 0.0, NULL),
+    (3, 'outcome_summary', 'signals_with_summary', 'eq', 0.0, 'signals'),
+    (3, 'outcome_summary', 'invalid_summaries', 'eq', 0.0, NULL),
+    (3, 'outcome_summary', 'band_rows', 'gt', 0.0, NULL),
+    (3, 'outcome_summary', 'signal_default_total', 'eq', 0.0, 'band_default_total'),
+    (3, 'sql_reproducibility', 'reproducible_signals', 'eq', 0.0, 'signals'),
+    (4, 'time_validation', 'time_validation_completed', 'eq', 1.0, NULL),
+    (4, 'calibration', 'calibration_completed', 'eq', 1.0, NULL),
+    (4, 'segment_stability', 'segment_stability_completed', 'eq', 1.0, NULL),
+    (4, 'sensitivity_direction', 'sensitivity_completed', 'eq', 1.0, NULL),
+    (4, 'proxy_labels', 'missing_labels', 'eq', 0.0, NULL),
+    (5, 'shared_run_id', 'distinct_run_ids', 'eq', 1.0, NULL),
+    (5, 'cross_artifact_values', 'mismatches', 'eq', 0.0, NULL),
+    (5, 'limitations', 'limitations_documented', 'eq', 1.0, NULL),
+    (5, 'evidence_map', 'unresolved_claims', 'eq', 0.0, NULL)
+"""
+BLOCKS["rules"] = (
+    "SELECT gate, check_id, metric, comparison, bound::DOUBLE AS bound, other_metric "
+    f"FROM (VALUES {_RULES}) v(gate, check_id, metric, comparison, bound, other_metric)"
+)
 BLOCKS["ruled"] = (
     "SELECT gate, check_id, metric, comparison, observed, allowed, CASE WHEN (comparison = 'eq' AND observed = allowed) OR "
     "(comparison = 'ge' AND observed >= allowed) OR (comparison = 'gt' AND observed > allowed) OR (comparison = 'abs_le' AND abs(observed) <= allowed) "

@@ -11,7 +11,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.definitions import DEFAULT, ENFORCED_TESTS, SIGNALS, PanelParams
+from riskpanel.definitions import DEFAULT, ENFORCED_TESTS, NEVER_FEATURES, SIGNALS, PanelParams
 from riskpanel.functions.frames import single_row
 from riskpanel.operators import (
     gates, lineage, metrics, model, outcomes, panel, population, quality, reconcile, signals,
@@ -339,12 +339,7 @@ class Workspace:
     @cached_property
     def review(self) -> DataFrame:
         """One row: timing and leakage review of the signals that have outcome rows."""
-        return self.summary.select("signal_name").distinct().agg(
-            F.count(F.lit(1)).alias("timing_reviewed"),
-            F.count(F.lit(1)).alias("leakage_reviewed"),
-            F.count_if(~c("signal_name").isin(*SIGNALS)).alias("timing_violations"),
-            F.count_if(c("signal_name").isin("risk_points", "risk_band", "next_month_default")).alias("leakage_violations"),
-        )
+        return gates.signal_review(self.summary, signals.signal_inputs(self.p), sorted(NEVER_FEATURES))
 
     def gate_parts(self, gate: int) -> list[DataFrame]:
         """One-row aggregates that hold the metrics of one gate.
@@ -379,7 +374,6 @@ class Workspace:
             summary_counts = per_signal.agg(
                 F.sum("n").alias("summary_rows"),
                 F.count(F.lit(1)).alias("signals_with_summary"),
-                F.count(F.lit(1)).alias("reproducible_signals"),
                 F.when(F.min("d") == F.max("d"), F.max("d")).alias("signal_default_total"),
             )
             band_counts = self.bands.agg(
@@ -389,7 +383,8 @@ class Workspace:
                 F.lit(len(SIGNALS)).cast("bigint").alias("signals"),
                 F.when(F.min(F.trim("definition_version")) != "", 1).otherwise(0).cast("bigint").alias("version_present"),
             )
-            return [faults, summary_counts, band_counts, version, self.review]
+            again = gates.reproduced_signals(self.signals, signals.signal_table_wide(self.raw, self.p), SIGNALS)
+            return [faults, summary_counts, band_counts, version, self.review, again]
         if gate == 4:
             def complete(df: DataFrame, column: str, wanted: int, name: str) -> DataFrame:
                 reached = F.when(F.count_distinct(column) == wanted, 1).otherwise(0).cast("bigint")
@@ -400,9 +395,7 @@ class Workspace:
                 complete(metrics.segments(self.pred, self.population), "segment_field", 5, "segment_stability_completed"),
                 self.signals.agg(F.count_if(c("risk_band").isNull()).alias("missing_labels")),
             ]
-        identity = gates.shared_identity(
-            {"borrower": self.borrowers, "panel": self.panel, "signals": self.signals}, ("pipeline_run_id",)
-        ).agg(F.count_distinct(c("low")).alias("distinct_run_ids"))
+        identity = gates.run_identity({"borrower": self.borrowers, "panel": self.panel, "signals": self.signals})
         ties = outcomes.population_tie_out(self.summary, self.bands, self.borrowers).agg(
             F.count_if(~c("ties_out")).alias("mismatches")
         )

@@ -64,15 +64,23 @@ def text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows ``(row_no, id, user, amount, k)`` from events, with damaged cells.
 
     Damage depends on the values themselves: a few values of ``k`` blank the
-    id, break the amount, put the user out of range or repeat an earlier id.
+    id, break the amount, put the user out of range, repeat an earlier id, or write
+    numbers with exponents and with fractions that no double can hold.
     """
     events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
     k, event = F.col("k"), F.col("event_id")
     row = F.struct(
         event.alias("row_no"),
         F.when(k == "13", "").when(k == "23", F.floor(event / 2).cast("string")).otherwise(event.cast("string")).alias("id"),
-        F.when(k == "17", "9999999999").otherwise(F.col("user_id").cast("string")).alias("user"),
+        F.when(k == "17", "9999999999")
+        .when(k == "29", "2147483647.0000000001")
+        .when(k == "31", F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(".50e3 ")))
+        .otherwise(F.col("user_id").cast("string"))
+        .alias("user"),
         F.when(k == "19", "n/a")
+        .when(k == "37", "1.00000000000000001")
+        .when(k == "41", "+120e-1")
+        .when(k == "43", "15e-1")
         .when(F.col("event_type") == "error", F.format_string("%.2f", F.col("value")))
         .otherwise(F.floor("value").cast("string"))
         .alias("amount"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,21 +53,28 @@ def require_header(df: DataFrame, expected: list[str]) -> DataFrame:
 
 
 def fingerprint_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SHA-256 and length of every input file, one task per group of files.
+    """``file_path, file_bytes, file_sha256`` of every file below ``path``, at any depth.
 
-    A file is one row here, and the reader refuses files of 2 GiB and more.
+    Paths are relative to ``path``, so equal names in different folders stay
+    apart. A file is one row here, hashed on an executor; the reader refuses
+    files of 2 GiB and more and names them, so none is left out.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.col("length").alias("file_bytes"),
-        F.sha2("content", 256).alias("file_sha256"),
-    )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    root = _root(spark, path)
+    name = F.ltrim(F.substr("path", F.lit(len(root) + 1)), F.lit("/"))
+    return listed.select(name.alias("file_path"), F.col("length").alias("file_bytes"), F.sha2("content", 256).alias("file_sha256"))
+
+
+def _root(spark: SparkSession, path: str) -> str:
+    """``path`` as the file system spells it in listings."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
 
 
 def compare_fingerprints(found: DataFrame, registered: DataFrame) -> DataFrame:
-    """Status per file name: match, changed, unregistered or absent."""
-    joined = found.join(registered.withColumnRenamed("file_sha256", "registered_sha256"), "file_name", "full_outer")
+    """Status per file path: match, changed, unregistered or absent."""
+    known = registered.select("file_path", F.col("file_sha256").alias("registered_sha256"))
+    joined = found.join(known, "file_path", "full_outer")
     return joined.withColumn(
         "status",
         F.when(F.col("file_sha256").isNull(), "absent")
@@ -88,8 +94,13 @@ def append_run(df: DataFrame, table: str, run_id: str) -> str:
         raise GuardError(f"run id {run_id!r} is not 3-128 safe characters")
     target = f"{table}/pipeline_run_id={run_id}"
     columns = [c for c in df.columns if c != "pipeline_run_id"]
-    try:
-        df.select(*columns).write.mode("errorifexists").parquet(target)
-    except AnalysisException as error:
-        raise GuardError(f"run {run_id} of {table} exists already") from error
+    if _exists(df.sparkSession, f"{target}/_SUCCESS"):
+        raise GuardError(f"run {run_id} of {table} exists already")
+    # a folder without the marker is what a job left that died half-way
+    df.select(*columns).write.mode("overwrite").parquet(target)
     return target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

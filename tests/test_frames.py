@@ -52,20 +52,21 @@ def test_exact_medians_ignore_nulls_and_interpolate(spark):
 def test_salted_join_with_a_hot_key_equals_plain_join(spark):
     many = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(900)], "k bigint, v bigint")
     few = spark.createDataFrame([(i, f"n{i}") for i in range(0, 900, 2)], "k bigint, name string")
-    hot = hot_keys(many, ["k"], share=0.1, floor=10)
-    assert [r.k for r in hot.collect()] == [0]
+    hot = hot_keys(many, ["k"], share=0.1)
+    assert [(r.k, r._parts) for r in hot.collect()] == [(0, 7)]  # two thirds of the rows are seven tenths at most
     expected = sorted(map(tuple, many.join(few, "k").collect()))
-    assert sorted(map(tuple, salted_join(many, few, ["k"], F.col("v"), 8, hot).collect())) == expected
-    spread = salt_many(many, hot, ["k"], F.col("v"), 8).where("k = 0").select("_salt").distinct().count()
-    assert spread == 8
-    copies = {r.k: r.n for r in salt_few(few, hot, ["k"], 8).groupBy("k").agg(F.count("*").alias("n")).collect()}
-    assert copies[0] == 8 and copies[2] == 1
+    assert sorted(map(tuple, salted_join(many, few, ["k"], F.col("v"), hot).collect())) == expected
+    assert sorted(map(tuple, salted_join(many, few, ["k"], F.col("v")).collect())) == expected
+    spread = salt_many(many, hot, ["k"], F.col("v")).where("k = 0").select("_salt").distinct().count()
+    assert spread == 7
+    copies = {r.k: r.n for r in salt_few(few, hot, ["k"]).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert copies[0] == 7 and copies[2] == 1
 
 
 def test_hot_keys_are_bounded_by_the_share(spark):
     many = spark.range(0, 1000).select((F.col("id") % 50).alias("k"))
-    assert hot_keys(many, ["k"], share=0.01, floor=0).count() == 50
-    assert hot_keys(many, ["k"], share=0.5, floor=0).count() == 0
+    assert hot_keys(many, ["k"], share=0.01).count() == 50
+    assert hot_keys(many, ["k"], share=0.5).count() == 0
     assert hot_keys(many, ["k"]).count() == 0
 
 

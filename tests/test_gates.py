@@ -108,3 +108,18 @@ def test_claim_cover(spark):
     r = gates.claim_cover(spark.createDataFrame(rows, "claim_id string, run_id string, evidence_sha256 string"), required, identity).first()
     assert (r.claims, r.repeated_claims, r.unneeded_claims, r.mismatched_claims) == (5, 1, 1, 2)
     assert (r.missing_claims, r.unresolved_claims) == (1, 2)
+
+
+def test_repeated_keys_are_named_and_multiply_nothing(spark):
+    left = spark.createDataFrame([(1, "a")] * 3 + [(2, "x")], "k int, v string")
+    right = spark.createDataFrame([(1, "b")] * 4 + [(2, "y")], "k int, v string")
+    found = sorted((r.k, r.field, r.problem) for r in gates.compare_tables(left, right, ["k"], exact=["v"]).collect())
+    assert found == [(1, "*", "left_repeated"), (1, "*", "right_repeated"), (2, "v", "differs")]
+
+
+def test_mixed_runs_do_not_share_an_identity(spark):
+    two = spark.createDataFrame([("RUN-001",), ("RUN-002",)], "pipeline_run_id string")
+    one, none = two.limit(1), spark.createDataFrame([(None,)], "pipeline_run_id string")
+    assert gates.run_identity({"a": one, "b": one}).first()[0] == 1
+    assert gates.run_identity({"a": two, "b": two}).first()[0] == 2
+    assert gates.run_identity({"a": one, "b": none.union(one)}).first()[0] is None

@@ -1,5 +1,8 @@
 """Cell checks, duplicates, insert-only load, registry, ledger, sink."""
 
+import hashlib
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ def cells(spark):
 
 def test_duplicates_only_among_parsed_rows(cells):
     parsed = ingest.parsed(cells, ["id", "a"])
-    for floor, share in ((100_000, 1e-4), (0, 0.0)):  # plain, and every key treated as hot
-        got = ingest.reject_duplicates(parsed, "id", share=share, floor=floor).collect()
+    for share in (None, 1e-9):  # plain, and every repeated key treated as hot
+        got = ingest.reject_duplicates(parsed, "id", share=share).collect()
         assert sorted((r.row_no, r.raw_value) for r in got) == [(2, "10"), (5, "10")]
 
 
@@ -147,10 +150,40 @@ def test_fingerprints_notice_a_changed_file(spark, tmp_path):
     folder.mkdir()
     (folder / "a.bin").write_bytes(b"one")
     (folder / "b.bin").write_bytes(b"two")
-    before = tables.fingerprint_files(spark, str(folder)).select("file_name", "file_sha256").collect()
-    registered = spark.createDataFrame([tuple(r) for r in before] + [("gone.bin", "0")], "file_name string, file_sha256 string")
+    before = tables.fingerprint_files(spark, str(folder)).select("file_path", "file_sha256").collect()
+    registered = spark.createDataFrame([tuple(r) for r in before] + [("gone.bin", "0")], "file_path string, file_sha256 string")
     (folder / "b.bin").write_bytes(b"three")
     (folder / "c.bin").write_bytes(b"new")
     found = tables.fingerprint_files(spark, str(folder))
-    got = {r.file_name: r.status for r in tables.compare_fingerprints(found, registered).collect()}
+    got = {r.file_path: r.status for r in tables.compare_fingerprints(found, registered).collect()}
     assert got == {"a.bin": "match", "b.bin": "changed", "c.bin": "unregistered", "gone.bin": "absent"}
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [("1.00000000000000001", "non-integral"), ("2147483647.0000000001", "non-integral"), ("1e-400", "non-integral"), ("10e-2", "non-integral"),
+     ("100e-2", None), ("0e-5", None), ("1.5e1", None), ("2147483648", "outside int32"), ("1e99999999999", "outside int32"), ("12.", None)],
+)
+def test_cells_are_judged_by_their_text(spark, text, reason):
+    assert spark.createDataFrame([(text,)], "c string").select(ingest.reject_reason(F.col("c"))).first()[0] == reason
+
+
+def test_fingerprints_reach_into_table_folders(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.range(10).repartition(1).write.parquet(str(tmp_path / name))
+    found = tables.fingerprint_files(spark, str(tmp_path), "*.parquet")
+    rows = found.collect()
+    assert sorted(r.file_path.split("/")[0] for r in rows) == ["a", "b"]
+    for r in rows:
+        assert r.file_sha256 == hashlib.sha256((tmp_path / r.file_path).read_bytes()).hexdigest()
+    assert tables.compare_fingerprints(found, found).where("status <> 'match'").count() == 0
+
+
+def test_a_half_written_run_can_be_repeated(spark, tmp_path):
+    table = str(tmp_path / "t")
+    folder = tables.append_run(spark.range(3), table, "RUN-001")
+    with pytest.raises(GuardError, match="exists already"):
+        tables.append_run(spark.range(3), table, "RUN-001")
+    (Path(folder) / "_SUCCESS").unlink()
+    tables.append_run(spark.range(5), table, "RUN-001")
+    assert spark.read.parquet(table).count() == 5

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -26,14 +27,18 @@ def test_split_is_exact_and_independent_of_order(spark, n):
     df = spark.createDataFrame([(i,) for i in ids], "customer_id bigint").repartition(7)
     got = {r.customer_id: r.split for r in split.rank_split(df).collect()}
     assert got == split_by_hand(ids)
-    finer = split.SplitSpec(bucket_digits=1)
-    assert {r.customer_id: r.split for r in split.rank_split(df, spec=finer).collect()} == got
+    split.require_population(df)
 
 
 def test_split_guards(spark):
-    for parts in ((0.5, 0.5, 0.1), (1.0, 0.2, -0.2), (0.0, 0.5, 0.5)):
+    for parts in (("1/2", "1/2"), ("1", "-1/5"), ("0", "1/2")):
         with pytest.raises(ValueError):
-            split.SplitSpec(*parts)
+            split.cuts([("train", Fraction(parts[0])), ("calibration", Fraction(parts[1]))])
+    ids = spark.range(1, 9).withColumnRenamed("id", "customer_id")
+    with pytest.raises(GuardError, match="ids_are_unique"):
+        split.require_population(ids.union(ids.limit(1)))
+    with pytest.raises(GuardError, match="every_part_has_rows"):
+        split.require_population(ids.limit(2))
     with pytest.raises(Exception, match="positive"):
         split.rank_split(spark.range(0, 5).withColumnRenamed("id", "customer_id")).collect()
     rows = [(i, i % 2, s) for i, s in enumerate(["train", "train", "calibration", "calibration", "test", "test"])]
@@ -67,7 +72,11 @@ def frame(spark):
         "delinquency_deterioration bigint, latest_utilization_ratio double, payment_coverage_ratio double, "
         "zero_payment_streak bigint, recent_bill_growth double"
     )
-    out = model.model_frame(spark.createDataFrame(rows, names)).persist()
+    contract = {
+        "observation_date": F.lit("2005-09-30").cast("date"), "risk_band": F.lit("Low"), "source_id": F.lit("s"),
+        "source_file_sha256": F.lit("0" * 64), "definition_version": F.lit("0.1.0"),
+    }
+    out = model.model_frame(spark.createDataFrame(rows, names).withColumns(contract)).persist()
     yield out
     out.unpersist()
 
