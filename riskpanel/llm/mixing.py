@@ -103,7 +103,9 @@ def thresholds(scratch: Scratch, rows: DataFrame, targets: DataFrame) -> DataFra
             ),
             f"level-{level}",
         )
-    return state.withColumnRenamed("prefix", "threshold")
+    # whole rounds fill a target of whole multiples; rows without words then stay out of the last one too
+    threshold = F.when(F.col("target") > F.col("rounds") * F.col("source_size"), F.col("prefix")).otherwise(0)
+    return state.select("source", "source_size", "target", "rounds", threshold.cast("long").alias("threshold"))
 
 
 def source_limits(scratch: Scratch, docs: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
