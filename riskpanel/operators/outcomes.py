@@ -185,6 +185,7 @@ def dq_summary(integrity: DataFrame, enforced: DataFrame, reviewed: DataFrame) -
         count_where((c("status") != "pass") | (c("failed_rows") != 0)).alias("failed_count"),
     )
     row = single_row(integrity, suite, reviewed)
+    # Control ids, severities and names of outputs.
     return as_rows(
         row,
         [

@@ -352,7 +352,7 @@ add(
     "SELECT (SELECT count(*) FROM tests_d) AS executed_tests, (SELECT count(*) FROM tests_d WHERE status = 'fail') AS failed_tests, "
     "(SELECT count(*) FROM rec_d WHERE status = 'fail') AS failed_reconciliations",
 )
-add("c22_quality_suite", lambda w: w.tests, "SELECT * FROM tests")
+add("c22_quality_suite", lambda w: w.stored().tests, "SELECT * FROM tests")
 add("c22_quality_suite_damaged", lambda w: quality.quality_suite(w.damaged, w.p), "SELECT * FROM tests_d")
 
 add("d01_customer_behaviour", lambda w: quality.customer_behaviour(w.borrowers, w.panel), "SELECT * FROM behaviour")
@@ -488,6 +488,7 @@ _INTEGRITY = (
 )
 O.BLOCKS["borrower_i"] = "SELECT * FROM borrower_d UNION ALL SELECT * FROM borrower_d WHERE age_years = 17"
 O.BLOCKS["integrity_d"] = _INTEGRITY
+# Control ids, severities and names that results carry, written out apart from the operator.
 _CONTROLS = (
     ("DQ-PK-BORROWER", "Critical", "(SELECT duplicate_borrower_keys FROM integrity_d)", "core.borrower"),
     ("DQ-PK-ACCOUNT-MONTH", "Critical", "(SELECT duplicate_panel_keys FROM integrity_d)", "core.panel"),
@@ -499,13 +500,19 @@ _CONTROLS = (
     ("DQ-TIMING", "Critical", "0", "risk signals"),
     ("DQ-LEAKAGE", "Critical", "0", "risk signals"),
 )
-add(
-    "f15_dq_summary",
-    lambda w: outcomes.dq_summary(
+
+
+def _dq_summary(w: Workspace) -> DataFrame:
+    return outcomes.dq_summary(
         _damaged_integrity(w),
         population.split_tests(w.tests).where("use = 'enforced'"),
         w.review.select("timing_violations", "leakage_violations"),
-    ),
+    )
+
+
+add(
+    "f15_dq_summary",
+    lambda w: _dq_summary(w.stored()),
     "SELECT control_id, severity, CASE WHEN observed = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(observed AS BIGINT) AS observed, "
     "CAST(0 AS BIGINT) AS expectation, affected_output FROM ("
     + " UNION ALL ".join(
@@ -1137,7 +1144,7 @@ add(
 for _g in range(1, 6):
     add(
         f"k{_g:02d}_gate{_g}",
-        lambda w, g=_g: gates.gate(w.gate_evidence(g), g),
+        lambda w, g=_g: gates.gate(w.stored().gate_evidence(g), g),
         f"SELECT * FROM ruled WHERE gate = {_g}",
     )
 

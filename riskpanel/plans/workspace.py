@@ -16,7 +16,7 @@ from riskpanel.functions.frames import single_row
 from riskpanel.operators import (
     gates, lineage, metrics, model, outcomes, panel, population, quality, reconcile, signals,
 )
-from riskpanel.session import cut_lineage
+from riskpanel.session import cut_lineage, write_once
 from riskpanel.sources import adapter
 
 c = F.col
@@ -37,7 +37,7 @@ class Workspace:
         For results that read the core tables many times.
         """
         other = Workspace(self.spark, self.sf_dir, self.p)
-        other.raw = cut_lineage(self.raw)
+        other.raw = write_once(self.raw, "raw")
         return other
 
     # --- raw and core ---------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -31,22 +32,37 @@ def build_session(master: str | None = None, app_name: str = "riskpanel", **conf
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all hosts share.
+
+    Only a local master may go without one: it gets a temporary folder.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
+        shared = tempfile.mkdtemp(prefix="riskpanel-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a parquet table of its own in the shared folder.
+
+    For frames that many passes read: each pass then reads the columns that it
+    needs, and a lost executor costs no earlier step.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master
-    may fall back to a temporary folder: on a cluster other hosts could not
-    read it back after an executor is lost.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
-            shared = tempfile.mkdtemp(prefix="riskpanel-checkpoint-")
-        context.setCheckpointDir(shared)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
