@@ -694,7 +694,38 @@ def _one_hot(w: Workspace) -> DataFrame:
     )
 
 
-add("h09_one_hot", _one_hot)
+def _hot_sql(field: str) -> str:
+    """One place per text that train rows have, in text order."""
+    known = f"(SELECT list(v ORDER BY v) FROM (SELECT DISTINCT {field}::VARCHAR AS v FROM borrower b JOIN split x ON x.customer_id = b.customer_id WHERE x.split = 'train') k)"
+    return f"array_to_string(list_transform({known}, lambda v: CASE WHEN v = {field}::VARCHAR THEN '1.0' ELSE '0.0' END), ',') AS {field}"
+
+
+add(
+    "h09_one_hot",
+    _one_hot,
+    "SELECT customer_id, " + ", ".join(map(_hot_sql, ("sex_code", "education_code", "marriage_code"))) + " FROM borrower",
+)
+
+
+def _newton(points: str) -> tuple[str, dict[str, str]]:
+    """The last of twelve Newton steps of a logistic fit of y on x per model, and the blocks of all steps.
+
+    The slope carries the nearly free penalty of the calibration fit.
+    """
+    blocks = {"fit_points": points, "newton_0": "SELECT DISTINCT model, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM fit_points"}
+    for n in range(1, 13):
+        blocks[f"newton_{n}"] = (
+            "SELECT model, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM ("
+            "SELECT model, a, b, sum(p - y) AS g0, sum((p - y) * x) + b / 1e6::DOUBLE AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, "
+            "sum(p * (1 - p) * x * x) + 1 / 1e6::DOUBLE AS h11 FROM (SELECT d.model, x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS p "
+            f"FROM fit_points d JOIN newton_{n - 1} n ON n.model = d.model) q GROUP BY model, a, b) s"
+        )
+    return "newton_12", blocks
+
+
+def _fit_points(rows: str) -> str:
+    clipped = "least(greatest(predicted_pd, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)"
+    return f"SELECT model, ln({clipped} / (1 - {clipped})) AS x, actual_default::DOUBLE AS y FROM {rows}"
 
 
 def _logistic(w: Workspace) -> DataFrame:
@@ -728,10 +759,15 @@ add("h11_score", lambda w: model.predictions([_fitted(w, "static")], w.stored_fr
 def _platt(w: Workspace) -> DataFrame:
     calibration = w.scored.where("split = 'calibration'")
     fitted = model.fit_platt(calibration, "p_combined", "next_month_default")
-    return fixed_rows(w.spark, {"slope": "double", "intercept": "double"}, [(fitted.slope, fitted.intercept)])
+    return fixed_rows(w.spark, {"slope": "double", "intercept": "double"}, [(round(fitted.slope, 4), round(fitted.intercept, 4))])
 
 
-add("h12_fit_platt", _platt)
+_last, _steps = _newton(
+    "SELECT 'combined' AS model, ln(p / (1 - p)) AS x, actual_default::DOUBLE AS y FROM (SELECT actual_default, least(greatest("
+    "CAST('0x' || substr(sha256(borrower_id::VARCHAR), 1, 12) AS BIGINT)::DOUBLE / 281474976710656.0::DOUBLE, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE) AS p "
+    "FROM population WHERE split = 'calibration') c"
+)
+add("h12_fit_platt", _platt, f"SELECT round(b, 4) AS slope, round(a, 4) AS intercept FROM {_last}", **_steps)
 _RAW_P = "least(greatest(predicted_pd, 1e-12::DOUBLE), 1 - 1e-12::DOUBLE)"
 _PLATT = f"1.0::DOUBLE / (1 + exp(-(-0.2::DOUBLE + 0.9::DOUBLE * ln({_RAW_P} / (1 - {_RAW_P})))))"
 add(
@@ -783,7 +819,15 @@ add(
     lambda w: rounded(metrics.base_rates(w.pred), "average_pd"),
     f"SELECT model, sample_count, default_count, default_rate, {R('average_pd')} FROM base",
 )
-add("i08_calibration_diagnostic", lambda w: model.calibration_diagnostic(w.pred))
+_last, _steps = _newton(_fit_points("pred"))
+add(
+    "i08_calibration_diagnostic",
+    lambda w: model.calibration_diagnostic(w.pred).select(
+        "model", *[F.round(x, 4).alias(x) for x in ("calibration_intercept", "calibration_slope")]
+    ),
+    f"SELECT model, round(a, 4) AS calibration_intercept, round(b, 4) AS calibration_slope FROM {_last}",
+    **_steps,
+)
 add(
     "i09_segments",
     lambda w: rounded(metrics.segments(w.pred.drop("education_code", "marriage_code"), w.population), "average_pd", "brier_score"),
