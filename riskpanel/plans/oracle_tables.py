@@ -594,7 +594,8 @@ _EVIDENCE = {
     "registered_sources": "(SELECT count(*) FROM registry)",
     "sha256_valid": "(SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM registry WHERE regexp_matches(file_sha256, '^[0-9a-f]{64}$'))",
     "raw_rows": "(SELECT count(*) FROM raw)",
-    "unlogged_rejects": "greatest((SELECT data_row_count FROM registry ORDER BY registered_at DESC LIMIT 1) - (SELECT count(*) FROM raw), 0)",
+    "unlogged_rejects": "greatest((SELECT data_row_count FROM registry ORDER BY registered_at DESC LIMIT 1) - (SELECT count(*) FROM raw) "
+    "- (SELECT coalesce(max(rejected_rows), 0) FROM ledger WHERE status = 'succeeded'), 0)",
     "borrower_rows": f"{_B})",
     "expected_panel_rows": f"6 * {_B})",
     "panel_rows": "(SELECT count(*) FROM panel)",

@@ -18,10 +18,16 @@ from riskpanel.operators import (
 )
 from riskpanel.session import cut_lineage, write_once
 from riskpanel.sources import adapter
+from riskpanel.sources.tables import WIDE_SCHEMA
 
 c = F.col
 
 
+#: Columns that a source delivers; the rest of a wide row is provenance.
+PROVENANCE = ("source_id", "source_file_sha256", "source_row_number", "ingestion_run_id", "ingested_at")
+DELIVERED = tuple(x for x in WIDE_SCHEMA.fieldNames() if x not in PROVENANCE)
+
+
 class Workspace:
     """Lazy frames of one scale-factor folder. Nothing runs until a result is read."""
 
@@ -70,7 +76,7 @@ class Workspace:
                 F.lit(adapter.SOURCE_ID).alias("source_id"),
                 sha,
                 c(column).alias("data_row_count"),
-                F.lit(25).cast("bigint").alias("column_count"),
+                F.lit(len(DELIVERED)).cast("bigint").alias("column_count"),
                 F.lit(at).cast("timestamp").alias("registered_at"),
             )
             for column, at in (("part", "2005-10-01 00:00:00"), ("whole", "2005-10-02 00:00:00"))
@@ -403,9 +409,10 @@ class Workspace:
 
     @cached_property
     def _gap(self) -> DataFrame:
-        return self.totals.withColumn(
-            "unlogged_rejects", F.greatest(c("source_rows") - c("raw_rows"), F.lit(0).cast("bigint"))
-        )
+        """Row counts with the source rows that are neither loaded nor logged as rejected."""
+        own = self.totals.select("raw_rows")
+        rest = self.totals.drop("raw_rows")
+        return population.unlogged_rejects(rest, own, adapter.ledger_events(self.spark, self.sf_dir))
 
     def gate_evidence(self, gate: int) -> DataFrame:
         """``(metric, value)`` for the rules of one gate, from this run's tables."""
