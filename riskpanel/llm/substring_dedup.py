@@ -88,8 +88,8 @@ def _marks(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _extended(window: int, anchor: int):
-    """(high, low, id, text_hash, at, side) of windows around shared anchors.
+def _extended(window: int, anchor: int, name: str):
+    """(high, low, id, text_hash, at) of the windows around the shared anchors in column `name`.
 
     `earlier` has the places of anchors that a smaller document shares, `later`
     of those that a larger one does; a window is asked for on the first side and
@@ -107,20 +107,19 @@ def _extended(window: int, anchor: int):
                 counts = np.maximum(found.counts - window + 1, 0)
                 text = np.repeat(np.arange(len(counts)), counts)
                 before = np.concatenate(([0], np.cumsum(counts)))
-                for asked, name in ((True, "earlier"), (False, "later")):
-                    lists = part.column(name)
-                    places = np.asarray(lists.flatten()).astype(np.int64)
-                    of = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(lists).fill_null(0)).astype(np.int64))
-                    # windows from place - reach to place of the same text
-                    begin = before[of] + np.minimum(np.maximum(places - reach, 0), counts[of])
-                    end = before[of] + np.minimum(places + 1, counts[of])
-                    chosen = np.flatnonzero(_marks(begin, end, len(first)))
-                    row = pa.array(text[chosen])
-                    at = first[chosen] - found.bounds[text[chosen]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(high[chosen].view(np.int64)), pa.array(low[chosen].view(np.int64)), part.column("id").take(row), part.column("text_hash").take(row), pa.array(at.astype(np.int32)), pa.array(np.full(len(at), asked))],
-                        ["high", "low", "id", "text_hash", "at", "asked"],
-                    )
+                lists = part.column(name)
+                places = np.asarray(lists.flatten()).astype(np.int64)
+                of = np.repeat(np.arange(len(part)), np.asarray(pc.list_value_length(lists).fill_null(0)).astype(np.int64))
+                # windows from place - reach to place of the same text
+                begin = before[of] + np.minimum(np.maximum(places - reach, 0), counts[of])
+                end = before[of] + np.minimum(places + 1, counts[of])
+                chosen = np.flatnonzero(_marks(begin, end, len(first)))
+                row = pa.array(text[chosen])
+                at = first[chosen] - found.bounds[text[chosen]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(high[chosen].view(np.int64)), pa.array(low[chosen].view(np.int64)), part.column("id").take(row), part.column("text_hash").take(row), pa.array(at.astype(np.int32))],
+                    ["high", "low", "id", "text_hash", "at"],
+                )
 
     return run
 
@@ -187,13 +186,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     places = scratch.store(places, "places")
     scratch.drop("shared")
     joined, _ = _of_texts(spark, texts, places, "inner")
-    around = joined.mapInArrow(_extended(window, width), "high long, low long, id long, text_hash long, at int, asked boolean")
-    around = scratch.store(around, "windows")
+    joined = scratch.store(joined, "texts")
     scratch.drop("places")
-    sources = scratch.store(around.where("not asked").groupBy("high", "low").agg(F.min("id").alias("source")), "sources")
-    marked = around.where("asked").join(sources, ["high", "low"]).where(F.col("source") < F.col("id"))
+    schema = "high long, low long, id long, text_hash long, at int"
+    offered = joined.mapInArrow(_extended(window, width, "later"), schema)
+    sources = scratch.store(offered.groupBy("high", "low").agg(F.min("id").alias("source")), "sources")
+    scratch.drop()
+    asked = joined.mapInArrow(_extended(window, width, "earlier"), schema)
+    marked = asked.join(sources, ["high", "low"]).where(F.col("source") < F.col("id"))
     marked = scratch.store(marked.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts")), "marked")
-    scratch.drop("windows", "sources")
+    scratch.drop("texts", "sources")
     joined, held = _of_texts(spark, texts, marked, "left")
     schema = "id long, n_words long, n_removed long, kept_text string"
     cleaned = joined.mapInArrow(_without(window), schema).unionByName(texts.select("id", "text").mapInArrow(_untouched(held), schema))
