@@ -194,7 +194,7 @@ def identify(spark: SparkSession, docs: DataFrame, modulus: int = 3, remainder:
     """Per row of docs: doc_id, held_out, lang_pred, score."""
     bounded_batches(spark)
     apart = samples.held_out(modulus, remainder)
-    model = spark.sparkContext.broadcast(LanguageModel(samples.language_rows(docs, apart, per_language)))
+    model = samples.fitted(samples.language_rows(docs, apart, per_language), LanguageModel)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,8 +1,9 @@
-"""Bounded training samples of labelled rows."""
+"""Bounded training samples of labelled rows, and fits of them in one task."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,17 @@ from pyspark.sql import functions as F
 
 from riskpanel.llm import arrays
 
+#: What a fit gets: texts in a fixed order, with their language and label.
+ROWS = pa.schema([("place", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("label", pa.int32())])
+
 
 def held_out(modulus: int, remainder: int) -> Column:
     """Is crc32 of doc_id as text the given remainder? A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, apart: Column, per_class: int) -> tuple[pa.Table, dict[int, int]]:
-    """(text, lang, label) of up to per_class rows of each class in a fixed order by hash, and the class counts of all rows.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, apart: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
+    """(place, text, lang, label) of up to per_class rows of each class, chosen by hash, and the class counts of all rows.
 
     Rows that are held apart never enter. Repeated ids count once, with the larger label and text.
     """
@@ -31,19 +35,34 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, apart: Column,
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
     rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"), F.max("label").alias("label"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    table = rows.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").select("text", "lang", "label").toArrow()
-    return table.combine_chunks(), {0: counts.get(0, 0), 1: counts.get(1, 0)}
+    return rows.select(F.xxhash64("doc_id", F.lit(1)).alias("place"), "text", "lang", "label"), {0: counts.get(0, 0), 1: counts.get(1, 0)}
 
 
-def language_rows(docs: DataFrame, apart: Column, per_language: int, most_languages: int = 1000) -> pa.Table:
-    """(text, lang) of about per_language rows of each language, chosen by hash."""
+def language_rows(docs: DataFrame, apart: Column, per_language: int, most_languages: int = 1000) -> DataFrame:
+    """(place, text, lang, label) of about per_language rows of each language, chosen by hash; the label is NULL."""
     known = docs.where(~apart & F.col("lang").isNotNull())
     counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
     if counts.limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     share = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(float(per_language)) / F.col("rows") * F.lit(float(1 << 40))
     chosen = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(counts), "lang").where(share)
-    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "lang").toArrow().combine_chunks()
+    return chosen.select(F.xxhash64("doc_id", F.lit(1)).alias("place"), "text", "lang", F.lit(None).cast("int").alias("label"))
+
+
+def fitted(rows: DataFrame, make: Callable[[pa.Table], object]):
+    """The broadcast result of make on the sampled rows.
+
+    The sample is bounded, so one task takes it whole; the driver only gets the
+    model. A fit that is lost with its executor is repeated there by Spark.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.cast(ROWS) for b in batches], ROWS).sort_by([("place", "ascending"), ("text", "ascending")])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(table.combine_chunks()))], pa.binary())], ["model"])
+
+    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    model = pickle.loads(found[0].model) if found else make(ROWS.empty_table())
+    return rows.sparkSession.sparkContext.broadcast(model)
 
 
 def scored(model, threshold: float):
