@@ -83,4 +83,35 @@ ORACLE = {
         FROM documents
         WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), sh AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 80 * (p.n + q.n - o)),
+        edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT x, y FROM edge UNION SELECT r.x, e.y FROM reach r JOIN edge e ON e.x = r.y),
+        least_ AS (SELECT x, min(y) AS m FROM reach GROUP BY x)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id,
+               w.doc_id <= coalesce(m, w.doc_id) AS kept
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_ ON x = w.doc_id
+    """,
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+        first_ AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+        gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM win JOIN first_ ON first_.k = win.k WHERE m < doc_id),
+        word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+        kept AS (
+            SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) FILTER (WHERE gone.i IS NULL) AS t, count(gone.i) AS r
+            FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id
+        )
+        SELECT w.doc_id, len(ws) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+    """,
 }
