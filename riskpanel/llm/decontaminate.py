@@ -1,12 +1,19 @@
 """Benchmark decontamination by canonical templates.
 
 Words are lower-cased runs of letters and digits. Numbers, names and units become
-typed placeholders, so a question keeps its template when its parameters change.
-Every run of `window` canonical words with enough literal ones is hashed, and
-windows of documents meet those of benchmark items by a hash join. Matches on one
-diagonal (same distance between document and item position) form an alignment; it
-counts if it covers enough of the item and its slots are consistent: each value of
-the item stands for one value in the document, and back.
+typed placeholders, so a question keeps its template when its parameters change. Windows of documents meet those of items
+by a hash join:
+
+- every run of `window` canonical words; one with too few literal words grows to the
+  right, and to the left, until it has enough of them;
+- every run of `window` words, as they are, that is mostly numbers and units;
+- items without any window of the first kind by their whole template, if it has
+  SHORT_LITERAL literal words, and items shorter than `window` by all their words.
+
+Positions count plain words. Matches of one item in one document whose diagonals
+(document minus item position) are equal form an alignment. It counts if it
+covers enough of the item and its slots are consistent: each value of the item
+stands for one value in the document, and back.
 
 Document windows pass a bit table of the item windows first, so that almost none
 are shuffled; the join decides.
@@ -16,18 +23,19 @@ are one), a unit if it follows a number and is listed, a name if it begins with
 capital A-Z and no sentence begins there. Words shouted in capitals throughout are
 no names.
 
-Rules: null and empty texts, and items shorter than a window, match nothing; rows
-that repeat give repeated results; documents with a null doc_id are treated like
-others. Empty tables give an empty result.
+Rules: null texts and those without words match nothing; an item of one or two words
+is met wherever these words stand; rows that repeat give repeated results; documents
+with a null doc_id are treated like others. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskpanel.llm import arrays
@@ -37,6 +45,12 @@ WINDOW = 8
 LEAST_LITERAL = 5
 #: Share of an item's words that an alignment has to cover.
 LEAST_SHARE = 0.5
+#: Words that suffice of any item, however long.
+ENOUGH_WORDS = 50
+#: Literal words of a whole short item that is met by its template.
+SHORT_LITERAL = 3
+#: Words by which neighbouring matches of one alignment may be shifted.
+SLACK = 0
 LEAST_BITS = 24
 NO_ID = -(2**63)
 
@@ -47,7 +61,9 @@ UNITS = (
     "days week weeks month months year years percent degree degrees dollar dollars euro euros cent cents mph kmh"
 ).split()
 
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x51ED270B, 0x6C9E5D1F, 0x2F0D37A5))
+NUMBER, NAME, UNIT, PLAIN = (np.uint64(x) for x in (0x51ED270B, 0x6C9E5D1F, 0x2F0D37A5, 0x1B873593))
+#: Kinds of item windows.
+GROWN, DENSE, WHOLE, WHOLE_PLAIN = range(4)
 _UNITS = np.sort(arrays.words(pa.array(UNITS), arrays.LETTER_WORDS).hashes())
 _SENTENCE = np.zeros(256, np.int64)
 _SENTENCE[[ord(c) for c in ".!?:\n"]] = 1
@@ -63,80 +79,203 @@ def _is_capital(x: np.ndarray) -> np.ndarray:
     return (x >= 0x41) & (x <= 0x5A)
 
 
-def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical word, slot value, bounds): slot values are 0 for literal words."""
+class Form(NamedTuple):
+    """Tokens of some texts: `bounds[i]:bounds[i+1]` are those of text i, `heads` their first words and one past all."""
+
+    form: np.ndarray
+    value: np.ndarray  # 0 for literal words
+    heads: np.ndarray
+    bounds: np.ndarray
+    named: np.ndarray  # names before each token
+    words: np.ndarray  # bounds in words
+
+
+def _forms(texts: pa.Array) -> tuple[Form, Form, Form]:
+    """Tokens with names as placeholders, with names as words, and plain words."""
     lowered = arrays.words(texts, arrays.LETTER_WORDS, lower=True)
-    if not len(lowered.starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), lowered.bounds
     raw, starts, ends, bounds = lowered.raw, lowered.starts, lowered.ends, lowered.bounds
+    n = len(starts)
+    if not n:
+        none = Form(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), bounds, np.zeros(1, np.int64), bounds)
+        return none, none, none
     word = lowered.hashes()
     number = _is_digit(raw[starts])
-    opens = np.zeros(len(starts), bool)
-    opens[bounds[:-1][bounds[:-1] < len(starts)]] = True
+    opens = np.zeros(n, bool)
+    opens[bounds[:-1][bounds[:-1] < n]] = True
     marks = np.concatenate(([0], np.cumsum(_SENTENCE[raw])))
     before = np.concatenate(([0], ends[:-1]))
     begins = opens | (marks[starts] > marks[before])
     second = raw[np.minimum(starts + 1, len(raw) - 1)]
     shouted = (ends - starts > 1) & _is_capital(second)
-    name = _is_capital(raw[starts]) & ~begins & ~shouted
     # the second part of 3.5 or 1,000 belongs to the first
-    joined = np.zeros(len(starts), bool)
+    joined = np.zeros(n, bool)
     joined[1:] = number[1:] & number[:-1] & ~opens[1:] & (starts[1:] - ends[:-1] == 1) & _JOINS[raw[ends[:-1]]]
-    after = np.zeros(len(starts), bool)
+    after = np.zeros(n, bool)
     after[1:] = number[:-1] & ~opens[1:]
     unit = after & ~number & (_UNITS[np.minimum(np.searchsorted(_UNITS, word), len(_UNITS) - 1)] == word)
-    form = np.select([number, unit, name], [NUMBER, UNIT, NAME], word)
-    value = np.where(number | unit | name, word | np.uint64(1), np.uint64(0))
-    heads = np.flatnonzero(~joined)
-    value = np.add.reduceat(np.where(joined, arrays.mix(word), value), heads)
-    kept = np.concatenate(([0], np.cumsum(~joined)))
-    return form[heads], value, kept[bounds]
+    name = _is_capital(raw[starts]) & ~begins & ~shouted & ~unit
 
+    def form(named: np.ndarray, joined: np.ndarray) -> Form:
+        slot = number | unit | named
+        heads = np.flatnonzero(~joined)
+        value = np.where(slot, word | np.uint64(1), np.uint64(0))
+        kept = np.concatenate(([0], np.cumsum(~joined)))
+        total = np.concatenate(([0], np.cumsum(named[heads])))
+        tokens = np.select([number, unit, named], [NUMBER, UNIT, NAME], word)[heads]
+        return Form(tokens, np.add.reduceat(np.where(joined, arrays.mix(word), value), heads), np.append(heads, n), kept[bounds], total, bounds)
 
-def _windows(texts: pa.Array, window: int, least_literal: int):
-    """(text, position, hash, slot values) of the windows with enough literal words."""
-    form, value, bounds = canonical(texts)
-    first, hashed = arrays.windows(form, bounds, window)
-    literal = np.concatenate(([0], np.cumsum(value == 0)))
-    chosen = literal[first + window] - literal[first] >= least_literal if len(first) else np.zeros(0, bool)
-    first, hashed = first[chosen], hashed[chosen]
-    text = np.searchsorted(bounds, first, "right") - 1
-    return text, first - bounds[text], hashed.view(np.int64), value, first, bounds
+    plain = form(np.zeros(n, bool), np.zeros(n, bool))
+    return form(name, joined), form(np.zeros(n, bool), joined), plain._replace(form=arrays.mix(word ^ PLAIN), named=np.concatenate(([0], np.cumsum(name))))
+
+
+def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical word, slot value, bounds): slot values are 0 for literal words."""
+    found = _forms(texts)[0]
+    return found.form, found.value, found.bounds
+
+
+def _grown(form: Form, window: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the runs of `window` tokens, each longer where that takes to hold `least` literal ones."""
+    counts = np.diff(form.bounds)
+    at, literal = np.arange(len(form.form)), np.flatnonzero(form.value == 0)
+    least = max(least, 1)
+    if len(literal) < least:
+        return at[:0], at[:0]
+    opens, closes = np.repeat(form.bounds[:-1], counts), np.repeat(form.bounds[1:], counts)
+    last = np.searchsorted(literal, at) + least - 1
+    end = np.maximum(at + window, literal[np.minimum(last, len(literal) - 1)] + 1)
+    right = (last < len(literal)) & (end <= closes)
+    # a run that grows to the left ends with slots
+    begin = np.searchsorted(literal, at + 1) - least
+    first = literal[np.maximum(begin, 0)]
+    left = (begin >= 0) & (first >= opens) & (first < at + 1 - window)
+    return np.concatenate((at[right], first[left])), np.concatenate((end[right], at[left] + 1))
+
+
+def _literals(form: Form, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(form.value == 0)))
+    return total[end] - total[first]
+
+
+def _runs(form: Form, width: int) -> tuple[np.ndarray, np.ndarray]:
+    first = arrays.window_starts(form.bounds, width)
+    return first, first + width
+
+
+def _shared_windows(forms: tuple[Form, Form, Form], window: int, least: int):
+    """(kind, tokens, first, end) of the windows that items and documents both have."""
+    named, unnamed, plain = forms
+    yield GROWN, named, *_grown(named, window, least)
+    first, end = _grown(unnamed, window, least)
+    # where no name is, both forms are the same
+    differs = _holds_name(forms, first, end)
+    yield GROWN, unnamed, first[differs][:0], end[differs][:0]
+    first, end = _runs(plain, window)
+    dense = _literals(plain, first, end) < least
+    yield DENSE, plain, first[dense], end[dense]
+
+
+def _holds_name(forms: tuple[Form, Form, Form], first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether runs of tokens of the second form hold a name of the first."""
+    heads, names = forms[1].heads, forms[2].named
+    return names[heads[end]] > names[heads[first]]
+
+
+def _item_spans(forms: tuple[Form, Form, Form], window: int, least: int):
+    named, unnamed, plain = forms
+    yield from _shared_windows(forms, window, least)
+    for form in (named, unnamed):
+        first, end = form.bounds[:-1], form.bounds[1:]
+        literal = _literals(form, first, end)
+        short = (literal >= SHORT_LITERAL) & ((end - first < window) | (literal < least))
+        if form is unnamed:
+            short &= _holds_name(forms, first, end)
+        yield WHOLE, form, first[short], end[short]
+    first, end = plain.bounds[:-1], plain.bounds[1:]
+    short = (end > first) & (end - first < window)
+    yield WHOLE_PLAIN, plain, first[short], end[short]
+
+
+def _document_spans(forms: tuple[Form, Form, Form], window: int, least: int, longest: int, whole: list[int], whole_plain: list[int]):
+    named, unnamed, plain = forms
+    for kind, form, first, end in _shared_windows(forms, window, least):
+        some = end - first <= longest
+        yield form, first[some], end[some]
+    for width in whole:
+        for form in (named, unnamed):
+            first, end = _runs(form, width)
+            literal = _literals(form, first, end)
+            short = (literal >= SHORT_LITERAL) & ((width < window) | (literal < least))
+            if form is unnamed:
+                short &= _holds_name(forms, first, end)
+            yield form, first[short], end[short]
+    for width in whole_plain:
+        yield plain, *_runs(plain, width)
+
+
+def _hashed(form: Form, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return arrays.spans_hash(form.form, first, end)
+
+
+def _lists(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Array:
+    """values[first:end] per row."""
+    ends = np.concatenate(([0], np.cumsum(end - first)))
+    place = np.repeat(first - ends[:-1], end - first) + np.arange(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[place]))
 
 
 def _item_windows(window: int, least_literal: int):
-    """(item, n_words, template, item_at, item_slots) of the benchmark."""
+    """ITEM_COLUMNS of the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch):
-                text, at, hashed, value, first, bounds = _windows(part.column("text"), window, least_literal)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("item").take(pa.array(text)), pa.array(np.diff(bounds)[text]), pa.array(hashed), pa.array(at.astype(np.int32)), _slots(value, first, window)],
-                    ["item", "n_words", "template", "item_at", "item_slots"],
-                )
+                forms = _forms(part.column("text"))
+                for kind, form, first, end in _item_spans(forms, window, least_literal):
+                    text = np.searchsorted(form.bounds, first, "right") - 1
+                    begin = form.words[text]
+                    at = form.heads[first] - begin
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("item").take(pa.array(text)),
+                            pa.array(np.diff(form.words)[text]),
+                            pa.array(np.full(len(first), kind, np.int32)),
+                            pa.array((end - first).astype(np.int32)),
+                            pa.array(_hashed(form, first, end).view(np.int64)),
+                            pa.array(at.astype(np.int32)),
+                            pa.array((form.heads[end] - begin).astype(np.int32)),
+                            _lists((form.heads[:-1] - np.repeat(form.words[:-1], np.diff(form.bounds))).astype(np.int32), first, end),
+                            _lists(form.value.view(np.int64), first, end),
+                        ],
+                        ["item", "n_words", "kind", "n_tokens", "template", "item_at", "item_end", "item_places", "item_slots"],
+                    )
 
     return run
 
 
-def _slots(value: np.ndarray, first: np.ndarray, window: int) -> pa.Array:
-    every = value[first[:, None] + np.arange(window)].view(np.int64) if len(first) else np.zeros((0, window), np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * window), pa.array(every.ravel()))
+ITEM_COLUMNS = "item long, n_words long, kind int, n_tokens int, template long, item_at int, item_end int, item_places array<int>, item_slots array<long>"
 
 
-def _document_windows(window: int, least_literal: int, table):
+def _document_windows(window: int, least_literal: int, longest: int, whole: list[int], whole_plain: list[int], table):
     """(id, text_hash, template, at, slots) of the document windows that the bit table may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in arrays.slices(batch):
-                text, at, hashed, value, first, _ = _windows(part.column("text"), window, least_literal)
-                held = in_bit_table(table.value, hashed.view(np.uint64))
-                row = pa.array(text[held])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(row), part.column("text_hash").take(row), pa.array(hashed[held]), pa.array(at[held].astype(np.int32)), _slots(value, first[held], window)],
-                    ["id", "text_hash", "template", "at", "slots"],
-                )
+                forms = _forms(part.column("text"))
+                for form, first, end in _document_spans(forms, window, least_literal, longest, whole, whole_plain):
+                    hashed = _hashed(form, first, end)
+                    held = in_bit_table(table.value, hashed)
+                    first, end, hashed = first[held], end[held], hashed[held]
+                    if not len(first):
+                        continue
+                    text = np.searchsorted(form.bounds, first, "right") - 1
+                    at = pa.array((form.heads[first] - form.words[text]).astype(np.int32))
+                    row = pa.array(text)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id").take(row), part.column("text_hash").take(row), pa.array(hashed.view(np.int64)), at, _lists(form.value.view(np.int64), first, end)],
+                        ["id", "text_hash", "template", "at", "slots"],
+                    )
 
     return run
 
@@ -146,34 +285,51 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def alignments(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_literal: int = LEAST_LITERAL) -> DataFrame:
-    """Per aligned (id, text_hash, item, diagonal): windows, words and share of the item covered, slots, consistent."""
+    """Per alignment (id, text_hash, item, place): windows, words and share of the item covered, slots, consistent."""
     scratch = Scratch(spark, "benchmark")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item"), "text").where("text is not null")
-    items = scratch.store(items.mapInArrow(_item_windows(window, least_literal), "item long, n_words long, template long, item_at int, item_slots array<long>"), "items")
-    held = spark.sparkContext.broadcast(bit_table(items, F.col("template"), items.count(), LEAST_BITS))
-    found = with_keys(docs).mapInArrow(_document_windows(window, least_literal, held), "id long, text_hash long, template long, at int, slots array<long>")
-    met = scratch.store(found.join(items, "template").withColumn("diagonal", F.col("at") - F.col("item_at")), "met")
-    key = ["id", "text_hash", "item", "diagonal"]
-    # each slot of a diagonal once, however many windows show it
-    pairs = met.select(*key, "item_at", F.posexplode(F.arrays_zip("item_slots", "slots")).alias("k", "slot")).where("slot.item_slots != 0")
-    slots = pairs.select(*key, (F.col("item_at") + F.col("k")).alias("place"), F.col("slot.item_slots").alias("theirs"), F.col("slot.slots").alias("ours")).distinct()
+    items = scratch.store(items.mapInArrow(_item_windows(window, least_literal), ITEM_COLUMNS), "items")
+    bits = spark.sparkContext.broadcast(bit_table(items, F.col("template"), items.count(), LEAST_BITS))
+    sizes = items.groupBy("kind").agg(F.max("n_tokens").alias("most"), F.collect_set("n_tokens").alias("every")).collect()
+    longest = max([window, *(r.most for r in sizes if r.kind == GROWN)])
+    whole, whole_plain = (sorted({n for r in sizes if r.kind == kind for n in r.every}) for kind in (WHOLE, WHOLE_PLAIN))
+    found = with_keys(docs).mapInArrow(
+        _document_windows(window, least_literal, longest, whole, whole_plain, bits), "id long, text_hash long, template long, at int, slots array<long>"
+    )
+    met = scratch.store(found.join(items.drop("kind", "n_tokens"), "template").withColumn("diagonal", F.col("at") - F.col("item_at")), "met")
+    # neighbouring diagonals are one place
+    pair = ["id", "text_hash", "item"]
+    along = Window.partitionBy(*pair).orderBy("diagonal")
+    places = met.select(*pair, "diagonal").distinct().withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(along) > SLACK).cast("int"))
+    places = places.select(*pair, "diagonal", F.sum(F.coalesce("new", F.lit(0))).over(along).alias("place"))
+    met = met.join(places, [*pair, "diagonal"])
+    key = [*pair, "place"]
+    # each slot of an alignment once, however many windows show it
+    slots = met.select(*key, F.explode(F.arrays_zip("item_places", "item_slots", "slots")).alias("slot")).where("slot.item_slots != 0")
+    slots = slots.select(*key, F.col("slot.item_places").alias("at"), F.col("slot.item_slots").alias("theirs"), F.col("slot.slots").alias("ours")).distinct()
     n = [F.countDistinct(*c).alias(x) for x, c in (("n_pairs", ("theirs", "ours")), ("n_theirs", ("theirs",)), ("n_ours", ("ours",)))]
     slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), *n)
-    covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + (window - 1))))))
-    found = met.groupBy(*key).agg(F.countDistinct("item_at").alias("n_windows"), F.max("n_words").alias("n_words"), covered.cast("long").alias("matched_words"))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    found = met.groupBy(*key).agg(
+        F.countDistinct("item_at").alias("n_windows"),
+        F.max("n_words").alias("n_words"),
+        distinct(F.sequence("item_at", F.col("item_end") - 1)).alias("matched_words"),
+    )
+    consistent = (F.col("n_pairs") == F.col("n_theirs")) & (F.col("n_pairs") == F.col("n_ours"))
     return found.join(slots, key, "left").select(
         *key,
         "n_windows",
         "matched_words",
         (F.col("matched_words") / F.col("n_words")).alias("share"),
         F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-        F.coalesce((F.col("n_pairs") == F.col("n_theirs")) & (F.col("n_pairs") == F.col("n_ours")), F.lit(True)).alias("consistent"),
+        F.coalesce(consistent, F.lit(True)).alias("consistent"),
     )
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, **parameters) -> DataFrame:
     """(id, text_hash, item, matched_words, share, n_slots) of documents that hold an item, best alignment first."""
-    good = alignments(spark, docs, benchmark, **parameters).where((F.col("share") >= least_share) & F.col("consistent"))
+    enough = (F.col("share") >= least_share) | (F.col("matched_words") >= ENOUGH_WORDS)
+    good = alignments(spark, docs, benchmark, **parameters).where(enough & F.col("consistent"))
     best = F.max(F.struct("share", "matched_words", "n_windows", "n_slots")).alias("best")
     return good.groupBy("id", "text_hash", "item").agg(best, F.count("*").alias("n_places")).select("id", "text_hash", "item", "best.*", "n_places")
 

@@ -150,3 +150,32 @@ def test_empty_tables(spark, frame, benchmark):
     assert license_scan.scan(spark, docs).count() == 0
     assert decontaminate.contaminated(spark, docs, benchmark).count() == 0
     assert decontaminate.contaminated(spark, frame([(1, "x y z")]), benchmark.where(F.lit(False))).count() == 0
+
+
+def held(spark, frame, items, texts):
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contaminated(spark, frame(list(enumerate(texts))), benchmark).collect()
+    return sorted((r.id, r.item) for r in found)
+
+
+def test_short_items_and_those_dense_in_slots_are_found(spark, frame):
+    items = [
+        "What is the capital of France?",
+        "Maria paid 3 dollars, Peter paid 5 dollars, Anna paid 7 dollars and Tom paid 9 dollars",
+        "3 5 7 9 11 13 17 19 23 29",
+        "Blue whales",
+        "The sums of all rows in it are 3 5 7 9 11 13 17 19 23 29 31 37 41 43 47",
+    ]
+    texts = [
+        "and then he asked: What is the capital of France? Nobody knew",
+        "and then he asked: What is the capital of Spain? Nobody knew",
+        f"so {items[1]} for it",
+        "so Paula paid 2 dollars, Karl paid 4 dollars, Hans paid 6 dollars and Otto paid 8 dollars",
+        "list 3 5 7 9 11 13 17 19 23 29 end",
+        "list 4 6 8 10 12 14 18 20 24 30 end",
+        "many blue whales swim",
+        "many blue fish swim",
+        "The sums of all rows in it are 4 6 8 10 12 14 18 20 24 30 32 38 42 44 48",
+        "we paid 3 dollars and more",
+    ]
+    assert held(spark, frame, items, texts) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (6, 3), (8, 4)]
