@@ -1,17 +1,21 @@
 """Benchmark decontamination by canonical templates.
 
 Words are lower-cased runs of letters and digits. Numbers, names and units become
-typed placeholders, so a question keeps its template when its parameters change. Windows of documents meet those of items
+typed placeholders, so a question keeps its template when its parameters change; a
+name of several words is one placeholder. Windows of documents meet those of items
 by a hash join:
 
 - every run of `window` canonical words; one with too few literal words grows to the
   right, and to the left, until it has enough of them;
+- the same with names as plain words where that differs, so that copies in Title
+  Case or without capitals are met;
 - every run of `window` words, as they are, that is mostly numbers and units;
 - items without any window of the first kind by their whole template, if it has
   SHORT_LITERAL literal words, and items shorter than `window` by all their words.
 
 Positions count plain words. Matches of one item in one document whose diagonals
-(document minus item position) are equal form an alignment. It counts if it
+(document minus item position) lie SLACK or less from the next form an alignment,
+so longer names and inserted or dropped words do not split it. It counts if it
 covers enough of the item and its slots are consistent: each value of the item
 stands for one value in the document, and back.
 
@@ -50,7 +54,7 @@ ENOUGH_WORDS = 50
 #: Literal words of a whole short item that is met by its template.
 SHORT_LITERAL = 3
 #: Words by which neighbouring matches of one alignment may be shifted.
-SLACK = 0
+SLACK = 8
 LEAST_BITS = 24
 NO_ID = -(2**63)
 
@@ -69,6 +73,8 @@ _SENTENCE = np.zeros(256, np.int64)
 _SENTENCE[[ord(c) for c in ".!?:\n"]] = 1
 _JOINS = np.zeros(256, bool)
 _JOINS[[ord(c) for c in ".,"]] = True
+_PARTS_NAMES = np.ones(256, np.int64)
+_PARTS_NAMES[[ord(c) for c in " \t-'"]] = 0
 
 
 def _is_digit(x: np.ndarray) -> np.ndarray:
@@ -114,6 +120,10 @@ def _forms(texts: pa.Array) -> tuple[Form, Form, Form]:
     after[1:] = number[:-1] & ~opens[1:]
     unit = after & ~number & (_UNITS[np.minimum(np.searchsorted(_UNITS, word), len(_UNITS) - 1)] == word)
     name = _is_capital(raw[starts]) & ~begins & ~shouted & ~unit
+    # the second word of New York belongs to the first
+    parts = np.concatenate(([0], np.cumsum(_PARTS_NAMES[raw])))
+    more = np.zeros(n, bool)
+    more[1:] = name[1:] & name[:-1] & ~opens[1:] & (parts[starts[1:]] == parts[ends[:-1]])
 
     def form(named: np.ndarray, joined: np.ndarray) -> Form:
         slot = number | unit | named
@@ -125,7 +135,7 @@ def _forms(texts: pa.Array) -> tuple[Form, Form, Form]:
         return Form(tokens, np.add.reduceat(np.where(joined, arrays.mix(word), value), heads), np.append(heads, n), kept[bounds], total, bounds)
 
     plain = form(np.zeros(n, bool), np.zeros(n, bool))
-    return form(name, joined), form(np.zeros(n, bool), joined), plain._replace(form=arrays.mix(word ^ PLAIN), named=np.concatenate(([0], np.cumsum(name))))
+    return form(name, joined | more), form(np.zeros(n, bool), joined), plain._replace(form=arrays.mix(word ^ PLAIN), named=np.concatenate(([0], np.cumsum(name))))
 
 
 def canonical(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +179,7 @@ def _shared_windows(forms: tuple[Form, Form, Form], window: int, least: int):
     first, end = _grown(unnamed, window, least)
     # where no name is, both forms are the same
     differs = _holds_name(forms, first, end)
-    yield GROWN, unnamed, first[differs][:0], end[differs][:0]
+    yield GROWN, unnamed, first[differs], end[differs]
     first, end = _runs(plain, window)
     dense = _literals(plain, first, end) < least
     yield DENSE, plain, first[dense], end[dense]

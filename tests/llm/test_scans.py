@@ -179,3 +179,19 @@ def test_short_items_and_those_dense_in_slots_are_found(spark, frame):
         "we paid 3 dollars and more",
     ]
     assert held(spark, frame, items, texts) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (6, 3), (8, 4)]
+
+
+def test_shifted_and_recased_copies_are_found(spark, frame):
+    parcel = "A parcel goes from New York to Los Angeles by road and then by sea to Rio de Janeiro before winter"
+    long = " ".join(f"word{i}" for i in range(60))
+    words = long.split()
+    mixed = "near the old bridge Anna Smith meets 3 friends of Peter and walks with them to the market of Oslo for 9 apples"
+    texts = [
+        parcel.replace("New York", "Paris").replace("Los Angeles", "Rome").replace("Rio de Janeiro", "Oslo"),
+        " ".join([*words[:20], "x", *words[20:40], "y", "z", *words[42:]]),
+        mixed.title(),
+        mixed.lower(),
+        mixed.title().replace("3", "4").replace("9", "8"),
+        " ".join(words[:9]),
+    ]
+    assert held(spark, frame, [parcel, long, mixed], texts) == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)]
