@@ -16,8 +16,9 @@ by a hash join:
 Positions count plain words. Matches of one item in one document whose diagonals
 (document minus item position) lie SLACK or less from the next form an alignment,
 so longer names and inserted or dropped words do not split it. It counts if it
-covers enough of the item and its slots are consistent: each value of the item
-stands for one value in the document, and back.
+covers enough of the item and its slots are consistent: most places of the values
+that the item repeats have one value in the document each, or nearly all slots
+have, or most slots are copied, or literal words alone cover nearly the whole item.
 
 Document windows pass a bit table of the item windows first, so that almost none
 are shuffled; the join decides.
@@ -55,6 +56,8 @@ ENOUGH_WORDS = 50
 SHORT_LITERAL = 3
 #: Words by which neighbouring matches of one alignment may be shifted.
 SLACK = 8
+#: Shares of slots with one value each, of slots copied, and of literal words of the item, each enough alone.
+LEAST_AGREED, LEAST_COPIED, LEAST_PLAIN = 0.9, 0.75, 0.8
 LEAST_BITS = 24
 NO_ID = -(2**63)
 
@@ -316,16 +319,32 @@ def alignments(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, windo
     key = [*pair, "place"]
     # each slot of an alignment once, however many windows show it
     slots = met.select(*key, F.explode(F.arrays_zip("item_places", "item_slots", "slots")).alias("slot")).where("slot.item_slots != 0")
-    slots = slots.select(*key, F.col("slot.item_places").alias("at"), F.col("slot.item_slots").alias("theirs"), F.col("slot.slots").alias("ours")).distinct()
-    n = [F.countDistinct(*c).alias(x) for x, c in (("n_pairs", ("theirs", "ours")), ("n_theirs", ("theirs",)), ("n_ours", ("ours",)))]
-    slots = slots.groupBy(*key).agg(F.count("*").alias("n_slots"), *n)
+    slots = slots.groupBy(*key, F.col("slot.item_slots").alias("theirs"), F.col("slot.slots").alias("ours")).agg(F.collect_set("slot.item_places").alias("at"))
+    size = F.size("at")
+    slots = slots.groupBy(*key, "theirs").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n"),
+        F.max(size).alias("agreed"),
+        F.max(F.when(F.col("theirs") == F.col("ours"), size).otherwise(0)).alias("copied"),
+    )
+    repeated = lambda c: F.sum(F.when(F.col("n") > 1, F.col(c)).otherwise(0))
+    slots = slots.groupBy(*key).agg(
+        F.sum("n").alias("n_slots"), F.sum("agreed").alias("agreed"), F.sum("copied").alias("copied"), repeated("n").alias("n_repeated"), repeated("agreed").alias("agreed_repeated")
+    )
+    literal = F.transform(F.filter(F.arrays_zip("item_places", "item_slots"), lambda x: x["item_slots"] == 0), lambda x: x["item_places"])
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
     found = met.groupBy(*key).agg(
         F.countDistinct("item_at").alias("n_windows"),
         F.max("n_words").alias("n_words"),
         distinct(F.sequence("item_at", F.col("item_end") - 1)).alias("matched_words"),
+        distinct(literal).alias("literal_words"),
+    )
+    consistent = (
+        (F.col("agreed_repeated") * 2 > F.col("n_repeated"))
+        | (F.col("n_repeated") == 0)
+        | (F.col("agreed") >= F.col("n_slots") * LEAST_AGREED)
+        | (F.col("copied") >= F.col("n_slots") * LEAST_COPIED)
+        | (F.col("literal_words") >= F.col("n_words") * LEAST_PLAIN)
     )
-    consistent = (F.col("n_pairs") == F.col("n_theirs")) & (F.col("n_pairs") == F.col("n_ours"))
     return found.join(slots, key, "left").select(
         *key,
         "n_windows",

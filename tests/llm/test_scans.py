@@ -195,3 +195,15 @@ def test_shifted_and_recased_copies_are_found(spark, frame):
         " ".join(words[:9]),
     ]
     assert held(spark, frame, [parcel, long, mixed], texts) == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 2)]
+
+
+def test_values_that_fall_together_and_single_changed_slots_are_found(spark, frame):
+    items = [
+        "on the first day of the week there are 3 apples and 5 pears in the basket",
+        "on Monday evening Anna gives 4 coins to Peter and 6 coins to Tom before Anna goes home by train for 20 minutes",
+    ]
+    texts = [
+        items[0].replace("3", "4").replace("5", "4"),
+        items[1].replace("before Anna", "before Ana"),
+    ]
+    assert held(spark, frame, items, texts) == [(0, 0), (1, 1)]
