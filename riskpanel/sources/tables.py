@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,11 @@ from pyspark.sql import types as T
 from riskpanel.definitions import RUN_ID_PATTERN, WIDE_PERIODS
 from riskpanel.functions.frames import GuardError
 
+#: Files below this many bytes are hashed whole; longer ones are streamed in chunks.
+WHOLE_BYTES = 32 << 20
+CHUNK_BYTES = 4 << 20
+FINGERPRINTS = "file_path string, file_bytes long, file_sha256 string"
+
 WIDE_SCHEMA = T.StructType(
     [T.StructField(c, T.IntegerType()) for c in ("id", "limit_bal", "sex", "education", "marriage", "age")]
     + [T.StructField(p.status, T.IntegerType()) for p in WIDE_PERIODS]
@@ -52,17 +60,53 @@ def require_header(df: DataFrame, expected: list[str]) -> DataFrame:
     return df
 
 
-def fingerprint_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def fingerprint_files(spark: SparkSession, path: str, glob: str = "*", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """``file_path, file_bytes, file_sha256`` of every file below ``path``, at any depth.
 
     Paths are relative to ``path``, so equal names in different folders stay
-    apart. A file is one row here, hashed on an executor; the reader refuses
-    files of 2 GiB and more and names them, so none is left out.
+    apart. Files below ``whole_bytes`` are one row each, hashed on an executor.
+    Longer ones, of any length, are streamed in chunks: by the executors where
+    ``path`` is a file system that all hosts share (``file:``), else one after
+    another by the driver's JVM, as Python workers cannot open other stores.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     root = _root(spark, path)
-    name = F.ltrim(F.substr("path", F.lit(len(root) + 1)), F.lit("/"))
-    return listed.select(name.alias("file_path"), F.col("length").alias("file_bytes"), F.sha2("content", 256).alias("file_sha256"))
+    name = F.ltrim(F.substr("path", F.lit(len(root) + 1)), F.lit("/")).alias("file_path")
+    # the reader tests the length before it reads the content
+    small = listed.where(F.col("length") < whole_bytes)
+    small = small.select(name, F.col("length").alias("file_bytes"), F.sha2("content", 256).alias("file_sha256"))
+    large = listed.where(F.col("length") >= whole_bytes).select(name, F.col("length").alias("file_bytes"), "path")
+    if root.startswith("file:"):
+        hashed = large.mapInArrow(_stream_shared, FINGERPRINTS)
+    else:
+        hashed = spark.createDataFrame([(*r[:2], _stream_by_driver(spark, r.path)) for r in large.collect()], FINGERPRINTS)
+    return small.unionByName(hashed)
+
+
+def _stream_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests = []
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("file_bytes").to_pylist()):
+            digest, read = hashlib.sha256(), 0
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as file:
+                while chunk := file.read(CHUNK_BYTES):
+                    digest.update(chunk)
+                    read += len(chunk)
+            if read != length:
+                raise GuardError(f"{path} has {read} bytes, listed were {length}")
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("file_path"), batch.column("file_bytes"), pa.array(digests, pa.string())], ["file_path", "file_bytes", "file_sha256"]
+        )
+
+
+def _stream_by_driver(spark: SparkSession, path: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def _root(spark: SparkSession, path: str) -> str:

@@ -179,6 +179,26 @@ def test_fingerprints_reach_into_table_folders(spark, tmp_path):
     assert tables.compare_fingerprints(found, found).where("status <> 'match'").count() == 0
 
 
+def test_fingerprints_of_files_beyond_two_gib(spark, tmp_path):
+    (tmp_path / "small.bin").write_bytes(b"one")
+    with open(tmp_path / "a large.bin", "wb") as file:
+        file.truncate((1 << 31) + 5)  # a hole, which takes no disk
+    want = hashlib.sha256()
+    for _ in range(1 << 9):
+        want.update(bytes(1 << 22))
+    want.update(bytes(5))
+    found = {r.file_path: (r.file_bytes, r.file_sha256) for r in tables.fingerprint_files(spark, str(tmp_path)).collect()}
+    assert found == {"small.bin": (3, hashlib.sha256(b"one").hexdigest()), "a large.bin": ((1 << 31) + 5, want.hexdigest())}
+
+
+def test_long_files_of_a_store_without_local_paths(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x" * 5000)
+    (tmp_path / "b.bin").write_bytes(b"y")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.prints.link./in", f"file://{tmp_path}")
+    found = {r.file_path: r.file_sha256 for r in tables.fingerprint_files(spark, "viewfs://prints/in", whole_bytes=1000).collect()}
+    assert found == {f"{n}.bin": hashlib.sha256((tmp_path / f"{n}.bin").read_bytes()).hexdigest() for n in "ab"}
+
+
 def test_a_half_written_run_can_be_repeated(spark, tmp_path):
     table = str(tmp_path / "t")
     folder = tables.append_run(spark.range(3), table, "RUN-001")
