@@ -11,6 +11,7 @@ from riskpanel.llm import (
     decontaminate,
     exact_dedup,
     hard_negatives,
+    html_extract,
     language_id,
     license_scan,
     mixing,
@@ -73,6 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_decontaminate,
         op10_quality,
+        op11_html_extraction,
         op12_whitening,
         op13_hard_negatives,
     )
