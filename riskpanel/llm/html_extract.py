@@ -37,9 +37,9 @@ from riskpanel.llm import arrays, labelled_pages
 from riskpanel.llm.html_tree import HINTS, KINDS, N_HINTS, Forest, Level
 from riskpanel.llm.store import bounded_batches
 
-STEPS = 500
+STEPS = 400
 RATE = 0.3
-PENALTY = 5e-5
+PENALTY = 1e-4
 #: Most labelled pages that a fit takes.
 MOST_LABELLED = 5000
 

@@ -140,16 +140,16 @@ class Forest:
         stack: list[tuple[str, int, bool, bool]] = [("", root, False, False)]
         block, links, skipped, marked = root, 0, False, False
         pending: list[str] = []
-        in_links = 0
+        in_links, in_marked = 0, False
 
         def flush() -> None:
-            nonlocal in_links
+            nonlocal in_links, in_marked
             if pending:
                 text = " ".join("".join(pending).split())
                 if text:
-                    self.runs.append((self._node(block, "text", 0), text, in_links, marked))
+                    self.runs.append((self._node(block, "text", 0), text, in_links, in_marked))
                 pending.clear()
-            in_links = 0
+            in_links, in_marked = 0, False
 
         def close(keep: int) -> None:
             """End all open elements but the first `keep`."""
@@ -171,10 +171,11 @@ class Forest:
             return 0
 
         def say(text: str) -> None:
-            nonlocal in_links
+            nonlocal in_links, in_marked
             if text and not skipped:
                 text = html.unescape(text)
                 pending.append(text)
+                in_marked |= marked and not text.isspace()
                 if links:
                     in_links += len(text.strip())
 
@@ -194,7 +195,8 @@ class Forest:
                 if tag == "br":
                     pending.append(" ")
                 elif tag not in VOID:
-                    stack.append((tag, -1, skipped, marked or self._is_marked(token["attrs"])))
+                    marked = marked or self._is_marked(token["attrs"])
+                    stack.append((tag, -1, skipped, marked))
                     links += tag == "a"
                 continue
             if tag in ENDS and (found := innermost(*ENDS[tag], False)):

@@ -88,6 +88,8 @@ _BODY = [
     '<div id="content">{B}</div>',
     '<div class="container"><div class="post-body">{B}</div></div>',
     '<div class="entry-content">{B}</div>',
+    '<div class="post">{B}</div>',
+    '<section class="story">{B}</section>',
     '<section class="article"><div class="text">{B}</div></section>',
     "<div><div>{B}</div></div>",
     "<div>{B}</div>",
@@ -112,12 +114,14 @@ _TEXT = [
     "<table data-main><tr><th>{s}</th><td>{s}</td></tr><tr><th>{s}</th><td>{S}</td></tr></table>",
     "<div data-main>{P}</div>",
     "<pre data-main>{P}</pre>",
+    "<span data-main>{P}</span>",
+    "<span data-main>{P}</span><br><br>",
     "<figure data-main><img src='/i.png'><figcaption>{S}</figcaption></figure>",
     "<section data-main><h3>{s}</h3><p>{P}</p><p>{P}</p></section>",
 ]
 
 
-def pages(n: int = 300, seed: int = 11) -> list[str]:
+def pages(n: int = 400, seed: int = 11) -> list[str]:
     """n labelled pages, the same in every run."""
     draw = random.Random(seed)
 
@@ -126,6 +130,8 @@ def pages(n: int = 300, seed: int = 11) -> list[str]:
 
     def sentence() -> str:
         some = words(4, 16)
+        if draw.random() < 0.1:  # lists, tables set in a line, lines without marks
+            return draw.choice([", ", " | ", " ", ". "]).join(some)
         if draw.random() < 0.5:
             some[len(some) // 2] += ","
         return " ".join(some).capitalize() + draw.choice(".....!?")

@@ -56,7 +56,7 @@ def test_whitening(spark, weights, dim):
     got = np.zeros((len(rows), kept))
     for r in found:
         got[r.vec_id, r.component - 1] = r.whitened
-        assert r.n == n and r.deviation == deviation[r.vec_id] and r.identity_error < 1e-9
+        assert r.n == n and r.deviation == int(deviation[r.vec_id]) and r.identity_error < 1e-9
         assert abs(r.explained - share[r.component - 1]) < 1e-9
         assert r.copies == (101 if r.vec_id == 0 or r.vec_id >= 100 else 1)
     sign = np.sign((got * white[:, :kept]).sum(axis=0))
