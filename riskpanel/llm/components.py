@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskpanel.llm.store import Scratch
 
 
-def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
-    """(id, label) of every id in links (a, b); the label is the smallest id reachable.
+def components(scratch: Scratch, links: DataFrame, n: int, name: str) -> DataFrame | None:
+    """(id, label) of every id in n links (a, b); the label is the smallest id reachable. None without links.
 
-    Each round takes the smallest label next to every id, then the label of that
-    label, until nothing changes. Rounds are written tables, and only counts of
-    changes come to the driver.
+    Each round is one written table: the smallest label next to every id, then
+    the label of that label, until nothing changes. Changes are counted as the
+    rows are written, and only that number comes to the driver.
     """
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
-    edges = scratch.store(both, f"{name}-edges")
+    if not n:
+        return None
+    edges = links.select(F.col("a").alias("id"), F.col("b").alias("other")).union(links.select("b", "a"))
     labels = scratch.store(edges.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), f"{name}-0")
     turn = 0
     while True:
         turn += 1
         near = edges.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        lower = scratch.store(labels.join(near, "id").select("id", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")), f"{name}-near-{turn}")
-        if lower.where("moved").isEmpty():
-            scratch.drop(f"{name}-edges", f"{name}-near-{turn}")
+        lower = labels.join(near, "id").select("id", F.least("label", "near").alias("lower"), F.col("label").alias("before"))
+        jump = lower.select(F.col("id").alias("lower"), F.col("lower").alias("label"))
+        moved = Observation()
+        rows = lower.join(jump, "lower").select("id", "label", "before").observe(moved, F.count_if(F.col("label") < F.col("before")).alias("rows"))
+        labels = scratch.store(rows.select("id", "label"), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
+        if not moved.get["rows"]:
             return labels
-        jump = lower.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        jumped = scratch.store(lower.select("id", "label").join(jump, "label").select("id", F.col("root").alias("label")), f"{name}-{turn}")
-        scratch.drop(f"{name}-near-{turn}", f"{name}-{turn - 1}")
-        labels = jumped
+
+
+def joined(scratch: Scratch, labels: DataFrame | None, links: DataFrame, n: int, name: str) -> DataFrame | None:
+    """The labels once n more links (a, b) are there: components of the labels that they tie together."""
+    if labels is None or not n:
+        return labels if not n else components(scratch, links, n, name)
+    # an id without a label so far is its own
+    at_a = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a", "left")
+    at_b = at_a.join(labels.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b", "left")
+    ends = at_b.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y"))
+    tied, n = scratch.counted(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct(), f"{name}-tied")
+    over = components(scratch, tied, n, name)
+    if over is None:
+        return labels
+    ids = ends.select(F.col("a").alias("id"), F.col("x").alias("label")).union(ends.select("b", "y")).distinct()
+    known = labels.union(ids.join(labels.select("id"), "id", "left_anti"))
+    named = known.join(over.select(F.col("id").alias("label"), F.col("label").alias("root")), "label", "left")
+    return scratch.store(named.select("id", F.coalesce("root", "label").alias("label")), f"{name}-all")

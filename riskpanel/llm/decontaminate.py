@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskpanel.llm import arrays
-from riskpanel.llm.store import Scratch, bit_table, in_bit_table
+from riskpanel.llm.store import Scratch, bit_table, in_bit_table, without
 
 WINDOW = 8
 LEAST_LITERAL = 5
@@ -301,8 +301,8 @@ def alignments(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, windo
     """Per alignment (id, text_hash, item, place): windows, words and share of the item covered, slots, consistent."""
     scratch = Scratch(spark, "benchmark")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item"), "text").where("text is not null")
-    items = scratch.store(items.mapInArrow(_item_windows(window, least_literal), ITEM_COLUMNS), "items")
-    bits = spark.sparkContext.broadcast(bit_table(items, F.col("template"), items.count(), LEAST_BITS))
+    items, n = scratch.counted(items.mapInArrow(_item_windows(window, least_literal), ITEM_COLUMNS), "items")
+    bits = scratch.broadcast(bit_table(items, F.col("template"), n, LEAST_BITS))
     sizes = items.groupBy("kind").agg(F.max("n_tokens").alias("most"), F.collect_set("n_tokens").alias("every")).collect()
     longest = max([window, *(r.most for r in sizes if r.kind == GROWN)])
     whole, whole_plain = (sorted({n for r in sizes if r.kind == kind for n in r.every}) for kind in (WHOLE, WHOLE_PLAIN))
@@ -365,6 +365,5 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
-    found = contaminated(spark, docs, benchmark, **parameters).select(F.col("id").alias("found_id"), F.col("text_hash").alias("found_hash")).distinct()
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("found_id")) & (F.xxhash64(docs["text"]) == F.col("found_hash"))
-    return docs.join(found, same, "left_anti")
+    found = contaminated(spark, docs, benchmark, **parameters).select("id", "text_hash")
+    return without(docs, Scratch(spark, "benchmark-kept"), found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"]))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskpanel.functions import key_filter
 from riskpanel.llm.store import Scratch
 
 COUNTERS = 1023
@@ -44,14 +45,14 @@ def _misra_gries(counters: int):
     return summarise
 
 
-def heavy_digests(rows: DataFrame, winner: F.Column, counters: int = COUNTERS) -> DataFrame:
+def heavy_digests(rows: DataFrame, winner: F.Column, counters: int = COUNTERS, total: int | None = None) -> DataFrame:
     """(digest, group_size, winner) of the frequent digests: exact, at most counters + 1 rows.
 
     Each partition undercounts a digest by n / (counters + 1) at most, so the sums
     reach N / (counters + 1) for every digest with 2 N / (counters + 1) rows, and
     no more than counters + 1 sums can reach it.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     candidates = (
         rows.select("digest")
         .mapInArrow(_misra_gries(counters), "digest string, least long")
@@ -66,9 +67,9 @@ def heavy_digests(rows: DataFrame, winner: F.Column, counters: int = COUNTERS) -
 def duplicate_groups(spark: SparkSession, docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(spark, "exact")
-    digests = scratch.store(docs.select("doc_id", digest_of_text().alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+    digests, total = scratch.counted(docs.select("doc_id", digest_of_text().alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
     winner = F.struct("doc_id", "row")
-    heavy = scratch.store(heavy_digests(digests, winner, counters), "heavy")
+    heavy = scratch.store(heavy_digests(digests, winner, counters, total), "heavy")
     marked = digests.join(F.broadcast(heavy), "digest", "left")
     light = marked.where(F.col("group_size").isNull()).select("digest", "doc_id", "row")
     groups = light.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(winner).alias("winner"))
@@ -86,13 +87,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, counters: int = COUNT
     """The rows of docs that stay, with all their columns."""
     scratch = Scratch(spark, "exact")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("kept_row"), "doc_id", digest_of_text().alias("digest"))
-    digests = scratch.store(rows.select("doc_id", "digest"), "digests")
-    heavy = scratch.store(heavy_digests(digests, F.struct("doc_id"), counters), "heavy")
-    scratch.drop("digests")
-    left = (
-        rows.join(F.broadcast(heavy), "digest", "left")
+    digests, total = scratch.counted(rows.select("doc_id", "digest"), "digests")
+    heavy = scratch.store(heavy_digests(digests, F.struct("doc_id"), counters, total), "heavy")
+    light = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    repeated, n = scratch.counted(light.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest").union(heavy.select("digest")), "repeated")
+    bits = key_filter.bits_for(n)
+    parts = scratch.store(key_filter.bit_parts(repeated, ["digest"], bits), "bits")
+    scratch.drop("digests", "repeated")
+    # texts without a copy stay where they are read; of the others the heavy ones are settled there
+    marked = key_filter.with_may_match(rows, parts, ["digest"], bits)
+    copies = (
+        marked.where("_may_match")
+        .join(F.broadcast(heavy), "digest", "left")
         .where(F.col("winner").isNull() | F.col("doc_id").eqNullSafe(F.col("winner.doc_id")))
         .groupBy("digest")
         .agg(F.max(F.struct("doc_id", "kept_row")).alias("last"))
     )
-    return left.select("last.kept_row.*")
+    return marked.where("NOT _may_match").select("kept_row.*").union(copies.select("last.kept_row.*"))

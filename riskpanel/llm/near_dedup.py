@@ -38,8 +38,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskpanel.llm import arrays
-from riskpanel.llm.components import components
-from riskpanel.llm.store import Scratch, bit_table, in_bit_table
+from riskpanel.llm.components import components, joined
+from riskpanel.llm.store import Scratch, bit_table, in_bit_table, without
 
 SKETCH = 256
 NO_ID = -(2**63)
@@ -120,10 +120,10 @@ class NearDuplicates:
         #: Share of a large sketch that linked documents share, five standard deviations to spare.
         self.least_share = share - 5 * math.sqrt(share * (1 - share) / k)
 
-    def _ids(self, pairs: DataFrame):
-        """A broadcast bit table of the ids in pairs (a, b)."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return self.spark.sparkContext.broadcast(bit_table(ids, F.col("id"), ids.count()))
+    def _ids(self, pairs: DataFrame, n: int):
+        """A broadcast bit table of the ids in n pairs (a, b)."""
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        return self.scratch.broadcast(bit_table(ids, F.col("id"), 2 * n))
 
     def _whole(self, n: Column, k: int | None) -> Column:
         """Is every linked union small enough for a sketch to hold it?"""
@@ -142,12 +142,12 @@ class NearDuplicates:
         n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
         return (100 * F.least(n_x, n_y) >= self.percent * F.greatest(n_x, n_y)) & self._reaches(x, y, k)
 
-    def links_of(self, pairs: DataFrame, sketches: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are linked: estimated on union sketches, decided on full sets."""
+    def links_of(self, pairs: DataFrame, n: int, sketches: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Which of n pairs (a, b) are linked, and how many: estimated on union sketches, decided on full sets."""
         scratch, k = self.scratch, self.k
         # 32 leading bits keep the order of the values, which is all that the estimate needs
         short = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
-        some = scratch.store(sketches.select("id", "n", "sketch").mapInArrow(_only(self._ids(pairs)), "id long, n long, sketch array<long>").select("id", "n", short.alias("sketch")), f"{name}-sketches")
+        some = scratch.store(sketches.select("id", "n", "sketch").mapInArrow(_only(self._ids(pairs, n)), "id long, n long, sketch array<long>").select("id", "n", short.alias("sketch")), f"{name}-sketches")
         left = some.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
         right = some.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
@@ -155,29 +155,29 @@ class NearDuplicates:
         both = self._whole(F.col("n_a"), k) & self._whole(F.col("n_b"), k)
         # a few values of a whole set may share their leading bits, so one is spared
         likely = F.when(both, 100 * (overlap + 1) >= self.percent * F.size("u")).otherwise(overlap >= self.least_share * F.size("u"))
-        near = scratch.store(pairs.join(left, "a").join(right, "b").withColumn("u", union).where(likely).select("a", "b").distinct(), f"{name}-likely")
-        return self.confirmed(near, name)
+        near, n = scratch.counted(pairs.join(left, "a").join(right, "b").withColumn("u", union).where(likely).select("a", "b"), f"{name}-likely")
+        return self.confirmed(near, n, name)
 
     def sets_of(self, held, name: str) -> DataFrame:
         """(id, shingles) of the texts whose id the bit table may hold."""
         return self.scratch.store(self.docs.mapInArrow(_full_sets(self.width, held), "id long, shingles array<long>"), name)
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that are linked by their full sets."""
-        sets = self.sets_of(self._ids(pairs), f"{name}-sets")
+    def confirmed(self, pairs: DataFrame, n: int, name: str) -> tuple[DataFrame, int]:
+        """Which of n distinct pairs (a, b) are linked by their full sets, and how many."""
+        sets = self.sets_of(self._ids(pairs, n), f"{name}-sets")
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("f_a"))
         right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("f_b"))
         common = F.size(F.array_intersect("f_a", "f_b"))
         linked = (100 + self.percent) * common >= self.percent * (F.size("f_a") + F.size("f_b"))
-        links = self.scratch.store(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), name)
+        links = self.scratch.counted(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), name)
         self.scratch.drop(f"{name}-sketches", f"{name}-likely", f"{name}-sets")
         return links
 
     def members(self, sketches: DataFrame, groups: DataFrame, k: int | None, name: str) -> DataFrame:
         """The inverted lists: (value, id, n, need, rest, excess)."""
         scratch = self.scratch
-        counts = scratch.store(sketches.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), f"{name}-counts")
-        held = self.spark.sparkContext.broadcast(bit_table(counts, F.col("value"), counts.count()))
+        counts, n = scratch.counted(sketches.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), f"{name}-counts")
+        held = scratch.broadcast(bit_table(counts, F.col("value"), n))
         entries = sketches.select("id", "n", "sketch").mapInArrow(_shared_values(held), "id long, n long, value long").join(counts, "value")
         size = F.col("n") if k is None else F.least("n", F.lit(k))
         whole_need = F.ceil(self.percent * F.col("n") / 100)
@@ -202,26 +202,43 @@ class NearDuplicates:
             return members.withColumn("label", F.col("id"))
         return self.scratch.store(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), name)
 
-    def hub_pairs(self, members: DataFrame, k: int | None, name: str) -> DataFrame:
-        """(a, b) of each member that may link with the hub of its list and is of another component."""
+    def hub_pairs(self, members: DataFrame, k: int | None, name: str) -> tuple[DataFrame, int]:
+        """(a, b) of each member that may link with the hub of its list and is of another component, and how many."""
         hub = F.min(F.struct("excess", "id", "n", "need", "rest", "label")).alias("hub")
-        hubs = self.scratch.store(members.groupBy("value").agg(hub, F.count("*").alias("length")).where("length > 1").select("value", "hub.*"), f"{name}-hubs")
+        hubs = members.groupBy("value").agg(hub, F.count("*").alias("length")).where("length > 1").select("value", "hub.*")
         joined = hubs.alias("x").join(members.alias("y"), "value").where((F.col("x.label") != F.col("y.label")) & self._allowed("x", "y", k))
-        return self.scratch.store(self._pairs(joined), f"{name}-pairs")
+        return self.scratch.counted(self._pairs(joined), f"{name}-pairs")
 
     def _pairs(self, joined: DataFrame) -> DataFrame:
         return joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
-    def open_members(self, members: DataFrame, k: int | None, name: str) -> DataFrame:
-        """Members that may link with someone of another component over their list."""
+    def open_members(self, members: DataFrame, k: int | None, name: str) -> tuple[DataFrame, int]:
+        """Members that may link with someone of another component over their list, and how many."""
         scratch = self.scratch
         best = F.struct(F.max("rest").alias("rest"), F.min("n").alias("n"), F.min("need").alias("need"))
         # no member of a list is a better partner than this bound
-        bests = scratch.store(members.groupBy("value").agg(best.alias("best"), F.count("*").alias("length")).where("length > 1").select("value", "best.*"), f"{name}-bests")
+        bests = members.groupBy("value").agg(best.alias("best"), F.count("*").alias("length")).where("length > 1").select("value", "best.*")
         able = members.alias("x").join(bests.alias("y"), "value").where(self._reaches("x", "y", k)).select("value", "x.id", "x.n", "x.need", "x.rest", "x.label")
         able = scratch.store(able, f"{name}-able")
-        mixed = scratch.store(able.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value"), f"{name}-mixed")
-        return scratch.store(able.join(mixed, "value"), f"{name}-open")
+        mixed = able.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("value")
+        return scratch.counted(able.join(mixed, "value"), f"{name}-open")
+
+    def _settled(self, left: DataFrame, n: int, alike: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+        """Labels after the n open members are compared by their whole sets."""
+        scratch = self.scratch
+        held = scratch.broadcast(bit_table(left, F.col("id"), n))
+        sets = self.sets_of(held, "open-sets").select("id", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
+        listed = self.members(sets, alike, None, "open")
+        links, linked = self.confirmed(*self.hub_pairs(self.labelled(listed, labels, "open-labelled"), None, "open"), "open-links")
+        labels = joined(scratch, labels, links, linked, "open-labels")
+        left, n = self.open_members(self.labelled(listed, labels, "last-labelled"), None, "last")
+        if n:
+            last = left.alias("x").join(left.alias("y"), "value").where((F.col("x.label") < F.col("y.label")) & self._allowed("x", "y", None))
+            links, linked = self.confirmed(*scratch.counted(self._pairs(last), "last-pairs"), "last-links")
+            labels = joined(scratch, labels, links, linked, "last-labels")
+        steps = ("members", "labelled", "pairs", "able", "open", "links", "sets")
+        scratch.drop(*(f"{name}-{step}" for name in ("open", "last") for step in steps))
+        return labels
 
     def groups(self) -> DataFrame:
         """Per row of docs: id, n_shingles, component."""
@@ -231,25 +248,21 @@ class NearDuplicates:
         )
         alike = scratch.store(sketches.where("n > 0").groupBy("sign_a", "sign_b").agg(F.min("id").alias("stands")), "alike")
         listed = self.members(sketches, alike, k, "first")
-        links = self.links_of(self.hub_pairs(self.labelled(listed, None, ""), k, "first"), sketches, "first-links")
+        found = self.hub_pairs(self.labelled(listed, None, ""), k, "first")
+        links, linked = self.links_of(*found, sketches, "first-links")
         rows = scratch.store(sketches.select("id", "n", "sign_a", "sign_b"), "rows")
-        labels = components(scratch, links, "first-labels")
-        left = self.open_members(self.labelled(listed, labels, "first-labelled"), k, "first").select("id").distinct()
-        held = self.spark.sparkContext.broadcast(bit_table(left, F.col("id"), left.count()))
-        sets = self.sets_of(held, "open-sets").select("id", F.size("shingles").cast("long").alias("n"), F.col("shingles").alias("sketch"))
-        listed = self.members(sets, alike, None, "open")
-        named = self.labelled(listed, labels, "open-labelled")
-        links = links.union(self.confirmed(self.hub_pairs(named, None, "open"), "open-links"))
-        labels = components(scratch, links, "open-labels")
-        left = self.open_members(self.labelled(listed, labels, "last-labelled"), None, "last")
-        last = left.alias("x").join(left.alias("y"), "value").where((F.col("x.label") < F.col("y.label")) & self._allowed("x", "y", None))
-        links = links.union(self.confirmed(scratch.store(self._pairs(last), "last-pairs"), "last-links"))
-        labels = components(scratch, links, "last-labels")
-        steps = ("members", "labelled", "hubs", "pairs", "bests", "able", "mixed", "open", "links", "sets")
-        scratch.drop("sketches", *(f"{name}-{step}" for name in ("first", "open", "last") for step in steps))
+        scratch.drop("sketches")
+        labels = components(scratch, links, linked, "first-labels")
+        left, still_open = self.open_members(self.labelled(listed, labels, "first-labelled"), k, "first")
+        if still_open:
+            labels = self._settled(left, still_open, alike, labels)
+        steps = ("members", "labelled", "pairs", "able", "open", "links")
+        scratch.drop(*(f"first-{step}" for step in steps))
         # a document stands for itself where it has no shingles
-        named = alike.join(labels.withColumnRenamed("id", "stands"), "stands", "left").select("sign_a", "sign_b", F.coalesce("label", "stands").alias("component"))
-        named = scratch.store(named, "components")
+        named = alike.withColumn("component", F.col("stands"))
+        if labels is not None:
+            named = alike.join(labels.withColumnRenamed("id", "stands"), "stands", "left").withColumn("component", F.coalesce("label", "stands"))
+        named = scratch.store(named.select("sign_a", "sign_b", "component"), "components")
         none = rows.where("n = 0").select("id", "n", F.col("id").alias("component"))
         found = rows.where("n > 0").join(named, ["sign_a", "sign_b"]).select("id", "n", "component").union(none)
         return found.select("id", F.col("n").alias("n_shingles"), "component")
@@ -265,5 +278,4 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, width: int = 5,
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with all their columns: one document of each group."""
     found = near_duplicate_groups(spark, docs, width, percent)
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    return without(docs, Scratch(spark, "near-kept"), found.where(~F.col("kept")).select("doc_id"), docs["doc_id"].cast("long"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from riskpanel.functions import key_filter
+
+#: Spark's setting that deletes the shuffle files of an execution at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the largest bit table: 16 MiB, whatever the input.
 MOST_BITS = 27
 #: Rows and bytes of texts that a task holds as one Arrow batch.
@@ -43,21 +47,39 @@ class Scratch:
     """Written tables of one run of an operator.
 
     What a result still reads stays until the folder is cleared; `drop` removes
-    tables that later steps no longer need.
+    tables that later steps no longer need. The shuffle files behind a table go
+    as soon as it is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.sent: list[Broadcast] = []
 
     def store(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{self.path}/{name}")
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            frame.write.parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
+            while self.sent:
+                self.sent.pop().destroy()
         return self.spark.read.schema(frame.schema).parquet(f"{self.path}/{name}")
 
+    def counted(self, frame: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The stored table and how many rows it has, counted as they are written."""
+        seen = Observation()
+        stored = self.store(frame.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        return stored, seen.get["rows"]
+
+    def broadcast(self, value: object) -> Broadcast:
+        """`value` at every executor until the next table is stored, which is the one that needs it."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
     def drop(self, *names: str) -> None:
-        """Delete tables that are no longer read, and let Spark clear the shuffle files behind them."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Delete tables that are no longer read."""
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -88,3 +110,20 @@ def in_bit_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which 64-bit values the table may hold."""
     at = values.astype(np.uint64) & np.uint64(8 * len(table) - 1)
     return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def without(docs: DataFrame, scratch: Scratch, dropped: DataFrame, *own: Column) -> DataFrame:
+    """The rows of docs whose key `own` is not among the rows of `dropped`, with all their columns.
+
+    `dropped` has a column for each of `own`. Rows that no dropped key can meet are
+    passed on where they are read; only the others are shuffled with their texts.
+    A key with NULL is never dropped.
+    """
+    names = [f"key_{i}" for i in range(len(own))]
+    keys, n = scratch.counted(dropped.toDF(*names).dropna().distinct(), "dropped")
+    bits = key_filter.bits_for(n)
+    parts = scratch.store(key_filter.bit_parts(keys, names, bits), "dropped-bits")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[k.alias(name) for k, name in zip(own, names)])
+    marked = key_filter.with_may_match(whole, parts, names, bits)
+    touched = marked.where("_may_match").join(keys, names, "left_anti")
+    return marked.where("NOT _may_match").select("row.*").union(touched.select("row.*"))

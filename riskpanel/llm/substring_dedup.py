@@ -176,7 +176,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("text_hash"))
     spread = texts.select("id", "text").mapInArrow(_anchors(width), "anchor long, id long").groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     shared = scratch.store(spread.where("low < high"), "shared")
-    scratch.drop()
     held = spark.sparkContext.broadcast(bit_table(shared, F.col("anchor"), shared.count()))
     placed = texts.mapInArrow(_placed_anchors(width, held), "anchor long, id long, text_hash long, at int").join(shared, "anchor")
     places = placed.groupBy("id", "text_hash").agg(
@@ -191,7 +190,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -
     schema = "high long, low long, id long, text_hash long, at int"
     offered = joined.mapInArrow(_extended(window, width, "later"), schema)
     sources = scratch.store(offered.groupBy("high", "low").agg(F.min("id").alias("source")), "sources")
-    scratch.drop()
     asked = joined.mapInArrow(_extended(window, width, "earlier"), schema)
     marked = asked.join(sources, ["high", "low"]).where(F.col("source") < F.col("id"))
     marked = scratch.store(marked.groupBy("id", "text_hash").agg(F.collect_set("at").alias("starts")), "marked")

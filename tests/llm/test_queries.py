@@ -7,7 +7,8 @@ from riskpanel.llm import queries
 
 def test_sql(spark, sf_dir):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         want = duck.execute(sql).fetchdf()
         got = queries.QUERIES[name](spark, sf_dir).toPandas()[list(want.columns)]
@@ -25,6 +26,9 @@ def test_contract_columns(spark, sf_dir):
         "op6_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
         "op8_language_id": {"doc_id", "held_out", "lang_pred", "score"},
         "op9_decontaminate": {"doc_id", "item_id"},
+        "op11_html_extraction": {"page_id", "url", "text", "n_chars"},
+        "op12_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+        "op13_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
     }
     for name, wanted in columns.items():
         assert wanted <= set(queries.QUERIES[name](spark, sf_dir).columns), name
