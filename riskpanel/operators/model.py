@@ -1,6 +1,6 @@
 """Logistic default models: preprocessing, fit, Platt calibration, coefficients.
 
-Fits run in MLlib over the cluster. What the driver holds are the fitted
+Fits are Newton steps over the cluster. What the driver holds are the fitted
 numbers: medians, means and deviations per feature, category lists of coded
 fields, and coefficients. All are bounded by the feature list, not by rows.
 """
@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +26,8 @@ from riskpanel.definitions import (
     STATIC_NUMERIC,
 )
 from riskpanel.functions.expressions import logit, sigmoid
-from riskpanel.functions.frames import GuardError, as_rows, count_where, exact_medians, fixed_rows
+from riskpanel.functions.frames import as_rows, count_where, exact_medians, fixed_rows
+from riskpanel.operators.newton import LogisticFit, newton_fit
 from riskpanel.operators.population import prepare_features, require_frame_contract
 from riskpanel.operators.split import rank_split, require_population, require_split
 from riskpanel.session import cut_lineage, kept
@@ -214,40 +214,19 @@ def fit_preprocessing(train: DataFrame, numeric: Iterable[str], categorical: Ite
     return Preprocessing(imputation, standardise(filled, imputation.columns()), one_hot(train, categorical))
 
 
-#: A fit that needs as many iterations has failed and raises.
-MOST_ITERATIONS = 2000
-
-
 # --- fits ----------------------------------------------------------------------
-def fit_logistic(train: DataFrame, label: str, penalty: float = 1.0, features: str = "features") -> LogisticRegressionModel:
-    """L2 logistic fit with strength ``1 / (2 * penalty)`` on the summed loss and a
-    free intercept; MLlib averages the loss, so the strength is divided by n.
+def fit_logistic(train: DataFrame, label: str, penalty: float = 1.0, features: str = "features") -> LogisticFit:
+    """L2 logistic fit with strength ``1 / (2 * penalty)`` on the summed loss and a free intercept.
 
-    Labels and vectors are checkpointed first: every iteration is a job, and
-    each then starts from stored rows instead of the whole preparation.
+    Labels and vectors are checkpointed first: every step is a pass, and each
+    then starts from stored rows instead of the whole preparation.
     """
-    stored = cut_lineage(train.select(c(label).cast("double").alias(label), features))
-    rows = stored.count()
-    estimator = LogisticRegression(
-        featuresCol=features,
-        labelCol=label,
-        regParam=1.0 / (penalty * rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=True,
-        maxIter=MOST_ITERATIONS,
-        tol=1e-12,
-    )
-    model = estimator.fit(stored)
-    if model.summary.totalIterations >= MOST_ITERATIONS:
-        raise GuardError(f"the fit has not converged after {MOST_ITERATIONS} iterations")
-    return model
+    return newton_fit(cut_lineage(train.select(c(label).cast("double").alias(label), features)), label, features, penalty)
 
 
-def score(df: DataFrame, model: LogisticRegressionModel) -> DataFrame:
+def score(df: DataFrame, fitted: LogisticFit) -> DataFrame:
     """Add ``raw_pd``, the uncalibrated probability of the outcome."""
-    scored = model.transform(df)
-    return scored.withColumn("raw_pd", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    return df.withColumn("raw_pd", fitted.probability())
 
 
 @dataclass(frozen=True)
@@ -262,7 +241,7 @@ def fit_platt(df: DataFrame, probability: str, label: str) -> Platt:
         df.select(c(label).cast("double").alias(label), logit(c(probability), PROBABILITY_EPSILON).alias("_logit"))
     )
     model = fit_logistic(one, label, WEAK_PENALTY, "_logit_vector")
-    return Platt(float(model.coefficients[0]), float(model.intercept))
+    return Platt(model.coefficients[0], model.intercept)
 
 
 def apply_platt(raw: Column, slope: Column | float, intercept: Column | float) -> Column:
@@ -293,7 +272,7 @@ def calibration_diagnostic(pred: DataFrame) -> DataFrame:
 class FittedModel:
     name: str
     preprocessing: Preprocessing
-    logistic: LogisticRegressionModel
+    logistic: LogisticFit
     platt: Platt
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -312,7 +291,7 @@ class FittedModel:
 def coefficients(model: FittedModel) -> DataFrame:
     """Coefficient per transformed feature, largest magnitude first, then by name."""
     spark = SparkSession.active()
-    rows = list(zip(model.preprocessing.names(), [float(v) for v in model.logistic.coefficients]))
+    rows = list(zip(model.preprocessing.names(), model.logistic.coefficients))
     ordered = sorted(rows, key=lambda r: (-abs(r[1]), r[0]))
     columns = {"model": "string", "position": "int", "transformed_feature": "string", "coefficient": "double"}
     return fixed_rows(spark, columns, [(model.name, i, n, v) for i, (n, v) in enumerate(ordered, start=1)])

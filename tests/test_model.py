@@ -7,10 +7,11 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from riskpanel.functions.frames import GuardError
-from riskpanel.operators import metrics, model, split
+from riskpanel.operators import metrics, model, newton, split
 
 
 def split_by_hand(ids):
@@ -122,15 +123,41 @@ def test_fit_is_stationary(frame, fitted):
     ready = m.preprocessing.apply(frame.where("split = 'train'")).select("features", model.OUTCOME).collect()
     x = np.array([r.features.toArray() for r in ready])
     y = np.array([r[model.OUTCOME] for r in ready])
-    w = m.logistic.coefficients.toArray()
+    w = np.array(m.logistic.coefficients)
     p = 1 / (1 + np.exp(-(x @ w + m.logistic.intercept)))
-    assert np.abs(x.T @ (p - y) + w).max() < 1e-3
-    assert abs((p - y).sum()) < 1e-3
+    assert np.abs(x.T @ (p - y) + w).max() < 1e-6
+    assert abs((p - y).sum()) < 1e-6
+    assert m.logistic.gradient <= m.logistic.bound == 600 * 1e-9 and m.logistic.passes <= 12
+
+
+def test_fit_against_newton_by_hand_and_its_guards(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3)) * [1, 10, 0.1]
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [1.0, -0.2, 3.0] - 1)))).astype(float)
+    df = spark.createDataFrame([(float(t), Vectors.dense(r)) for t, r in zip(y, x)], ["y", "features"])
+    for penalty in (0.01, 1.0, 1e6):
+        fit = model.newton_fit(df, "y", penalty=penalty)
+        design, theta = np.hstack([np.ones((300, 1)), x]), np.zeros(4)
+        ridge = np.diag([0, 1, 1, 1]) / penalty
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-design @ theta))
+            theta -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, design.T @ (p - y) + ridge @ theta)
+        assert np.allclose([fit.intercept, *fit.coefficients], theta, atol=1e-8)
+        assert fit.gradient <= fit.bound and fit.rows == 300
+    for wrong in (df.where("y = 1"), df.where("false"), df.withColumn("y", F.lit(2.0)), df.withColumn("y", F.lit(None).cast("double"))):
+        with pytest.raises(GuardError, match="both outcomes"):
+            model.newton_fit(wrong, "y")
+    # outcomes that a feature parts completely
+    parted = spark.createDataFrame([(float(i > 5), Vectors.dense([float(i)])) for i in range(10)], ["y", "features"])
+    assert model.newton_fit(parted, "y").gradient < 1e-8
+    monkeypatch.setattr(newton, "MOST_PASSES", 3)
+    with pytest.raises(GuardError, match="not converged after 3 passes: its gradient is"):
+        model.newton_fit(parted, "y")
 
 
 def test_shared_preprocessing_equals_separate_fit(frame, fitted):
     alone = model.fit_one(frame, "behavioral")
-    assert np.allclose(alone.logistic.coefficients.toArray(), fitted["behavioral"].logistic.coefficients.toArray(), atol=1e-6)
+    assert np.allclose(alone.logistic.coefficients, fitted["behavioral"].logistic.coefficients, atol=1e-9)
     assert alone.platt.slope == pytest.approx(fitted["behavioral"].platt.slope, abs=1e-5)
 
 
