@@ -233,6 +233,8 @@ def score(df: DataFrame, fitted: LogisticFit) -> DataFrame:
 class Platt:
     slope: float
     intercept: float
+    #: The fit behind the line, with its certificate.
+    fit: LogisticFit | None = None
 
 
 def fit_platt(df: DataFrame, probability: str, label: str) -> Platt:
@@ -241,7 +243,7 @@ def fit_platt(df: DataFrame, probability: str, label: str) -> Platt:
         df.select(c(label).cast("double").alias(label), logit(c(probability), PROBABILITY_EPSILON).alias("_logit"))
     )
     model = fit_logistic(one, label, WEAK_PENALTY, "_logit_vector")
-    return Platt(model.coefficients[0], model.intercept)
+    return Platt(model.coefficients[0], model.intercept, model)
 
 
 def apply_platt(raw: Column, slope: Column | float, intercept: Column | float) -> Column:

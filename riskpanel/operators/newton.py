@@ -24,7 +24,7 @@ from riskpanel.functions.frames import GuardError
 
 c = F.col
 #: A fit has converged once no entry of its gradient is above this times the rows.
-GRADIENT_PER_ROW = 1e-9
+GRADIENT_PER_ROW = 1e-11
 #: Least weight of a row, so that there is something to sum where all probabilities are 0 or 1.
 SMALLEST = 1e-300
 #: Passes over the rows after which a fit has failed and raises.

@@ -21,6 +21,7 @@ from riskpanel.operators import gates, ingest, lineage, metrics, model, outcomes
 from riskpanel.operators import signals as sig
 from riskpanel.operators import split
 from riskpanel.functions.frames import exact_medians, fixed_rows
+from riskpanel.plans import oracle_fits as fits
 from riskpanel.plans import oracle_tables as O
 from riskpanel.plans.workspace import Workspace
 from riskpanel.sources import adapter, tables
@@ -743,17 +744,25 @@ def _logistic(w: Workspace) -> DataFrame:
         {"position": "int", "feature": "string", "coefficient": "double"},
         [(i, n, float(v)) for i, (n, v) in enumerate(zip(pre.names(), fitted.coefficients))],
     )
-    return gradient.join(names, "position").select("feature", "coefficient", (c("g") + c("coefficient")).alias("gradient"))
+    # adding 0 turns -0 into 0
+    return gradient.join(names, "position").select(
+        "feature", F.round("coefficient", 6).alias("coefficient"), (F.round(c("g") + c("coefficient"), 6) + 0.0).alias("gradient")
+    )
 
 
-add("h10_fit_logistic", _logistic)
+add("h10_fit_logistic", _logistic, fits.gradient("combined"), **fits.model_blocks("combined"))
 
 
 def _fitted(w: Workspace, name: str = "combined") -> model.FittedModel:
     return model.fit_one(w.stored_frame, name)
 
 
-add("h11_score", lambda w: model.predictions([_fitted(w, "static")], w.stored_frame).select("model", "borrower_id", "raw_pd"))
+add(
+    "h11_score",
+    lambda w: model.predictions([_fitted(w, "static")], w.stored_frame).select("model", "borrower_id", F.round("raw_pd", 7).alias("raw_pd")),
+    "SELECT 'static' AS model, customer_id AS borrower_id, round(raw_pd, 7) AS raw_pd FROM static_raw WHERE split = 'test'",
+    **fits.model_blocks("static"),
+)
 
 
 def _platt(w: Workspace) -> DataFrame:
@@ -789,15 +798,41 @@ add(
     ),
     "SELECT model, count(*) AS rows, count(*) FILTER (WHERE education_code = 6) AS mismatches FROM pred GROUP BY model",
 )
-add("h15_coefficients", lambda w: model.coefficients(_fitted(w, "behavioral")))
+add(
+    "h15_coefficients",
+    lambda w: model.coefficients(_fitted(w, "behavioral")).withColumn("coefficient", F.round("coefficient", 6)),
+    "SELECT 'behavioral' AS model, CAST(row_number() OVER (ORDER BY abs(t) DESC, feature) AS INTEGER) AS position, "
+    f"feature AS transformed_feature, round(t, 6) AS coefficient FROM behavioral_theta WHERE feature <> '{fits.FREE}'",
+    **fits.model_blocks("behavioral"),
+)
 
 
 def _three(w: Workspace) -> DataFrame:
+    """Metrics of three fits. Probabilities are taken at nine decimals, so that equal rows tie in any order of addition."""
     fitted = model.fit_three(w.stored_frame)
-    return metrics.metric_table(model.predictions(fitted, w.stored_frame))
+    pred = model.predictions(fitted, w.stored_frame)
+    return metrics.metric_table(pred.withColumn("predicted_pd", F.round("predicted_pd", 9))).withColumn("value", F.round("value", 6))
+
 
+add("h16_fit_three", _three, "SELECT model, metric, round(value, 6) AS value FROM metric", **fits.fitted_predictions())
 
-add("h16_fit_three", _three)
+
+def _fit_certificates(w: Workspace) -> DataFrame:
+    """Per model and fit: rows, whether the gradient at the returned coefficients is within its bound."""
+    rows = [
+        (m.name, kind, fit.rows, fit.gradient <= fit.bound)
+        for m in model.fit_three(w.stored_frame)
+        for kind, fit in (("outcome", m.logistic), ("calibration", m.platt.fit))
+    ]
+    return fixed_rows(w.spark, {"model": "string", "fit": "string", "rows": "bigint", "converged": "boolean"}, rows)
+
+
+add(
+    "h10_fit_gradient",
+    _fit_certificates,
+    "SELECT model, CASE split WHEN 'train' THEN 'outcome' ELSE 'calibration' END AS fit, count(*) AS rows, true AS converged "
+    "FROM split, (VALUES ('static'), ('behavioral'), ('combined')) m(model) WHERE split <> 'test' GROUP BY model, split",
+)
 
 # --- I: metrics -------------------------------------------------------------------------------
 add("i01_roc_auc", lambda w: rounded(metrics.roc_auc(w.pred), "roc_auc"), f"SELECT model, {R('roc_auc')} FROM auc")

@@ -127,7 +127,7 @@ def test_fit_is_stationary(frame, fitted):
     p = 1 / (1 + np.exp(-(x @ w + m.logistic.intercept)))
     assert np.abs(x.T @ (p - y) + w).max() < 1e-6
     assert abs((p - y).sum()) < 1e-6
-    assert m.logistic.gradient <= m.logistic.bound == 600 * 1e-9 and m.logistic.passes <= 12
+    assert m.logistic.gradient <= m.logistic.bound == 600 * newton.GRADIENT_PER_ROW and m.logistic.passes <= 12
 
 
 def test_fit_against_newton_by_hand_and_its_guards(spark, monkeypatch):
