@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 from riskpanel.definitions import SIGNALS
 from riskpanel.operators import gates, ingest, lineage, metrics, model, outcomes, panel, population, quality, reconcile
 from riskpanel.operators import signals as sig
-from riskpanel.operators import split
+from riskpanel.operators import split, walks
 from riskpanel.functions.frames import exact_medians, fixed_rows
 from riskpanel.plans import oracle_fits as fits
 from riskpanel.plans import oracle_tables as O
 from riskpanel.plans.workspace import Workspace
+from riskpanel.session import cut_lineage
 from riskpanel.sources import adapter, tables
 
 c = F.col
@@ -1125,6 +1126,48 @@ add(
 )
 
 
+add(
+    "j07_path_counts",
+    lambda w: lineage.path_counts(w.edges, w.nodes.where("node_type IN ('Result', 'Table')"))
+    .join(w.nodes.select(c("node_id").alias("start_node_id"), c("canonical_name").alias("start")), "start_node_id")
+    .join(w.nodes.select("node_id", c("canonical_name").alias("node")), "node_id")
+    .select("start", "node", "depth", c("paths").cast("bigint").alias("paths")),
+    "SELECT start, node, depth, count(*) AS paths FROM walk GROUP BY start, node, depth",
+)
+TRADE_STEPS = 8
+
+
+def _trade_paths(w: Workspace) -> DataFrame:
+    """Ways from nation to nation over some steps, each from an order's customer to a supplier of it.
+
+    A layer per step makes the graph one of many diamonds: with 25 nations that
+    all trade there are 25 ** 7 paths between any two ends.
+    """
+    nation = lambda table, key, name: w.table(table).select(key, c(name).alias(key[0]))
+    pairs = (
+        w.table("lineitem").select("l_orderkey", "l_suppkey").distinct()
+        .join(w.table("orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
+        .join(nation("customer", "c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+        .join(nation("supplier", "s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
+        .select("c", "s").distinct()
+    )
+    layers = F.explode(F.sequence(F.lit(0), F.lit(TRADE_STEPS - 1))).alias("layer")
+    hops = cut_lineage(pairs.select("c", "s", layers).select((c("layer") * 100 + c("c")).cast("bigint").alias("tail"), (c("layer") * 100 + 100 + c("s")).cast("bigint").alias("head")))
+    starts = hops.where("tail < 100").select(c("tail").alias("node_id")).distinct()
+    return walks.path_counts(hops, starts).withColumn("paths", c("paths").cast("bigint"))
+
+
+add(
+    "j07_trade_paths",
+    _trade_paths,
+    "SELECT s AS start_node_id, CAST(d * 100 + n AS BIGINT) AS node_id, d AS depth, p AS paths FROM trade_levels",
+    trade="SELECT DISTINCT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey "
+    "JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey",
+    trade_levels="WITH RECURSIVE l AS (SELECT DISTINCT a AS s, a AS n, 0::BIGINT AS d, 1::BIGINT AS p FROM trade UNION ALL "
+    f"SELECT s, b, d + 1, CAST(sum(p) AS BIGINT) FROM l JOIN trade ON a = n WHERE d < {TRADE_STEPS} GROUP BY s, b, d) SELECT * FROM l",
+)
+
+
 def _named(w: Workspace, df: DataFrame) -> DataFrame:
     return df.join(w.nodes.select("node_id", "canonical_name"), "node_id").select("canonical_name", "depth")
 
@@ -1142,8 +1185,9 @@ add(
 _STEPS = "e1.edge_type = 'computed_from' AND e2.edge_type = 'validated_by' AND e3.edge_type = 'computed_from'"
 add(
     "j10_missing_paths",
-    lambda w: lineage.missing_paths(
-        lineage.lineage_paths(w.damaged_edges, w.nodes, w.nodes.where("node_type = 'Result'")),
+    lambda w: lineage.missing_walks(
+        w.damaged_edges,
+        w.nodes,
         w.nodes.where("node_type = 'Table'").select(c("canonical_name").alias("feature")),
         2,
         ("^o[0-9]+$", "^c[0-9]+$", "^n[0-9]+$", "^r[0-9]+$"),
