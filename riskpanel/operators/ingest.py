@@ -18,6 +18,8 @@ NON_NUMERIC = "non-numeric"
 NON_INTEGRAL = "non-integral"
 OUT_OF_RANGE = "outside int32"
 DUPLICATE = "duplicate id"
+#: Whole numbers that int32 holds for certain.
+PLAIN = r"^[+-]?[0-9]{1,9}$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
@@ -52,7 +54,9 @@ def reject_reason(cell: Column) -> Column:
     """
     number = cell.try_cast("double")
     return (
-        F.when(cell.isNull() | (cell == ""), MISSING)
+        # most cells are plain short numbers, and need no further test
+        F.when(cell.rlike(PLAIN), F.lit(None).cast("string"))
+        .when(cell.isNull() | (cell == ""), MISSING)
         .when(~cell.rlike(NUMBER), NON_NUMERIC)
         .when(~is_whole(cell), NON_INTEGRAL)
         .when((number < INT32_MIN) | (number > INT32_MAX), OUT_OF_RANGE)

@@ -74,12 +74,23 @@ def log_loss(pred: DataFrame) -> DataFrame:
     return base_metrics(pred).select("model", "log_loss")
 
 
+def rank_profile(pred: DataFrame) -> DataFrame:
+    """``(model, predicted_pd, pos, neg)``: positives and negatives per distinct probability.
+
+    All that rank metrics need, in whole numbers. A run stores its profile, and
+    profiles of several runs merge exactly; rows are not read again.
+    """
+    return pred.groupBy("model", P).agg(F.sum(Y).alias("pos"), F.sum(1 - c(Y)).cast("bigint").alias("neg"))
+
+
+def merged_profiles(profiles: DataFrame) -> DataFrame:
+    """One profile of several (their union): counts of equal probabilities added up."""
+    return profiles.groupBy("model", P).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def ordered_scores(pred: DataFrame) -> DataFrame:
     """Positives and negatives per distinct probability with running sums."""
-    tied = pred.groupBy("model", P).agg(
-        F.sum(Y).alias("pos"), F.sum(1 - c(Y)).cast("bigint").alias("neg")
-    )
-    return ordered_running_sum(tied, [P], ["pos", "neg"], by=["model"])
+    return ordered_running_sum(rank_profile(pred), [P], ["pos", "neg"], by=["model"])
 
 
 def _pair_terms() -> tuple[Column, Column]:
@@ -104,8 +115,13 @@ def _rank_values() -> tuple[Column, Column]:
 
 def rank_metrics(pred: DataFrame) -> DataFrame:
     """ROC AUC and average precision per model."""
+    return profile_metrics(rank_profile(pred))
+
+
+def profile_metrics(profile: DataFrame) -> DataFrame:
+    """ROC AUC and average precision per model, from a profile with one row per model and probability."""
     pairs, step = _pair_terms()
-    summed = ordered_scores(pred).groupBy("model").agg(
+    summed = ordered_running_sum(profile, [P], ["pos", "neg"], by=["model"]).groupBy("model").agg(
         F.sum(pairs).alias("_pairs"),
         F.sum(step).alias("_area"),
         F.max("total_pos").alias("total_pos"),

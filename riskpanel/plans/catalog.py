@@ -869,6 +869,25 @@ add(
     lambda w: rounded(metrics.segments(w.pred.drop("education_code", "marriage_code"), w.population), "average_pd", "brier_score"),
     f"SELECT * REPLACE ({R('average_pd', 'brier_score')}) FROM seg",
 )
+add(
+    "i01_merged_profiles",
+    lambda w: rounded(
+        metrics.profile_metrics(
+            metrics.merged_profiles(
+                reduce(DataFrame.unionByName, [metrics.rank_profile(w.pred.where(c("borrower_id") % 3 == k)) for k in range(3)])
+            )
+        ),
+        "roc_auc",
+        "pr_auc",
+    ),
+    f"SELECT auc.model, {R('roc_auc', 'pr_auc')} FROM auc JOIN pr ON pr.model = auc.model",
+)
+add(
+    "i09_fitted_segments",
+    lambda w: metrics.segments(w.fitted_pred, w.population).withColumns({n: F.round(n, 6) for n in ("average_pd", "brier_score")}),
+    "SELECT * REPLACE (round(average_pd, 6) AS average_pd, round(brier_score, 6) AS brier_score) FROM seg",
+    **fits.fitted_predictions(),
+)
 add(
     "i10_model_deltas",
     lambda w: rounded(metrics.model_deltas(w.metrics), "difference"),
@@ -888,6 +907,32 @@ _MODELS = "FROM (VALUES ('static'), ('behavioral'), ('combined')) m(model)"
 O.BLOCKS["pred_issues"] = " UNION ALL ".join(
     f"SELECT model, '{k}' AS issue, {v} AS rows {_MODELS}" for k, v in _PRED_ISSUES.items()
 )
+add(
+    "i11_fitted_checks",
+    lambda w: metrics.prediction_checks(w.fitted_pred, w.population),
+    "SELECT model, issue, rows FROM pred_issues",
+    **fits.fitted_predictions() | {"pred_d": "SELECT * FROM pred"},
+)
+
+
+def _damaged_fit(w: Workspace) -> DataFrame:
+    """Checks of real predictions of which some are gone, some are repeated and some lie above 1."""
+    pred = w.fitted_pred.where("NOT (model = 'combined' AND borrower_id % 7 = 0)")
+    pred = pred.withColumn("predicted_pd", F.when((c("model") == "static") & (c("borrower_id") % 5 == 0), c("predicted_pd") + 1).otherwise(c("predicted_pd")))
+    return metrics.prediction_checks(pred.unionByName(pred.where("model = 'behavioral' AND borrower_id % 11 = 0")), w.population)
+
+
+add(
+    "i11_damaged_fit_checks",
+    _damaged_fit,
+    "SELECT model, issue, rows FROM pred_issues",
+    **fits.fitted_predictions()
+    | {
+        "pred_e": "SELECT * REPLACE (CASE WHEN model = 'static' AND borrower_id % 5 = 0 THEN predicted_pd + 1 ELSE predicted_pd END AS predicted_pd) "
+        "FROM pred WHERE NOT (model = 'combined' AND borrower_id % 7 = 0)",
+        "pred_d": "SELECT * FROM pred_e UNION ALL SELECT * FROM pred_e WHERE model = 'behavioral' AND borrower_id % 11 = 0",
+    },
+)
 add("i11_prediction_checks", lambda w: metrics.prediction_checks(w.damaged_pred, w.population), "SELECT model, issue, rows FROM pred_issues")
 _POP_ISSUES = {
     "invalid_population_row": "(SELECT count(*) FROM population_d WHERE borrower_id IS NULL)",
@@ -1269,9 +1314,33 @@ for _g in range(1, 6):
         f"k{_g:02d}_gate{_g}",
         lambda w, g=_g: gates.gate(w.stored().gate_evidence(g), g),
         f"SELECT * FROM ruled WHERE gate = {_g}",
+        **(fits.fitted_predictions() if _g == 4 else {}),
     )
 
 
+def _damaged_gates(w: Workspace) -> DataFrame:
+    """Gates 4 and 5 of a run in which one model was never fitted and a signal has no outcome rows."""
+    run = w.stored()
+    run.fitted_pred = run.fitted_pred.where("model <> 'combined'")
+    run.summary = run.summary.where("signal_name <> 'recent_bill_growth'")
+    return gates.gate(run.gate_evidence(4), 4).unionByName(gates.gate(run.gate_evidence(5), 5))
+
+
+_clean_summary = O.BLOCKS["summary"]
+add(
+    "k04_k05_damaged_gates",
+    _damaged_gates,
+    "SELECT * FROM ruled WHERE gate IN (4, 5)",
+    **fits.fitted_predictions()
+    | {
+        "every_pred": fits.fitted_predictions()["pred"],
+        "pred": "SELECT * FROM every_pred WHERE model <> 'combined'",
+        "every_summary": _clean_summary,
+        "summary": "SELECT * FROM every_summary WHERE signal_name <> 'recent_bill_growth'",
+    },
+)
+
+
 def _two_runs(w: Workspace) -> DataFrame:
     """Run ids of tables that each hold the same two runs, and of tables of which one lacks some."""
     def twice(df: DataFrame) -> DataFrame:

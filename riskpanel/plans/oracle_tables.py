@@ -624,6 +624,7 @@ _EVIDENCE = {
     "signal_default_total": "(SELECT sum(default_count) FROM summary WHERE signal_name = 'zero_payment_streak')",
     "band_default_total": "(SELECT sum(default_count) FROM bands)",
     "missing_labels": "(SELECT count(*) FROM signals WHERE risk_band IS NULL)",
+    "unresolved_claims": "(SELECT count(*) FROM (VALUES " + ", ".join(f"('{s}')" for s in SIGNALS) + ") v(s) WHERE s NOT IN (SELECT signal_name FROM summary))",
     "calibration_completed": "(SELECT CASE WHEN count(DISTINCT model) = 3 THEN 1 ELSE 0 END FROM bins)",
     "segment_stability_completed": "(SELECT CASE WHEN count(DISTINCT segment_field) = 5 THEN 1 ELSE 0 END FROM seg)",
     "distinct_run_ids": "(SELECT count(DISTINCT pipeline_run_id) FROM (SELECT pipeline_run_id FROM borrower UNION ALL SELECT pipeline_run_id FROM panel UNION ALL SELECT pipeline_run_id FROM signals) x)",

@@ -214,6 +214,15 @@ class Workspace:
         )
         return rows.select("m.*", "borrower_id", "actual_default", "split", "education_code", "marriage_code")
 
+    @cached_property
+    def fitted_pred(self) -> DataFrame:
+        """Calibrated test predictions of three models fitted on this run, written once.
+
+        At nine decimals, so that equal rows tie in whatever order sums are taken.
+        """
+        pred = model.predictions(model.fit_three(self.stored_frame), self.stored_frame)
+        return write_once(pred.withColumn("predicted_pd", F.round("predicted_pd", 9)), "predictions")
+
     @cached_property
     def damaged_pred(self) -> DataFrame:
         """Predictions with every fault the checks look for."""
@@ -351,8 +360,8 @@ class Workspace:
         """One-row aggregates that hold the metrics of one gate.
 
         No time-ordered validation and no sensitivity run exist for one
-        snapshot, and no limitations or claims are recorded for it, so gates 4
-        and 5 stay closed, as they must.
+        snapshot, and no limitations are recorded for it, so gates 4 and 5 stay
+        closed, as they must.
         """
         if gate == 1:
             columns = ("registered_sources", "sha256_valid", "source_rows", "source_columns", "raw_rows", "unlogged_rejects")
@@ -397,15 +406,25 @@ class Workspace:
                 return df.agg(reached.alias(name))
 
             return [
-                complete(metrics.calibration_bins(self.pred), "model", 3, "calibration_completed"),
-                complete(metrics.segments(self.pred, self.population), "segment_field", 5, "segment_stability_completed"),
+                complete(metrics.calibration_bins(self.fitted_pred), "model", 3, "calibration_completed"),
+                complete(metrics.segments(self.fitted_pred, self.population), "segment_field", 5, "segment_stability_completed"),
                 self.signals.agg(F.count_if(c("risk_band").isNull()).alias("missing_labels")),
             ]
         identity = gates.run_identity({"borrower": self.borrowers, "panel": self.panel, "signals": self.signals})
         ties = outcomes.population_tie_out(self.summary, self.bands, self.borrowers).agg(
             F.count_if(~c("ties_out")).alias("mismatches")
         )
-        return [identity, ties]
+        return [identity, ties, self.claims.select("unresolved_claims")]
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        """One row: whether every defined signal has a claim of this run, made from its outcome rows."""
+        evidence = F.sha2(F.concat_ws("|", c("file_sha256"), F.lit(self.p.run_id)).cast("binary"), 256)
+        identity = self.registry.agg(F.max_by(evidence, "registered_at").alias("evidence_sha256")).withColumn("run_id", F.lit(self.p.run_id))
+        named = self.summary.select(F.concat(F.lit("outcome."), "signal_name").alias("claim_id")).distinct()
+        made = named.withColumn("i", identity.select(F.struct("run_id", "evidence_sha256")).scalar()).select("claim_id", "i.*")
+        needed = self.spark.createDataFrame([(f"outcome.{s}",) for s in SIGNALS], "claim_id string")
+        return gates.claim_cover(made, needed, identity)
 
     @cached_property
     def _gap(self) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,6 +133,11 @@ def compare_fingerprints(found: DataFrame, registered: DataFrame) -> DataFrame:
 def append_run(df: DataFrame, table: str, run_id: str) -> str:
     """Write one run of ``table``; a run that exists is never overwritten.
 
+    The rows go to a folder of their own, which readers pass over, and one rename
+    that refuses an existing target is the commit. Of two writers of one run the
+    first to end wins, and the other raises and leaves nothing behind. Where a
+    store cannot rename in one step (some object stores), that moment is longer.
+
     Returns the run's folder. Reading ``table`` gives ``pipeline_run_id`` back
     as a partition column, so a filter on it prunes folders.
     """
@@ -138,13 +145,40 @@ def append_run(df: DataFrame, table: str, run_id: str) -> str:
         raise GuardError(f"run id {run_id!r} is not 3-128 safe characters")
     target = f"{table}/pipeline_run_id={run_id}"
     columns = [c for c in df.columns if c != "pipeline_run_id"]
-    if _exists(df.sparkSession, f"{target}/_SUCCESS"):
+    spark = df.sparkSession
+    if _exists(spark, f"{target}/_SUCCESS"):
         raise GuardError(f"run {run_id} of {table} exists already")
-    # a folder without the marker is what a job left that died half-way
-    df.select(*columns).write.mode("overwrite").parquet(target)
+    if _exists(spark, target):  # a folder without the marker is what a job left that died half-way
+        _delete(spark, target)
+    staging = f"{table}/_staging-{run_id}-{uuid.uuid4().hex}"
+    try:
+        df.select(*columns).write.parquet(staging)
+        if not _renamed(spark, staging, target):
+            raise GuardError(f"run {run_id} of {table} exists already: another writer ended first")
+    finally:
+        _delete(spark, staging)
     return target
 
 
+def _renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder in one step; False where the target is there already."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    old, new = fs.Path(_root(spark, source)), fs.Path(_root(spark, target))
+    context = fs.FileContext.getFileContext(old.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(old, new, spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0))
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)

@@ -132,6 +132,17 @@ def test_run_sink_never_overwrites(spark, tmp_path):
     }
 
 
+def test_two_writers_of_one_run(spark, tmp_path, monkeypatch):
+    """Both have passed the first check; the one that ends later raises and changes nothing."""
+    table = str(tmp_path / "core")
+    monkeypatch.setattr(tables, "_exists", lambda *_: False)
+    tables.append_run(spark.range(3), table, "RUN-001")
+    with pytest.raises(GuardError, match="another writer"):
+        tables.append_run(spark.range(7), table, "RUN-001")
+    assert spark.read.parquet(table).count() == 3
+    assert [p.name for p in (tmp_path / "core").iterdir()] == ["pipeline_run_id=RUN-001"]
+
+
 def test_read_table_refuses_other_columns(spark, tmp_path):
     from pyspark.sql import types as T
 
