@@ -39,11 +39,13 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, apart: Column,
 
 
 def language_rows(docs: DataFrame, apart: Column, per_language: int, most_languages: int = 1000) -> DataFrame:
-    """(place, text, lang, label) of about per_language rows of each language, chosen by hash; the label is NULL."""
+    """(place, text, lang, label) of about per_language rows of each language, chosen by hash; the label is NULL.
+
+    The most_languages languages with the most rows are learned, in ties the first
+    by name; rarer ones, such as misspelt tags, are never predicted.
+    """
     known = docs.where(~apart & F.col("lang").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    if counts.limit(most_languages + 1).count() > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(most_languages)
     share = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(float(per_language)) / F.col("rows") * F.lit(float(1 << 40))
     chosen = known.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(counts), "lang").where(share)
     return chosen.select(F.xxhash64("doc_id", F.lit(1)).alias("place"), "text", "lang", F.lit(None).cast("int").alias("label"))
@@ -60,7 +62,8 @@ def fitted(rows: DataFrame, make: Callable[[pa.Table], object]):
         table = pa.Table.from_batches([b.cast(ROWS) for b in batches], ROWS).sort_by([("place", "ascending"), ("text", "ascending")])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(table.combine_chunks()))], pa.binary())], ["model"])
 
-    found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
+    # shuffled, so that the scan stays with all tasks and only the sample meets in one
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
     model = pickle.loads(found[0].model) if found else make(ROWS.empty_table())
     return rows.sparkSession.sparkContext.broadcast(model)
 
