@@ -19,6 +19,8 @@ from riskpanel.functions.frames import GuardError, hot_keys, salt_few, salt_many
 from riskpanel.session import cut_lineage, kept
 
 c = F.col
+#: Levels that are walked before chains are looked for; most graphs end there.
+SHALLOW = 8
 #: Levels whose tables are merged into one, so that plans stay short.
 MERGE_AFTER = 8
 
@@ -106,17 +108,21 @@ def _visited(parts: int) -> Iterator[_Visited]:
             frame.unpersist()
 
 
-def nearest(short: DataFrame, starts: DataFrame, share: float | None = None) -> DataFrame:
+def nearest(short: DataFrame, starts: DataFrame, share: float | None = None, levels: int | None = None) -> DataFrame | None:
     """``(node_id, depth)`` of all nodes that ways ``(tail, head, length)`` lead to, by the shortest one.
 
     The ways are partitioned by their tail once, the tails of hubs in several
-    parts, and kept.
+    parts, and kept. None where something is left to walk after ``levels``.
     """
     hot = cut_lineage(hot_keys(short, ["tail"], share))
     placed = salt_many(short, hot, ["tail"], c("head")).repartition("tail", "_salt")
     with kept(placed) as ways, _visited(shuffle_parts(short)) as visited:
         frontier = visited.add(cut_lineage(starts.select("node_id", F.lit(0).cast("bigint").alias("depth"))))
+        turn = 0
         while not frontier.isEmpty():
+            if turn == levels:
+                return None
+            turn += 1
             ahead = salt_few(frontier.select(c("node_id").alias("tail"), "depth"), hot, ["tail"])
             met = ways.join(ahead, ["tail", "_salt"]).select(c("head").alias("node_id"), (c("depth") + c("length")).alias("depth"))
             frontier = visited.add(cut_lineage(visited.nearer(met)))
@@ -124,7 +130,10 @@ def nearest(short: DataFrame, starts: DataFrame, share: float | None = None) ->
 
 
 def distances(hops: DataFrame, starts: DataFrame, share: float | None = None) -> DataFrame:
-    """``(node_id, depth)``: fewest steps from any start, over chains at once."""
+    """``(node_id, depth)``: fewest steps from any start. Deep graphs are walked over chains at once."""
+    found = nearest(hops.select("tail", "head", F.lit(1).cast("bigint").alias("length")), starts, share, SHALLOW)
+    if found is not None:
+        return found
     short, inner = without_chains(hops, starts)
     found = nearest(short, starts, share)
     if inner is None:

@@ -31,8 +31,9 @@ def bfs(pairs, ids):
     return depth
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_distances(spark, seed):
+@pytest.mark.parametrize(("seed", "shallow"), [(0, 0), (1, 0), (1, 8)])
+def test_distances(spark, monkeypatch, seed, shallow):
+    monkeypatch.setattr(walks, "SHALLOW", shallow)
     draw = random.Random(seed)
     n = 60
     pairs = {(draw.randrange(n), draw.randrange(n)) for _ in range(draw.choice([50, 70, 150]))}
