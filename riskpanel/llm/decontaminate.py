@@ -28,8 +28,9 @@ are one), a unit if it follows a number and is listed, a name if it begins with
 capital A-Z and no sentence begins there. Words shouted in capitals throughout are
 no names.
 
-Rules: null texts and those without words match nothing, and neither does an item of
-fewer than four words (SHORT_WORDS): so little stands in clean texts by chance; rows that repeat give repeated results; documents
+Rules: null texts and those without words match nothing; an item of one or two words
+is met wherever these words stand, but a document is dropped only for a match of four
+words at least (LEAST_WORDS), since fewer stand in clean texts by chance; rows that repeat give repeated results; documents
 with a null doc_id are treated like others. Empty tables give an empty result.
 """
 
@@ -54,8 +55,8 @@ LEAST_SHARE = 0.5
 ENOUGH_WORDS = 50
 #: Literal words of a whole short item that is met by its template.
 SHORT_LITERAL = 3
-#: Words of an item that is met word by word, at least.
-SHORT_WORDS = 4
+#: Matched words for which a document is dropped, at least.
+LEAST_WORDS = 4
 #: Words by which neighbouring matches of one alignment may be shifted.
 SLACK = 8
 #: Shares of slots with one value each, of slots copied, and of literal words of the item, each enough alone.
@@ -207,7 +208,7 @@ def _item_spans(forms: tuple[Form, Form, Form], window: int, least: int):
             short &= _holds_name(forms, first, end)
         yield WHOLE, form, first[short], end[short]
     first, end = plain.bounds[:-1], plain.bounds[1:]
-    short = (end - first >= SHORT_WORDS) & (end - first < window)
+    short = (end > first) & (end - first < window)
     yield WHOLE_PLAIN, plain, first[short], end[short]
 
 
@@ -366,6 +367,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, lea
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
-    found = contaminated(spark, docs, benchmark, **parameters).select("id", "text_hash")
+    """The rows of docs that hold no benchmark item by LEAST_WORDS words or more, with all their columns."""
+    found = contaminated(spark, docs, benchmark, **parameters).where(F.col("matched_words") >= LEAST_WORDS).select("id", "text_hash")
     return without(docs, Scratch(spark, "benchmark-kept"), found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"]))

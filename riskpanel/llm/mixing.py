@@ -128,7 +128,11 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """The rows of docs that the mix takes, with all their columns, and mix_copies, how often it takes each."""
+    """The rows of docs that the mix takes, with all their columns, and mix_copies, how often it takes each.
+
+    A column of that name in docs is replaced.
+    """
+    docs = docs.drop("mix_copies")
     _, limits = source_limits(Scratch(spark, "mixing"), docs, weights, most)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mixed_row"), docs["source"].alias("mixed_source"), row_hash().alias("mixed_hash"))
     taken = whole.join(limits, F.col("mixed_source").eqNullSafe(F.col("of"))).withColumn("mixed_copies", copies_of("mixed_hash"))

@@ -6,8 +6,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from riskpanel.llm import exact_dedup, near_dedup, substring_dedup
+from riskpanel.llm import exact_dedup, mixing, near_dedup, substring_dedup
 
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -157,3 +158,21 @@ def test_empty_tables(spark, frame):
     assert exact_dedup.keep_one_of_each(spark, docs).count() == 0
     assert near_dedup.near_duplicate_groups(spark, docs).count() == 0
     assert substring_dedup.remove_repeats(spark, docs).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark, frame):
+    """Names that the stages use themselves, null ids, nulls, repeated rows: every text once, with its own columns."""
+    names = ("key_0", "key_1", "row", "kept_row", "digest", "_may_match", "_place", "_part", "_bits", "dropped_id", "found_id", "found_hash", "mix_copies")
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (None, "g h i j k l m"), (7, "g h i j k l m")]
+    docs = frame(texts).drop("digest", "kept").withColumns({n: F.lit("own") for n in names})
+    once = exact_dedup.keep_one_of_each(spark, docs)
+    assert once.columns == docs.columns and {tuple(r[n] for n in names) for r in once.collect()} == {("own",) * len(names)}
+    assert sorted(r.doc_id for r in once.collect()) == [2, 4, 7]
+    near = near_dedup.keep_one_of_each_group(spark, docs)
+    assert near.columns == docs.columns
+    assert {r.doc_id for r in near.collect()} == {None, 1, 3, 4}
+    mixed = mixing.mixed_documents(spark, docs)
+    assert mixed.columns == [c for c in docs.columns if c != "mix_copies"] + ["mix_copies"]
+    assert {r.mix_copies for r in mixed.collect()} <= {1, 2, 3}
+    for stage in (exact_dedup.keep_one_of_each, near_dedup.keep_one_of_each_group):
+        assert stage(spark, docs.where("false")).count() == 0

@@ -207,3 +207,12 @@ def test_values_that_fall_together_and_single_changed_slots_are_found(spark, fra
         items[1].replace("before Anna", "before Ana"),
     ]
     assert held(spark, frame, items, texts) == [(0, 0), (1, 1)]
+
+
+def test_one_or_two_words_drop_nothing(spark, frame):
+    benchmark = spark.createDataFrame([(1, "Yes"), (2, "Blue whales"), (3, "What is the capital of France?")], "item_id long, text string")
+    texts = [(1, "Well yes that is fine by me and more"), (2, "many blue whales swim"), (3, "he asked: What is the capital of France? Nobody knew"), (4, None), (None, "so what")]
+    docs = frame(texts).withColumn("key_0", F.lit(1)).withColumn("row", F.lit("r")).withColumn("_may_match", F.lit(True))
+    kept = decontaminate.without_contaminated(spark, docs, benchmark)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 4, None}
