@@ -346,7 +346,9 @@ class Index:
         self.scratch = scratch
         squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
         self.square = max(float(rows.agg(F.max(squares).alias("s")).first().s or 0), 1.0) * (1 + 1e-12)
-        sample = [r.x for r in rows.orderBy(F.xxhash64("vec_id", "x"), "vec_id", "x").select("x").limit(SAMPLE).collect()]
+        # written first: a collected limit would send the driver as many rows from every task
+        least = rows.orderBy(F.xxhash64("vec_id", "x"), "vec_id", "x").select("x").limit(SAMPLE)
+        sample = [r.x for r in scratch.store(least, "sample").collect()]
         unit = augmented(np.array(sample, np.int64), self.square)
         self.pivots = unit[farthest_first(unit, 0.0, pivots)[0]]
         placed = rows.mapInArrow(_cells(self.pivots, self.square), f"{ROW}, cell int, away double, number long")
@@ -354,9 +356,10 @@ class Index:
         sizes = {r.cell: r for r in self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("away")).collect()}
         #: Covering angle of every cell; -1 for cells without rows.
         self.cover = np.array([sizes[i].away + SLACK if i in sizes else -1.0 for i in range(len(self.pivots))])
-        parts = F.array(*[F.lit(max(1, math.ceil(sizes[i].n / block)) if i in sizes else 1) for i in range(len(self.pivots))])
+        #: Number of blocks that the rows of a cell are dealt to.
+        self.parts = F.get(F.array(*[F.lit(max(1, math.ceil(sizes[i].n / block)) if i in sizes else 1) for i in range(len(self.pivots))]), F.col("cell"))
         # by place as well, so that repeated rows part too
-        self.part = F.pmod(F.xxhash64("vec_id", "number"), F.get(parts, F.col("cell"))).cast("int")
+        self.part = F.pmod(F.xxhash64("vec_id", "number"), self.parts).cast("int")
         blocks = self.rows.withColumn("part", self.part).groupBy("cell", "part")
         self.trees = scratch.store(blocks.applyInArrow(_trees(self.square), "cell int, part int, rows long, tree array<binary>"), "trees")
 
@@ -387,8 +390,9 @@ class Index:
         columns = [f.name for f in raised.schema.fields]
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in raised.schema.fields)
         far = raised.select(*columns).mapInArrow(_open_cells(self.pivots, self.cover, self.square), f"{kinds}, cell int")
-        blocks = self.trees.select("cell", "part")
-        other = far.join(blocks, "cell").where((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part"))).drop("home", "home_part")
+        # the blocks are counted out, not joined: Spark takes the queries, many times what it guesses, for the side to broadcast
+        blocks = far.withColumn("part", F.explode(F.sequence(F.lit(0), (self.parts - 1).cast("int"))))
+        other = blocks.where((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part"))).drop("home", "home_part")
         order = Window.partitionBy("query", "anchor_id").orderBy(F.col("score").desc(), "vec_id", "label")
         found = near.unionByName(self.ask(other, k, same, f"{name}-far"))
         return self.scratch.store(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), name)

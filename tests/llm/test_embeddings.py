@@ -159,3 +159,22 @@ def test_repeated_rows_part(spark):
     scratch = Scratch(spark, "test")
     index = hard_negatives.Index(scratch, scratch.store(hard_negatives.clean_rows(frame(spark, rows), False), "rows"), block=50)
     assert index.trees.agg(F.max("rows")).first()[0] < 120 and index.trees.agg(F.sum("rows")).first()[0] == len(rows)
+
+
+def test_questions_and_samples_stay_off_the_driver(spark, monkeypatch):
+    """Queries grow with rows times blocks: they are broadcast nowhere, and the sample's limit is taken by tasks."""
+    from riskpanel.llm.store import Scratch
+
+    plans, store = {}, Scratch.store
+
+    def noted(self, frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return store(self, frame, name)
+
+    monkeypatch.setattr(Scratch, "store", noted)
+    rows = clustered(600, 6, 4)
+    found = hard_negatives.mine(spark, frame(spark, rows)).collect()
+    assert Counter(tuple(r) for r in found) == brute_negatives(rows, False)
+    assert "sample" in plans
+    for name in ("positives-far-asked", "negatives-far-asked"):
+        assert "Broadcast" not in plans[name]
