@@ -5,11 +5,16 @@ run along the whole text, the maximum of each filter over all places is kept, an
 a linear layer gives a logit. The first coordinate of the embedding starts from
 the class log odds of its words, so that the filters soon look at the right places.
 
-The classifier is fitted on a bounded sample (`per_class` rows of each label). A
-quarter of the sample sets the calibration: a common slope, and per language an
-intercept that shrinks to the common one where there are few rows. So each
-language has a threshold of its own on the logit where the score is 0.7. The
-language of a text is guessed from its words; the lang column is never an input.
+The classifier is fitted on all labelled rows that are not held out. They are dealt
+to blocks of about a thousand rows by a hash of doc_id. In each of ROUNDS rounds
+every block trains the common weights on its rows, EPOCHS times over, and the
+changes are averaged: over all rows, or for a word over the blocks that hold it.
+Log odds are counted over all blocks. A quarter of all these rows is not trained on
+and sets the calibration: a common slope, and per language an intercept that
+shrinks to the common one where there are few rows. So each language has a
+threshold of its own on the logit where the score is 0.7. The language of a text
+is guessed from its words, counted by hash over all labelled rows; the lang column
+is never an input.
 
 Rules: a null text is empty, and an empty text gets the score of a text without
 any sign; without a labelled row of both classes every score is the share of toxic
@@ -18,18 +23,22 @@ rows (0 if there are none).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskpanel.llm import arrays, samples
-from riskpanel.llm.language_id import LanguageModel
-from riskpanel.llm.store import bounded_batches
+from riskpanel.llm.store import Scratch, bounded_batches
 
-PER_CLASS = 3000
+ROUNDS, EPOCHS = 3, 2
+#: Counts of words by language that a model holds, and languages that have a threshold of their own.
+WORD_COUNTS, LANGUAGES = 1 << 20, 1000
 BUCKET_BITS = 18
 DEPTH = 8
 FILTERS = 8
@@ -91,12 +100,9 @@ class TextCnn:
         self.top = np.full(FILTERS * len(WIDTHS), 0.2, np.float32)
         self.bias = np.full(1, -1, np.float32)
 
-    def start_from(self, buckets: list[np.ndarray], labels: np.ndarray) -> None:
-        """First coordinate: log odds of the texts with a bucket, in standard errors."""
-        held = np.zeros((2, 1 << BUCKET_BITS))
-        for words, label in zip(buckets, labels, strict=True):
-            held[label, np.unique(words)] += 1
-        count = np.bincount(labels, minlength=2)[:, None]
+    def start_from(self, held: np.ndarray, count: np.ndarray) -> None:
+        """First coordinate: log odds of the texts with a bucket, in standard errors; held[label] of count[label] texts have it."""
+        count = count[:, None]
         odds = np.log((held + 0.5) / (count - held + 0.5))
         error = np.sqrt((1 / (held + 0.5) + 1 / (count - held + 0.5)).sum(0))
         start = np.clip((odds[1] - odds[0]) / error / 4, -2, 2)
@@ -104,6 +110,10 @@ class TextCnn:
         start[0] = 0
         self.embedding[:, 0] = start
 
+    def dense(self) -> list[np.ndarray]:
+        """The weights beside the embedding; changing them changes the model."""
+        return [*self.filters.values(), *self.biases.values(), self.top, self.bias]
+
     def convolved(self, vectors: np.ndarray) -> np.ndarray:
         """Response of every filter at every place."""
         out = np.zeros((len(vectors), FILTERS * len(WIDTHS)), np.float32)
@@ -172,18 +182,78 @@ class TextCnn:
                 rule.step("embedding", self.embedding, total, distinct)
 
 
-def fit_calibration(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int, shrink: float = 4.0) -> tuple[float, float, np.ndarray]:
-    """(slope, intercept, offset by group) of a weighted logistic fit; offsets are pulled to 0. Newton's method."""
-    design = np.concatenate([logit[:, None], np.ones((len(logit), 1)), np.eye(n)[group]], 1)
+class Languages:
+    """Guesses of the language of a text by its words, of which hashes to buckets are counted."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.bits = max(4, min(BUCKET_BITS, int(np.log2(WORD_COUNTS / max(len(names), 1)))))
+        self.size = len(names) << self.bits
+        self.logs = None
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, arrays.Words]:
+        found = arrays.words(pc.utf8_lower(texts.fill_null("")), arrays.LETTER_WORDS)
+        return (found.hashes() >> np.uint64(64 - self.bits)).astype(np.int64), found
+
+    def counts(self, texts: pa.Array, langs: list[str | None]) -> np.ndarray:
+        """Words by language and bucket."""
+        number = {x: i for i, x in enumerate(self.names)}
+        of = np.array([number.get(x, -1) for x in langs], np.int64)
+        bucket, found = self._words(texts)
+        language = of[found.text_of_word()]
+        known = language >= 0
+        return np.bincount((language[known] << self.bits) + bucket[known], minlength=self.size).astype(float)
+
+    def learn(self, counts: np.ndarray, least: int = 2, smooth: float = 0.5) -> None:
+        """Log frequencies of the buckets; rarer ones say nothing."""
+        counts = counts.reshape(len(self.names), 1 << self.bits).T
+        total = counts.sum(0)
+        logs = np.log(counts + smooth) - np.log(total + smooth * max(int((counts.sum(1) > 0).sum()), 1))
+        logs[counts.sum(1) < least] = 0
+        self.logs = logs.astype(np.float32)
+
+    def guess(self, texts: pa.Array) -> np.ndarray:
+        """Number of the likeliest language; the number of languages where no word is known."""
+        if not self.names:
+            return np.zeros(len(texts), np.int64)
+        bucket, found = self._words(texts)
+        first = found.data[found.starts]
+        logs = np.where(((first >= 0x30) & (first <= 0x39))[:, None], 0, self.logs[bucket])
+        prefix = np.concatenate((np.zeros((1, len(self.names))), np.cumsum(logs, axis=0, dtype=np.float64)))
+        total = prefix[found.bounds[1:]] - prefix[found.bounds[:-1]]
+        return np.where(np.ptp(total, axis=1) > 0, total.argmax(1), len(self.names))
+
+
+def calibration_sums(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int, beta: np.ndarray) -> np.ndarray:
+    """Per group the sums of a logistic fit's gradient and second derivatives: 5 of them for each of n groups."""
+    p = sigmoid(beta[0] * logit + beta[1] + beta[2:][group])
+    error, bend = weight * (p - label), weight * p * (1 - p)
+    return np.concatenate([np.bincount(group, v, n) for v in (error, error * logit, bend, bend * logit, bend * logit**2)])
+
+
+def fit_calibration(sums: Callable[[np.ndarray], np.ndarray], n: int, shrink: float = 4.0) -> tuple[float, float, np.ndarray]:
+    """(slope, intercept, offset by group) of a weighted logistic fit; offsets are pulled to 0. Newton's method.
+
+    `sums` gives the calibration_sums over all rows at a point.
+    """
     ridge = np.diag([1e-3, 1e-6] + [shrink] * n)
     beta = np.zeros(n + 2)
     beta[0] = 1.0
     pull = np.zeros(n + 2)
     pull[0] = 1.0
     for _ in range(50):
-        p = sigmoid(design @ beta)
-        gradient = design.T @ (weight * (p - label)) + ridge @ (beta - pull)
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge
+        error, error_logit, bend, bend_logit, bend_square = sums(beta).reshape(5, n)
+        gradient = np.concatenate([[error_logit.sum(), error.sum()], error]) + ridge @ (beta - pull)
+        hessian = ridge.copy()
+        hessian[0, 0] += bend_square.sum()
+        hessian[1, 1] += bend.sum()
+        hessian[0, 1] += bend_logit.sum()
+        hessian[1, 0] += bend_logit.sum()
+        hessian[0, 2:] += bend_logit
+        hessian[2:, 0] += bend_logit
+        hessian[1, 2:] += bend
+        hessian[2:, 1] += bend
+        hessian[2:, 2:] += np.diag(bend)
         step = np.linalg.solve(hessian, gradient)
         beta -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
@@ -194,41 +264,14 @@ def fit_calibration(logit: np.ndarray, label: np.ndarray, weight: np.ndarray, gr
 class ToxicityModel:
     """The classifier, the language guesser and the calibration."""
 
-    def __init__(self, rows: pa.Table, counts: dict[int, int]):
-        label = np.asarray(rows.column("label")).astype(np.int64)
+    def __init__(self, counts: dict[int, int]):
         total = sum(counts.values())
         self.constant = counts[1] / total if total else 0.0
-        self.fitted = len(label) > 0 and 0 < label.sum() < len(label)
-        self.languages = LanguageModel(rows.filter(pc.is_valid(rows.column("lang"))).select(["text", "lang"]).combine_chunks(), spell=False)
-        if not self.fitted:
-            return
-        texts = []
-        for batch in rows.to_batches():
-            for part in arrays.slices(batch):
-                buckets, first = padded_buckets(part.column("text"))
-                texts += np.split(buckets, first[1:])
-        apart = np.arange(len(label)) % 4 == 3
-        if label[apart].min(initial=1) == label[apart].max(initial=0):
-            apart = np.ones(len(label), bool)
-        learn = np.flatnonzero(~apart) if not apart.all() else np.arange(len(label))
-        self.cnn = TextCnn()
-        self.cnn.start_from([texts[i] for i in learn], label[learn])
-        self.cnn.fit([texts[i] for i in learn], label[learn])
-        held = rows.filter(pa.array(apart))
-        logit, group = [], []
-        for batch in held.to_batches():
-            for part in arrays.slices(batch):
-                logit.append(self.cnn.logits(part.column("text")))
-                group.append(self.languages.guess(part.column("text")))
-        # classes are sampled evenly, so each row stands for its class in all labelled rows
-        share = np.array([counts[0], counts[1]]) / np.bincount(label[apart], minlength=2)
-        weight = share[label[apart]]
-        weight *= len(weight) / weight.sum()
-        self.slope, self.intercept, self.offsets = fit_calibration(np.concatenate(logit), label[apart], weight, np.concatenate(group), len(self.languages.languages) + 1)
+        self.fitted = False
 
     def thresholds(self, score: float = THRESHOLD) -> dict[str, float]:
         """The logit at which each language reaches the score."""
-        names = [*self.languages.languages, "other"]
+        names = [*self.languages.names, "other"]
         return {x: float((np.log(score / (1 - score)) - self.intercept - o) / self.slope) for x, o in zip(names, self.offsets, strict=True)}
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -237,28 +280,164 @@ class ToxicityModel:
         return sigmoid(self.slope * self.cnn.logits(texts) + self.intercept + self.offsets[self.languages.guess(texts)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, apart: Column, per_class: int):
-    """The broadcast model of a bounded sample of the labelled rows that are not held apart."""
-    rows, counts = samples.labelled_rows(docs, labels, "toxic", apart, per_class)
-    return samples.fitted(rows, lambda table: ToxicityModel(table, counts))
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes, part: str | None = None) -> tuple[pa.Table, np.ndarray]:
+    """(rows, labels) of a block: all, those to `learn` from or those to `calibrate` by."""
+    rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+    apart = np.arange(len(rows)) % 4 == 3
+    if part:
+        rows = rows.filter(pa.array(apart if part == "calibrate" else ~apart))
+    return rows, np.asarray(rows.column("label")).astype(np.int64)
+
+
+def _texts(rows: pa.Table) -> list[np.ndarray]:
+    """Padded buckets of every text."""
+    texts = []
+    for batch in rows.to_batches():
+        for part in arrays.slices(batch):
+            buckets, first = padded_buckets(part.column("text"))
+            texts += np.split(buckets, first[1:])
+    return texts
+
+
+def _class_counts(data: bytes) -> np.ndarray:
+    """Rows by class among all, and among those to calibrate by."""
+    return np.concatenate([np.bincount(_unpacked(data, part)[1], minlength=2) for part in (None, "calibrate")]).astype(float)
+
+
+def _held(data: bytes, part: str | None) -> np.ndarray:
+    """Texts with each bucket by class, and texts by class."""
+    rows, label = _unpacked(data, part)
+    held = np.zeros((2, 1 << BUCKET_BITS))
+    for words, y in zip(_texts(rows), label, strict=True):
+        held[y, np.unique(words)] += 1
+    return np.concatenate([held.ravel(), np.bincount(label, minlength=2)])
+
 
+def _changes(data: bytes, part: str | None, cnn: TextCnn, seed: int) -> np.ndarray:
+    """What training on a block changes: the embedding and the blocks that changed its rows, then other weights by rows, and rows."""
+    rows, label = _unpacked(data, part)
+    own = copy.deepcopy(cnn)
+    if len(label):
+        own.fit(_texts(rows), label, EPOCHS, seed=seed)
+    moved = own.embedding.astype(float) - cnn.embedding
+    dense = [len(label) * (a.astype(float) - b).ravel() for a, b in zip(own.dense(), cnn.dense(), strict=True)]
+    return np.concatenate([moved.ravel(), moved.any(axis=1), *dense, [len(label)]])
 
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+
+def _language_counts(blocks: DataFrame) -> list[str]:
+    """The languages of the labelled rows, the commonest LANGUAGES of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                seen = pc.value_counts(_unpacked(data.as_py())[0].column("lang").drop_null())
+                yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["lang", "rows"])
+
+    found = blocks.select("data").mapInArrow(run, "lang string, rows long").groupBy("lang").agg(F.sum("rows").alias("rows"))
+    return sorted(r.lang for r in found.orderBy(F.col("rows").desc(), "lang").limit(LANGUAGES).collect())
+
+
+def _languages(blocks: DataFrame) -> Languages:
+    languages = Languages(_language_counts(blocks))
+
+    def count(data: bytes) -> np.ndarray:
+        total = np.zeros(languages.size)
+        for batch in _unpacked(data)[0].to_batches():
+            for part in arrays.slices(batch):
+                total += languages.counts(part.column("text"), part.column("lang").to_pylist())
+        return total
+
+    languages.learn(samples.summed(blocks, count, languages.size))
+    return languages
+
+
+def _trained(blocks: DataFrame, part: str | None) -> TextCnn:
+    """The classifier after all rounds."""
+    context = blocks.sparkSession.sparkContext
+    cnn = TextCnn()
+    held = samples.summed(blocks, lambda data: _held(data, part), (2 << BUCKET_BITS) + 2)
+    cnn.start_from(held[:-2].reshape(2, -1), held[-2:])
+    rest = [w.size for w in cnn.dense()]
+    for seed in range(ROUNDS):
+        sent = context.broadcast(cnn)
+        total = samples.summed(blocks, lambda data: _changes(data, part, sent.value, 11 + seed), ((DEPTH + 1) << BUCKET_BITS) + sum(rest) + 1)
+        sent.destroy()
+        moved, touched, dense = np.split(total[:-1], [DEPTH << BUCKET_BITS, (DEPTH + 1) << BUCKET_BITS])
+        cnn.embedding += (moved.reshape(-1, DEPTH) / np.maximum(touched, 1)[:, None]).astype(np.float32)
+        for weights, change in zip(cnn.dense(), np.split(dense, np.cumsum(rest)[:-1]), strict=True):
+            weights += (change / total[-1]).reshape(weights.shape).astype(np.float32)
+    return cnn
+
+
+def fit(docs: DataFrame, labels: DataFrame, apart: Column):
+    """The broadcast model of all labelled rows that are not held apart."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    blocks, counts = samples.labelled_blocks(scratch, docs, labels, "toxic", apart, packed)
+    model = ToxicityModel(counts)
+    held = samples.summed(blocks, _class_counts, 4).reshape(2, 2)
+    if not held[0].all():
+        return spark.sparkContext.broadcast(model)
+    # without both classes among the rows to calibrate by, all rows do both
+    learn, calibrate = ("learn", "calibrate") if held[1].all() else (None, None)
+    model.languages = _languages(blocks)
+    model.cnn = _trained(blocks, learn)
+    n = len(model.languages.names) + 1
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                rows, label = _unpacked(data.as_py(), calibrate)
+                parts = [part.column("text") for own in rows.to_batches() for part in arrays.slices(own)]
+                if parts:
+                    logit = np.concatenate([sent.value.cnn.logits(p) for p in parts]).astype(float)
+                    group = np.concatenate([sent.value.languages.guess(p) for p in parts])
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((logit, label, group))], pa.binary())], ["data"])
+
+    logits = scratch.store(blocks.select("data").mapInArrow(run, "data binary"), "logits")
+    sent.destroy()
+    # labels may lack a document, so each row stands for its class in all labels
+    rows = held[1] if calibrate else held[0]
+    share = np.array([counts[0], counts[1]]) / rows
+    share *= rows.sum() / (share * rows).sum()
+
+    def sums(beta: np.ndarray) -> np.ndarray:
+        def one(data: bytes) -> np.ndarray:
+            logit, label, group = pickle.loads(data)
+            return calibration_sums(logit, label, share[label], group, n, beta)
+
+        return samples.summed(logits, one, 5 * n)
+
+    model.slope, model.intercept, model.offsets = fit_calibration(sums, n)
+    model.fitted = True
+    scratch.drop("known", "blocks", "logits")
+    return spark.sparkContext.broadcast(model)
+
+
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     bounded_batches(spark)
     apart = samples.held_out(modulus, remainder)
-    model = fit(docs, labels, apart, per_class)
+    model = fit(docs, labels, apart)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", apart.alias("held_out")).mapInArrow(
         samples.scored(model, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int"
     )
 
 
-def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     bounded_batches(spark)
     apart = samples.held_out(modulus, remainder)
-    model = fit(docs, labels, apart, per_class)
+    model = fit(docs, labels, apart)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -86,3 +86,26 @@ def test_languages_beyond_the_bound_are_not_learned(spark, frame):
     texts = [(i, f"word{i} text", "en" if i < 30 else "de" if i < 50 else f"x{i}", "a") for i in range(70)]
     rows = samples.language_rows(frame(texts), F.lit(False), 1000, most_languages=2).collect()
     assert {r.lang for r in rows} == {"en", "de"} and len(rows) == 50
+
+
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic")])
+def test_every_labelled_row_is_in_the_fit(spark, frame, monkeypatch, module, label):
+    """More rows of a class than the 3,000 or 4,000 of former samples: all are in the blocks that the fit reads, once."""
+    from riskpanel.llm import samples
+
+    n, rows = 9000, []
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id % 7, ' text', IF(id % 2 = 1, ' awful', '')) AS text", "'en' AS lang")
+    marks = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 2 AS INT) AS toxic")
+    first = samples.labelled_blocks
+
+    def noted(scratch, docs, labels, label, apart, pack):
+        blocks, counts = first(scratch, docs, labels, label, apart, lambda t: str(t.column("place").to_pylist()).encode())
+        rows.extend(x for r in blocks.collect() for x in eval(bytes(r.data).decode()))
+        return first(scratch.__class__(spark, "again"), docs, labels, label, apart, pack)
+
+    monkeypatch.setattr(samples, "labelled_blocks", noted)
+    found = module.score(spark, docs, marks).collect()
+    learned = [r for r in found if not r.held_out]
+    assert len(rows) == len(set(rows)) == len(learned) > 5000
+    held = [(r.score, r.doc_id % 2) for r in found if r.held_out]
+    assert auc(held) > 0.99
