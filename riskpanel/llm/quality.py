@@ -3,8 +3,8 @@
 Each pair of a good and a bad document says that the first is preferred. A
 document's strength is linear in its features, the chance that one is preferred
 is the logistic function of the difference of strengths, and the weights minimise
-the logistic loss over feature differences of many pairs. The decision threshold
-is a quantile of the strengths: the share of bad documents among the labelled
+the logistic loss over feature differences of pairs. The decision threshold
+is a quantile of the strengths: the share of bad documents among all labelled
 rows. The score is the logistic function of the strength above that quantile,
 placed so that it is 0.7 at the threshold.
 
@@ -12,23 +12,30 @@ Features are measured on the whole text: word and line lengths, shares of
 capitals, digits, blanks and kinds of marks, and the shares of distinct words,
 word pairs and lines.
 
-The ranking is fitted on a bounded sample (`per_class` rows of each label).
+The ranking is fitted on all labelled rows that are not held out. They are dealt to
+blocks of about a thousand rows by a hash of doc_id, and each row is compared with
+all rows of the other class in its block, so the work grows with the rows. Means,
+deviations and the quantile are those of all these rows.
 Rules: a null text is empty; without labelled rows of both classes every score is
 the share of good rows (0 if there are none).
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskpanel.llm import arrays, samples
-from riskpanel.llm.store import bounded_batches
+from riskpanel.llm.store import Scratch, bounded_batches
 
-PER_CLASS = 4000
-PAIRS = 60_000
 THRESHOLD = 0.7
+#: Bins of a histogram of strengths.
+BINS = 1024
 
 _LINE = np.zeros(256, bool)
 _LINE[0x0A] = True
@@ -106,36 +113,14 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 class BradleyTerry:
-    def __init__(self, rows: np.ndarray, label: np.ndarray, counts: dict[int, int], pairs: int = PAIRS, ridge: float = 1e-4, seed: int = 5):
-        """Fit weights on pairs of good and bad rows, and the threshold on the quantile of strengths."""
+    def __init__(self, counts: dict[int, int]):
         total = sum(counts.values())
         self.constant = counts[1] / total if total else 0.0
-        self.fitted = len(label) > 0 and 0 < label.sum() < len(label)
-        if not self.fitted:
-            return
-        self.middle, self.scale = rows.mean(0), rows.std(0)
-        self.scale[self.scale < 1e-9] = 1
-        held = self._laid_out(rows)
-        draw = np.random.default_rng(seed)
-        good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-        difference = held[draw.choice(good, pairs)] - held[draw.choice(bad, pairs)]
-        weights = np.zeros(held.shape[1])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(np.clip(difference @ weights, -40, 40)))  # chance that the worse one is preferred
-            gradient = ridge * weights - difference.T @ p / pairs
-            hessian = (difference * (p * (1 - p))[:, None]).T @ difference / pairs + (ridge + 1e-9) * np.eye(len(weights))
-            step = np.linalg.solve(hessian, gradient)
-            weights -= step * min(1.0, 5 / max(np.linalg.norm(step), 1e-12))
-            if np.abs(step).max() < 1e-8:
-                break
-        self.weights = weights
-        # each sampled row stands for its class in all labelled rows
-        strength = held @ weights
-        order = np.argsort(strength, kind="stable")
-        share = np.array([counts[0], counts[1]]) / np.bincount(label, minlength=2)
-        mass = np.cumsum(share[label[order]])
-        at = int(np.searchsorted(mass, mass[-1] * counts[0] / total))
-        self.threshold = float(strength[order[min(at, len(order) - 1)]])
+        self.fitted = False
+
+    def scaled_by(self, middle: np.ndarray, scale: np.ndarray) -> None:
+        self.middle, self.scale = middle, np.where(scale < 1e-9, 1, scale)
+        self.weights = np.zeros(2 * len(middle))
 
     def _laid_out(self, rows: np.ndarray) -> np.ndarray:
         scaled = np.clip((rows - self.middle) / self.scale, -6, 6)
@@ -144,6 +129,18 @@ class BradleyTerry:
     def strengths(self, rows: np.ndarray) -> np.ndarray:
         return self._laid_out(rows) @ self.weights
 
+    def pair_sums(self, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Gradient and second derivatives of the loss over all pairs of a good and a bad row."""
+        held = self._laid_out(rows)
+        good, bad = held[label == 1], held[label == 0]
+        # chance that the worse one is preferred
+        p = 1 / (1 + np.exp(np.clip((good @ self.weights)[:, None] - (bad @ self.weights)[None], -40, 40)))
+        gradient = p.sum(0) @ bad - p.sum(1) @ good
+        w = p * (1 - p)
+        cross = good.T @ (w @ bad)
+        hessian = (good * w.sum(1)[:, None]).T @ good + (bad * w.sum(0)[:, None]).T @ bad - cross - cross.T
+        return np.concatenate([gradient, hessian.ravel()])
+
     def score(self, texts: pa.Array) -> np.ndarray:
         if not self.fitted:
             return np.full(len(texts), self.constant)
@@ -151,18 +148,82 @@ class BradleyTerry:
         return 1 / (1 + np.exp(-np.clip(above + np.log(THRESHOLD / (1 - THRESHOLD)), -40, 40)))
 
 
-def fit(rows: pa.Table, counts: dict[int, int]) -> BradleyTerry:
+def packed(rows: pa.Table) -> bytes:
+    """Features and labels of a block."""
     parts = [features(part.column("text")) for batch in rows.to_batches() for part in arrays.slices(batch)]
-    label = np.asarray(rows.column("label")).astype(np.int64)
-    return BradleyTerry(np.concatenate(parts) if parts else np.zeros((0, 1)), label, counts)
-
-
-def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, per_class: int = PER_CLASS) -> DataFrame:
+    return pickle.dumps((np.concatenate(parts), np.asarray(rows.column("label")).astype(np.int64)))
+
+
+def _moments(data: bytes) -> np.ndarray:
+    rows, label = pickle.loads(data)
+    return np.concatenate([np.bincount(label, minlength=2), rows.sum(0)])
+
+
+def quantile(strengths: DataFrame, share: np.ndarray, target: float) -> float:
+    """The least strength up to which the rows (strength, label), weighted by share[label], weigh `target`; nothing is sorted.
+
+    Histograms narrow down the rows until few or equal ones are left.
+    """
+    weight = F.when(F.col("label") == 1, float(share[1])).otherwise(float(share[0]))
+    rows = strengths.select("strength", weight.alias("weight"))
+    low, high = rows.agg(F.min("strength"), F.max("strength")).first()
+    below = 0.0
+    while low < high:
+        inside = rows.where(F.col("strength").between(low, high))
+        place = F.least(F.floor((F.col("strength") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = inside.groupBy(place.alias("bin")).agg(F.sum("weight").alias("weight"), F.min("strength").alias("low"), F.max("strength").alias("high")).collect()
+        bins.sort(key=lambda r: r.bin)
+        for r in bins:
+            low, high = r.low, r.high
+            if below + r.weight >= target - 1e-9 * abs(target):
+                break
+            below += r.weight
+        else:
+            return high
+    return low
+
+
+def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, apart: Column, ridge: float = 1e-4) -> BradleyTerry:
+    """Newton's method on the pairs of all blocks, and the threshold on the strengths of all labelled rows."""
+    blocks, counts = samples.labelled_blocks(scratch, docs, labels, "quality", apart, packed)
+    model = BradleyTerry(counts)
+    n = features(pa.array([""])).shape[1]
+    sums = samples.summed(blocks, _moments, n + 2)
+    held, total = sums[:2], sums[:2].sum()
+    if not held.all():
+        return model
+    middle = sums[2:] / total
+    spread = samples.summed(blocks, lambda data: ((pickle.loads(data)[0] - middle) ** 2).sum(0), n)
+    model.scaled_by(middle, np.sqrt(spread / total))
+    pairs = max(samples.summed(blocks, lambda data: np.array([np.prod(np.bincount(pickle.loads(data)[1], minlength=2))]), 1)[0], 1)
+    for _ in range(30):
+        sums = samples.summed(blocks, lambda data: model.pair_sums(*pickle.loads(data)), 2 * n * (2 * n + 1))
+        gradient = ridge * model.weights + sums[: 2 * n] / pairs
+        hessian = sums[2 * n :].reshape(2 * n, 2 * n) / pairs + (ridge + 1e-9) * np.eye(2 * n)
+        step = np.linalg.solve(hessian, gradient)
+        model.weights = model.weights - step * min(1.0, 5 / max(np.linalg.norm(step), 1e-12))
+        if np.abs(step).max() < 1e-8:
+            break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("data"):
+                rows, label = pickle.loads(data.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(model.strengths(rows)), pa.array(label.astype(np.int32))], ["strength", "label"])
+
+    strengths = scratch.store(blocks.select("data").mapInArrow(run, "strength double, label int"), "strengths")
+    # labels may lack a document, so each row stands for its class in all labels
+    model.threshold = quantile(strengths, np.array([counts[0], counts[1]]) / held, counts[0])
+    model.fitted = True
+    scratch.drop("known", "blocks", "strengths")
+    return model
+
+
+def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
     bounded_batches(spark)
     apart = samples.held_out(modulus, remainder)
-    rows, counts = samples.labelled_rows(docs, labels, "quality", apart, per_class)
-    model = samples.fitted(rows, lambda table: fit(table, counts))
+    model = spark.sparkContext.broadcast(fit(Scratch(spark, "quality"), docs, labels, apart))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", apart.alias("held_out")).mapInArrow(
         samples.scored(model, THRESHOLD), f"doc_id {kind}, held_out boolean, score double, predicted int"

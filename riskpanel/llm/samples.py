@@ -28,23 +28,6 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, apart: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(place, text, lang, label) of up to per_class rows of each class, chosen by hash, and the class counts of all rows.
-
-    Rows that are held apart never enter. Repeated ids count once, with the larger label and text.
-    """
-    known = labels.where(~apart & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    chosen = None
-    for value in (0, 1):
-        some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = some if chosen is None else chosen.union(some)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"), F.max("label").alias("label"))
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    return rows.select(F.xxhash64("doc_id", F.lit(1)).alias("place"), "text", "lang", "label"), {0: counts.get(0, 0), 1: counts.get(1, 0)}
-
-
 def labelled_blocks(scratch: Scratch, docs: DataFrame, labels: DataFrame, label: str, apart: Column, pack: Callable[[pa.Table], bytes]) -> tuple[DataFrame, dict[int, int]]:
     """(block, data) with every labelled row in one block of about BLOCK_ROWS rows and BLOCK_BYTES bytes, and the class counts of all labels.
 

@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy on the given tables, and their rules on odd rows."""
 
+import random
 import zlib
 
 import pytest
@@ -88,7 +89,7 @@ def test_languages_beyond_the_bound_are_not_learned(spark, frame):
     assert {r.lang for r in rows} == {"en", "de"} and len(rows) == 50
 
 
-@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic")])
+@pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_every_labelled_row_is_in_the_fit(spark, frame, monkeypatch, module, label):
     """More rows of a class than the 3,000 or 4,000 of former samples: all are in the blocks that the fit reads, once."""
     from riskpanel.llm import samples
@@ -109,3 +110,18 @@ def test_every_labelled_row_is_in_the_fit(spark, frame, monkeypatch, module, lab
     assert len(rows) == len(set(rows)) == len(learned) > 5000
     held = [(r.score, r.doc_id % 2) for r in found if r.held_out]
     assert auc(held) > 0.99
+
+
+def test_quantile_of_all_rows(spark):
+    """The exact weighted quantile, with ties, narrowed down over many rows."""
+    draw = random.Random(4)
+    rows = [(draw.choice([0.5, draw.gauss(0, 1), draw.gauss(0, 1e-9)]), draw.randrange(2)) for _ in range(3000)]
+    table = spark.createDataFrame(rows, "strength double, label int")
+    for target in (1, 700, 1234.5, 3000):
+        total, expected = 0.0, None
+        for s, y in sorted(rows):
+            total += (0.5, 1.5)[y]
+            if total >= target:
+                expected = s
+                break
+        assert quality.quantile(table, [0.5, 1.5], target) == (max(rows)[0] if expected is None else expected)
