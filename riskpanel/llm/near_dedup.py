@@ -183,7 +183,9 @@ class NearDuplicates:
         whole_need = F.ceil(self.percent * F.col("n") / 100)
         need = F.when(self._whole(F.col("n"), k), whole_need).otherwise(F.ceil(self.least_share * size)).cast("long")
         ordered = (
-            entries.groupBy("id", "n")
+            # dealt by id alone, as the join below needs them
+            entries.repartition("id")
+            .groupBy("id", "n")
             .agg(F.array_sort(F.collect_list(F.struct("times", "value"))).alias("shared"))
             .join(groups.select(F.col("stands").alias("id")).distinct(), "id", "left_semi")
             .withColumn("need", need)

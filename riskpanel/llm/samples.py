@@ -64,12 +64,12 @@ def labelled_blocks(scratch: Scratch, docs: DataFrame, labels: DataFrame, label:
     return scratch.store(found, "blocks"), counts
 
 
-def summed(blocks: DataFrame, sums: Callable[[bytes], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all blocks of the `size` numbers that `sums` makes of a block's data.
+def slices_summed(blocks: DataFrame, sums: Callable[[bytes], np.ndarray], size: int, width: int = SLICE, finish: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, bytes]]:
+    """(first place, bytes) of the slices, not all 0, of the sum over all blocks of the `size` numbers that `sums` makes of a block's data.
 
-    A task adds up its blocks, and slices of these sums are added up by Spark, so
-    that the driver gets `size` numbers however many tasks there are. Slices are
-    added in a fixed order.
+    A task adds up its blocks, and slices of `width` numbers are added up by Spark in
+    a fixed order, so that the driver gets `size` numbers however many tasks there
+    are, or what `finish` leaves of a slice that begins at a place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,29 +77,45 @@ def summed(blocks: DataFrame, sums: Callable[[bytes], np.ndarray], size: int) ->
         for batch in batches:
             for data in batch.column("data"):
                 total += sums(data.as_py())
-        for at in range(0, size, SLICE):
-            part = total[at : at + SLICE]
+        for at in range(0, size, width):
+            part = total[at : at + width]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["at", "sums"])
 
-    def add(table: pa.Table) -> pa.Table:
-        parts = sorted(x.as_py() for x in table.column("sums"))
+    def added(at: int, parts: list[bytes]) -> bytes:
+        parts = sorted(parts)
         total = np.frombuffer(parts[0]).copy()
         for part in parts[1:]:
             total += np.frombuffer(part)
-        return pa.table({"at": table.column("at")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return (finish(at, total) if finish else total).tobytes()
+
+    def add(table: pa.Table) -> pa.Table:
+        parts = table.column("sums").to_pylist()
+        return pa.table({"at": table.column("at")[:1], "sums": pa.array([added(table.column("at")[0].as_py(), parts)], pa.binary())})
+
+    def add_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [part for batch in batches for part in batch.column("sums").to_pylist()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([added(0, parts)], pa.binary())], ["at", "sums"])
 
     session = blocks.sparkSession
     before = session.conf.get(SHUFFLE_CLEANUP, "false")
     session.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        found = blocks.select("data").mapInArrow(run, "at int, sums binary").groupBy("at").applyInArrow(add, "at int, sums binary").collect()
+        parts = blocks.select("data").mapInArrow(run, "at int, sums binary")
+        # the parts of a single slice meet in one task in any case, so no others are started
+        found = parts.repartition(1).mapInArrow(add_only, "at int, sums binary") if size <= width else parts.groupBy("at").applyInArrow(add, "at int, sums binary")
+        return [(r.at, r.sums) for r in found.collect()]
     finally:
         session.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def summed(blocks: DataFrame, sums: Callable[[bytes], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all blocks of the `size` numbers that `sums` makes of a block's data."""
     total = np.zeros(size)
-    for r in found:
-        part = np.frombuffer(r.sums)
-        total[r.at : r.at + len(part)] = part
+    for at, data in slices_summed(blocks, sums, size):
+        part = np.frombuffer(data)
+        total[at : at + len(part)] = part
     return total
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from riskpanel.functions import key_filter
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits of the largest bit table: 16 MiB, whatever the input.
 MOST_BITS = 27
+#: Bits of a table that tasks make whole, 64 KB.
+SMALL_BITS = 19
 #: Rows and bytes of texts that a task holds as one Arrow batch.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -93,6 +97,10 @@ def bit_table(values: DataFrame, column: Column, n: int, least_bits: int = 15) -
     and results stay the same.
     """
     bits = min(MOST_BITS, max(least_bits, math.ceil(math.log2(16 * max(n, 1)))))
+    if bits <= SMALL_BITS:
+        # a task makes a table of its rows, and these few KB of each meet in one
+        found = values.select(column.cast("long").alias("value")).mapInArrow(_set_bits(bits), "bits binary").repartition(1).mapInArrow(_united, "bits binary").collect()
+        return np.frombuffer(found[0].bits, np.uint8) if found else np.zeros(1 << (bits - 3), np.uint8)
     place = (column.bitwiseAND(F.lit((1 << bits) - 1)) + 1).alias("place")
     parts = (
         values.select(place)
@@ -106,6 +114,31 @@ def bit_table(values: DataFrame, column: Column, n: int, least_bits: int = 15) -
     return table
 
 
+def _set_bits(bits: int):
+    """The bit table of a task's values, unless there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            at = np.asarray(batch.column("value")).view(np.uint64) & np.uint64((1 << bits) - 1)
+            np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["bits"])
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One table with the bits of all."""
+    table = None
+    for batch in batches:
+        for data in batch.column("bits"):
+            part = np.frombuffer(data.as_py(), np.uint8)
+            table = part if table is None else table | part
+    if table is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["bits"])
+
+
 def in_bit_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which 64-bit values the table may hold."""
     at = values.astype(np.uint64) & np.uint64(8 * len(table) - 1)

@@ -43,6 +43,8 @@ BUCKET_BITS = 18
 DEPTH = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
+#: Rows of the embedding whose changes are added up together; other weights are fewer numbers than those of a slice.
+SLICE_ROWS = 1 << 10
 #: Bytes of the beginnings that longer words are hashed by as well, for inflected and compound words.
 BEGINNINGS = (5, 7)
 THRESHOLD = 0.7
@@ -321,14 +323,22 @@ def _held(data: bytes, part: str | None) -> np.ndarray:
 
 
 def _changes(data: bytes, part: str | None, cnn: TextCnn, seed: int) -> np.ndarray:
-    """What training on a block changes: the embedding and the blocks that changed its rows, then other weights by rows, and rows."""
+    """What training on a block changes: each row of the embedding and whether it did, then other weights by rows, and rows."""
     rows, label = _unpacked(data, part)
     own = copy.deepcopy(cnn)
     if len(label):
         own.fit(_texts(rows), label, EPOCHS, seed=seed)
     moved = own.embedding.astype(float) - cnn.embedding
     dense = [len(label) * (a.astype(float) - b).ravel() for a, b in zip(own.dense(), cnn.dense(), strict=True)]
-    return np.concatenate([moved.ravel(), moved.any(axis=1), *dense, [len(label)]])
+    return np.concatenate([np.column_stack((moved, moved.any(axis=1))).ravel(), *dense, [len(label)]])
+
+
+def _mean_changes(at: int, total: np.ndarray) -> np.ndarray:
+    """Of a slice of added changes the mean by row of the embedding over the blocks that changed it; other sums as they are."""
+    if at >= (DEPTH + 1) << BUCKET_BITS:
+        return total
+    rows = total.reshape(-1, DEPTH + 1)
+    return (rows[:, :DEPTH] / np.maximum(rows[:, DEPTH:], 1)).astype(np.float32)
 
 
 def _language_counts(blocks: DataFrame) -> list[str]:
@@ -364,15 +374,20 @@ def _trained(blocks: DataFrame, part: str | None) -> TextCnn:
     cnn = TextCnn()
     held = samples.summed(blocks, lambda data: _held(data, part), (2 << BUCKET_BITS) + 2)
     cnn.start_from(held[:-2].reshape(2, -1), held[-2:])
-    rest = [w.size for w in cnn.dense()]
+    rest, embedded = [w.size for w in cnn.dense()], (DEPTH + 1) << BUCKET_BITS
     for seed in range(ROUNDS):
         sent = context.broadcast(cnn)
-        total = samples.summed(blocks, lambda data: _changes(data, part, sent.value, 11 + seed), ((DEPTH + 1) << BUCKET_BITS) + sum(rest) + 1)
+        # the driver gets the means only, as single floats
+        found = samples.slices_summed(blocks, lambda data: _changes(data, part, sent.value, 11 + seed), embedded + sum(rest) + 1, (DEPTH + 1) * SLICE_ROWS, _mean_changes)
         sent.destroy()
-        moved, touched, dense = np.split(total[:-1], [DEPTH << BUCKET_BITS, (DEPTH + 1) << BUCKET_BITS])
-        cnn.embedding += (moved.reshape(-1, DEPTH) / np.maximum(touched, 1)[:, None]).astype(np.float32)
-        for weights, change in zip(cnn.dense(), np.split(dense, np.cumsum(rest)[:-1]), strict=True):
-            weights += (change / total[-1]).reshape(weights.shape).astype(np.float32)
+        for at, data in found:
+            if at < embedded:
+                moved = np.frombuffer(data, np.float32).reshape(-1, DEPTH)
+                cnn.embedding[at // (DEPTH + 1) :][: len(moved)] += moved
+            else:
+                total = np.frombuffer(data)
+                for weights, change in zip(cnn.dense(), np.split(total[:-1], np.cumsum(rest)[:-1]), strict=True):
+                    weights += (change / total[-1]).reshape(weights.shape).astype(np.float32)
     return cnn
 
 
