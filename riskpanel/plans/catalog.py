@@ -1173,9 +1173,7 @@ add(
 
 add(
     "j07_path_counts",
-    lambda w: lineage.path_counts(w.edges, w.nodes.where("node_type IN ('Result', 'Table')"))
-    .join(w.nodes.select(c("node_id").alias("start_node_id"), c("canonical_name").alias("start")), "start_node_id")
-    .join(w.nodes.select("node_id", c("canonical_name").alias("node")), "node_id")
+    lambda w: lineage.path_counts(w.edges, w.nodes.where("node_type IN ('Result', 'Table')"), nodes=w.nodes)
     .select("start", "node", "depth", c("paths").cast("bigint").alias("paths")),
     "SELECT start, node, depth, count(*) AS paths FROM walk GROUP BY start, node, depth",
 )

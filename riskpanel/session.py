@@ -10,6 +10,9 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that deletes the shuffle files of an execution at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str | None = None, app_name: str = "riskpanel", **conf: str) -> SparkSession:
     """Return a session with UTC time, ANSI semantics and adaptive execution.
@@ -59,6 +62,17 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_clean(df: DataFrame, name: str) -> DataFrame:
+    """:func:`write_once` that deletes the shuffle files behind the table as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, "false")
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return write_once(df, name)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from there.
     """

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, deque
+from pathlib import Path
 
 import pytest
 
@@ -17,6 +18,10 @@ def starts(spark, *ids):
     return spark.createDataFrame([(i,) for i in ids], "node_id bigint")
 
 
+def shared(spark):
+    return Path(spark.conf.get("spark.checkpoint.dir"))
+
+
 def bfs(pairs, ids):
     after = {}
     for a, b in pairs:
@@ -115,6 +120,48 @@ def test_diamonds_are_counted_without_listing(spark):
     assert counts.count() == step * layers + 1
 
 
+def leaves_hubs_and_diamonds():
+    draw = random.Random(3)
+    pairs = [(100 + i, 20 + draw.randrange(12)) for i in range(60)] + [(20 + i, i % 4) for i in range(12)]
+    pairs += [(0, 4), (1, 4), (2, 4), (3, 5), (4, 6), (4, 7), (5, 7), (6, 8), (7, 8), (8, 9), (8, 9)]
+    pairs += [(100, 4), (200, 100), (201, 100), (202, 100), (5, 120), (300, None)]  # two ways out, ways back to a start, no node
+    return pairs, {*range(100, 170), *range(20, 26), 200, 201, 0, 3, 8, 9, 300, 999}
+
+
+def test_counts_of_starts_that_share_their_way(spark, monkeypatch):
+    monkeypatch.setattr(walks, "FEW", 1)
+    pairs, ids = leaves_hubs_and_diamonds()
+    assert len(walks.funnel(frame(spark, pairs), starts(spark, *ids, 999)).rounds) == 3
+    want = brute_paths(pairs, ids)
+    got = walks.path_counts(frame(spark, pairs), starts(spark, *ids)).collect()
+    assert {(r.start_node_id, r.node_id, r.depth): int(r.paths) for r in got} == want and len(got) == len(want)
+
+
+def test_named_counts_of_starts_that_share_their_way(spark):
+    pairs, ids = leaves_hubs_and_diamonds()
+    assert len(walks.funnel(frame(spark, pairs), starts(spark, *ids)).rounds) == 1
+    names = [(i, f"n{i}") for i in {*range(10), *range(20, 32), *range(100, 170), 200, 300}] + [(101, "again"), (4, "again")]
+    known = spark.createDataFrame([*names, (None, "none")], "node_id bigint, name string")
+    by = {}
+    for i, name in names:
+        by.setdefault(i, []).append(name)
+    want = Counter((s, a, e, b, d, n) for (s, e, d), n in brute_paths(pairs, ids).items() for a in by.get(s, ()) for b in by.get(e, ()))
+    got = walks.path_counts(frame(spark, pairs), starts(spark, *ids), names=known).collect()
+    assert Counter((r.start_node_id, r.start, r.node_id, r.node, r.depth, int(r.paths)) for r in got) == want
+    with pytest.raises(GuardError, match="ring"):
+        walks.path_counts(frame(spark, [*pairs, (9, 5)]), starts(spark, *range(110, 160)))
+
+
+def test_starts_that_share_their_way_are_not_written(spark):
+    """Only what is behind them is, so the disk does not grow with the starts' paths."""
+    n, before = 20_000, set(shared(spark).rglob("*"))
+    hops = spark.range(n).selectExpr("id + 100 AS tail", "id % 10 AS head").unionByName(spark.range(10).selectExpr("id AS tail", "id + 50 AS head"))
+    counts = walks.path_counts(hops, hops.selectExpr("tail AS node_id"))
+    new = set(shared(spark).rglob("*")) - before
+    assert sum(f.stat().st_size for f in new if f.is_file()) < n * 16
+    assert counts.count() == 3 * n + 2 * 10
+
+
 def test_rings_have_no_number_of_paths(spark):
     pairs = [(0, 1), (1, 2), (2, 1), (5, 6), (7, 8), (8, 7)]
     with pytest.raises(GuardError, match="ring"):
